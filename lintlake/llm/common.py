@@ -31,3 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True for the rows whose crc32(id as text) leaves this remainder; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def text_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Let Arrow batches hold few rows: whole texts can be long, and a worker holds a batch or two at once.
+
+    A session setting, read when a plan is made; it only bounds memory and changes no result.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

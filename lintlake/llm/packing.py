@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lintlake.llm.common import cut
+from lintlake.llm.common import cut, text_batches
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
@@ -56,6 +56,8 @@ class WordTokenizer:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, text_col: str = "text", out_col: str = "pieces") -> DataFrame:
     """docs with an array of (piece, start, length, ids_crc32)."""
 
+    text_batches(docs.sparkSession)
+
     @F.pandas_udf(PIECES)
     def cut_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = WordTokenizer(tokenizer_path, end_id)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import cut
+from lintlake.llm.common import cut, text_batches
 
 BITS = 64
 
@@ -58,6 +58,8 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3, seed: int = 42, out_col: str = "fp") -> DataFrame:
     """docs with the fingerprint as a signed 64-bit column."""
 
+    text_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
