@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import mixing, packing, sharding, simhash
+from lintlake.llm import langid, mixing, packing, quality_crf, sharding, simhash
+from lintlake.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+    bank = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs, bank).select("doc_id", "held_out", "lang_pred", "score", "coverage")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -29,6 +36,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048)
 
 
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+    model = quality_crf.fit(docs.where(~F.col("held_out")), _table(spark, sf_dir, "labels"))
+    return quality_crf.score(docs, model, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
