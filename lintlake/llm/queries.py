@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import langid, mixing, packing, quality_crf, sharding, simhash
+from lintlake.llm import chat, langid, mixing, packing, quality_crf, sharding, simhash, vptree
 from lintlake.llm.common import held_out
 
 
@@ -47,6 +47,28 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), (F.col("id") + 1).cast("int")).alias("role"), F.lit(control).alias("text"))
+    shown = chat.conversations(chat.threads(rows.unionByName(extra)), most=1)
+    turns = F.array_join(F.transform(chat.parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = shown.select("tree", "formatted", chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.size(chat.parse(F.col("formatted"))).cast("long").alias("n_turns"), turns.alias("turns"))
+    return read.select(
+        F.col("tree").alias("conv_id"),
+        "n_turns",
+        F.sha2("turns", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vptree.neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, slack=1.0)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -57,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.MIX_SQL}
+    return {"op2_mixing": mixing.MIX_SQL, "op8_reply_trees": chat.CHAT_SQL, "op9_vantage_point_trees": vptree.NEIGHBOURS_SQL}
