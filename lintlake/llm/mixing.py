@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -25,15 +25,15 @@ LEVEL_BITS = 10
 LEVELS = 3
 
 
+def _hash(row_id: Column) -> Column:
+    digest = F.md5(F.coalesce(row_id.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, size, h) of every row, in one pass over the text."""
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    return docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
-    )
+    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"), _hash(F.col(id_col)).alias("h"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -85,12 +85,11 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return after.groupBy("source").agg(F.coalesce(F.min(F.when(out, F.col("bucket"))), upper).alias("threshold"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """(id, source, size, source_size, target, copies): how often each row goes into the mix, 0 to `most` times.
+def plan(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """(source, source_size, target, whole, threshold): every row of a source goes in `whole` times, once more if its h is below the threshold.
 
     A source whose target is several times its size is taken whole that often; the threshold takes the remainder.
     """
-    sizes = cut(sized(docs, id_col, text_col, source_col))
     wanted = cut(
         targets(sizes, weights, share, most)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0)).cast("long"))
@@ -98,18 +97,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     found = thresholds(sizes, wanted.select("source", "rem"))
     # a source without a boundary keeps everything if something is left to take, else nothing more
-    plan = cut(
+    every = F.when(F.col("rem") > 0, F.lit(1 << HASH_BITS)).otherwise(F.lit(0))
+    return cut(
         wanted.alias("w")
         .join(found.withColumnRenamed("source", "of").alias("f"), F.col("w.source").eqNullSafe(F.col("f.of")), "left")
-        .select("source", "source_size", "target", "whole", F.coalesce("threshold", F.when(F.col("rem") > 0, F.lit(1 << HASH_BITS)).otherwise(F.lit(0))).alias("threshold"))
+        .select("source", "source_size", "target", "whole", F.coalesce("threshold", every).alias("threshold"))
     )
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """(id, source, size, source_size, target, copies): how often each row goes into the mix, 0 to `most` times."""
+    sizes = cut(sized(docs, id_col, text_col, source_col))
+    chosen = plan(sizes, weights, share, most).withColumnRenamed("source", "of")
     return (
         sizes.alias("s")
-        .join(plan.withColumnRenamed("source", "of").alias("p"), F.col("s.source").eqNullSafe(F.col("p.of")))
+        .join(chosen.alias("p"), F.col("s.source").eqNullSafe(F.col("p.of")))
         .select(F.col("s.id").alias(id_col), "source", "size", "source_size", "target", (F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")).alias("copies"))
     )
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The mix itself: rows of docs, each as often as it is taken. The text stays where it is; only the plan is joined."""
+    chosen = plan(cut(sized(docs, id_col, text_col, source_col)), weights, share, most)
+    chosen = chosen.select(F.col("source").alias("__of"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
+    taken = F.col("__whole") + (_hash(F.col(id_col)) < F.col("__threshold")).cast("long")
+    return docs.join(chosen, F.col(source_col).eqNullSafe(F.col("__of"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), taken.cast("int")))).select(*docs.columns)
+
+
 #: The same mix in DuckDB: running sums over the whole hash order in place of histograms.
 MIX_SQL = r"""
 WITH s AS (

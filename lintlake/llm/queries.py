@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import chat, langid, mixing, packing, quality_crf, sharding, simhash, vptree
+from lintlake.llm import audio, chat, html_extract, langid, mixing, packing, quality_crf, sharding, simhash, vptree
 from lintlake.llm.common import held_out
 
 
@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -32,8 +32,29 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = audio.store(_table(spark, sf_dir, "documents"), F.col("text").cast("binary"))
+    read = audio.analyse(media)
+    spans = F.array_join(F.transform("audio.segments", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    tensors = F.array_join(F.transform("audio.patches", lambda p: F.sha2(p["tensor"], 256)), "")
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("audio.payload").cast("long").alias("payload_bytes"),
+        F.sha2("audio.payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("audio.payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.lit("frames="), F.col("audio.frames").cast("string"), F.lit(";segments="), F.size("audio.segments").cast("string"), F.lit(";spans="), F.sha2(spans, 256), F.lit(";mel="), F.sha2(tensors, 256)).alias("feature"),
+    )
+
+
+def op4_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
 
 
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

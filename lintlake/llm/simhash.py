@@ -212,3 +212,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = cut(labelled.join(named, "root").select("fp", "component_id"))
     return known.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
+    """docs with one document of each group: the row whose id names the component. Rows without an id stay."""
+    found = near_duplicates(docs, id_col, text_col, words, distance)
+    winners = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    return docs.join(winners, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
