@@ -14,9 +14,9 @@ any other; an empty table gives an empty result; columns besides id and text are
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,28 +29,51 @@ from lintlake.llm.common import cut, text_batches
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
+#: Lower-case letters from ASCII to Latin Extended-A; for texts of these, ASCII and their capitals the words below are exact.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
+#: What the vocabulary's own pre-tokenizer splits lower-cased text into, for such texts.
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+OTHER = re.compile("[^\\x09-\\x0d\\x20-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]|<\\|")
+
+
+class KnownWords(dict):
+    """Word -> its ids as bytes. Words that were not used for `most` new ones are forgotten."""
+
+    def __init__(self, tokenizer, most: int):
+        super().__init__()
+        self.tokenizer, self.most, self.older = tokenizer, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(word)
+        if found is None:
+            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = found
+        return found
+
+
 class WordTokenizer:
-    """Token ids of a text, with the ids of single words remembered.
+    """Token ids of texts, by remembered words where that is exact and by the tokenizer itself elsewhere.
 
-    For tokenizers that drop white space and never join across it, the ids of a text are those of its words one after
-    another; unseen words are encoded in one call a text. At most `remember` words are kept.
+    The word split is that of lower-casing, white-space dropping vocabularies; each word's ids come from the tokenizer.
     """
 
-    def __init__(self, path: str, end_id: int = 0, remember: int = 300_000):
+    def __init__(self, path: str, end_id: int = 0, remember: int = 250_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.remember, self.known = Tokenizer.from_file(path), [end_id], remember, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.end = np.array([end_id], "<u4").tobytes()
+        self.known = KnownWords(self.tokenizer, remember)
 
     def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.remember:
-                self.known, new = {}, list(set(words))
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update(zip(new, (e.ids for e in encoded), strict=True))
-        found = list(chain.from_iterable(map(self.known.__getitem__, words)))
-        return np.array(found + self.end, "<u4")
+        text = text or ""
+        if OTHER.search(text):
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            found = b"".join(map(self.known.__getitem__, WORDS.findall(text.lower())))
+        return np.frombuffer(found + self.end, "<u4")
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, text_col: str = "text", out_col: str = "pieces") -> DataFrame:
@@ -69,7 +92,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                 out.append([{"piece": k, "start": at, "length": len(p), "ids_crc32": zlib.crc32(p.tobytes())} for k, (at, p) in enumerate(parts)])
             yield pd.Series(out)
 
-    return docs.withColumn(out_col, cut_up(F.col(text_col)))
+    # marked so that Spark does not evaluate it a second time to filter out empty arrays before they are exploded
+    return docs.withColumn(out_col, cut_up.asNondeterministic()(F.col(text_col)))
 
 
 class _Rooms:
