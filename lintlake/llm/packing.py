@@ -14,6 +14,7 @@ any other; an empty table gives an empty result; columns besides id and text are
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,43 +37,67 @@ WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-
 OTHER = re.compile("[^\\x09-\\x0d\\x20-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]|<\\|")
 
 
-class KnownWords(dict):
-    """Word -> its ids as bytes. Words that were not used for `most` new ones are forgotten."""
+class Recent:
+    """A bounded memory: keys that were not asked for while `most` others came are forgotten."""
 
-    def __init__(self, tokenizer, most: int):
-        super().__init__()
-        self.tokenizer, self.most, self.older = tokenizer, most, {}
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.get(word)
-        if found is None:
-            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = found
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
         return found
 
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
 
 class WordTokenizer:
     """Token ids of texts, by remembered words where that is exact and by the tokenizer itself elsewhere.
 
-    The word split is that of lower-casing, white-space dropping vocabularies; each word's ids come from the tokenizer.
+    For texts of OTHER's complement, a lower-cased text falls into words at white space and these into the tokenizer's own
+    units by WORDS; the ids of each unit come from the tokenizer, a text's unknown ones in one call.
     """
 
-    def __init__(self, path: str, end_id: int = 0, remember: int = 250_000):
+    def __init__(self, path: str, end_id: int = 0, words: int = 400_000, units: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known = KnownWords(self.tokenizer, remember)
+        self.words, self.units = Recent(words), Recent(units)
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of these words."""
+        split = {w: WORDS.findall(w) for w in words}
+        ids = {u: self.units.get(u) for units in split.values() for u in units}
+        new = [u for u, known in ids.items() if known is None]
+        for unit, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids[unit] = np.array(encoded.ids, "<u4").tobytes()
+            self.units.put(unit, ids[unit])
+        for word, units in split.items():
+            self.words.put(word, b"".join([ids[u] for u in units]))
 
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
         if OTHER.search(text):
             found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         else:
-            found = b"".join(map(self.known.__getitem__, WORDS.findall(text.lower())))
+            words = text.lower().split()
+            parts = list(map(self.words.young.get, words))
+            if None in parts:
+                gaps = [n for n, part in enumerate(parts) if part is None]
+                known = {words[n]: self.words.get(words[n]) for n in gaps}
+                unknown = {w for w, part in known.items() if part is None}
+                if unknown:
+                    self._learn(unknown)
+                    known |= {w: self.words.get(w) for w in unknown}
+                for n in gaps:
+                    parts[n] = known[words[n]]
+            found = b"".join(parts)
         return np.frombuffer(found + self.end, "<u4")
 
 
