@@ -187,13 +187,15 @@ def fit(docs: DataFrame, labels: DataFrame, texts_per_label: int = 1000, id_col:
     documented bound of the sample). Features are made on the executors; the driver gets numbers of sampled lines."""
     text_batches(docs.sparkSession)
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id")
-    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = docs.select(F.col(id_col).alias("id")).join(marks, "id")  # without the texts
+    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
     if len(sizes) < 2:
         return LineCrf(constant=sizes.get(1, 0) / total if total else 0.5)
     chance = F.when(F.col("label") == 1, min(1.0, texts_per_label / sizes[1])).otherwise(min(1.0, texts_per_label / sizes[0]))
-    sample = known.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("quality")), F.lit(1 << 24)) < chance * (1 << 24))
+    drawn_ids = labelled.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("quality")), F.lit(1 << 24)) < chance * (1 << 24)).distinct()
+    drawn_ids = docs.sparkSession.createDataFrame(drawn_ids.collect(), drawn_ids.schema)  # about 2 * texts_per_label ids
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn_ids), "id")
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, texts_per_label: int = 1000, id_col:
             cuts = np.cumsum(per_text)[:-1]
             yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "x": [a.tobytes() for a in np.split(x, cuts)], "size": [a.tobytes() for a in np.split(size, cuts)]})
 
-    id_type = known.schema["id"].dataType.simpleString()
+    id_type = sample.schema["id"].dataType.simpleString()
     got = sample.select("id", "label", "text").mapInPandas(lines, f"id {id_type}, label int, x binary, size binary").orderBy("id", "label").collect()
     if len({r["label"] for r in got}) < 2:
         return LineCrf(constant=sizes[1] / total)
