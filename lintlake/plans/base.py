@@ -153,7 +153,8 @@ def twin(views: str, text: str) -> str:
     ctes = [f"{n} AS ({TWINS.get(n, VIEWS[n])})" for n in names]
     body = text.strip()
     if body[:5].upper() == "WITH ":
-        return "WITH " + ", ".join([*ctes, body[5:]])
+        recursive = "RECURSIVE " if " UNION SELECT " in body or " UNION ALL SELECT " in body else ""
+        return f"WITH {recursive}" + ", ".join([*ctes, body[5:]])
     return (f"WITH {', '.join(ctes)} " if ctes else "") + body
 
 
