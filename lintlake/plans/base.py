@@ -55,6 +55,11 @@ SNIPPETS: list[tuple[int, int, str]] = [
     (48, 9, "use(later); const pair = ['alpha', 'alpha', 'alpha'];"),
     (49, 9, "print(first.length / total);"),
     (57, 9, "const later = 'alpha';"),
+    (60, 10, "const raw = req.query.value;"),
+    (61, 10, "const hit = list.find(byId);"),
+    (70, 10, "eval(raw);"),
+    (71, 10, "hit.name = 1;"),
+    (80, 10, "if (hit) { raw.trim(); }"),
 ]
 
 
