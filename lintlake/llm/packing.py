@@ -14,9 +14,9 @@ any other; an empty table gives an empty result; columns besides id and text are
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,67 +37,61 @@ WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-
 OTHER = re.compile("[^\\x09-\\x0d\\x20-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]|<\\|")
 
 
-class Recent:
-    """A bounded memory: keys that were not asked for while `most` others came are forgotten."""
+#: A text that a fast path must encode like the tokenizer before it is trusted.
+PROBE = "It's THE 'tis don't we'll naïve ÉCOLE, œuvre ſtraße: 1234 a_b*** #&%$! end."
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
 
-    def get(self, key: str) -> bytes | None:
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
+def byte_letters() -> dict[int, str]:
+    """Code point -> its UTF-8 bytes as the letters that byte-level vocabularies write them in.
 
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.most:
-            self.young, self.old = {}, self.young
-        self.young[key] = value
+    Printable Latin-1 bytes stand for themselves, the others for the letters from 256 on, in order.
+    """
+    plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
+    other = [b for b in range(256) if b not in plain]
+    letter = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+    return {point: "".join(letter[b] for b in chr(point).encode()) for point in range(33, 0x180)}
 
 
 class WordTokenizer:
     """Token ids of texts, by remembered words where that is exact and by the tokenizer itself elsewhere.
 
-    For texts of OTHER's complement, a lower-cased text falls into words at white space and these into the tokenizer's own
-    units by WORDS; the ids of each unit come from the tokenizer, a text's unknown ones in one call.
+    A text of OTHER's complement is lower-cased and split by WORDS, and each new word goes to the vocabulary's merges alone; this
+    is used only if it gives the tokenizer's own ids for PROBE. Words that were not used for `remember` new ones are forgotten.
     """
 
-    def __init__(self, path: str, end_id: int = 0, words: int = 400_000, units: int = 300_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
+    def __init__(self, path: str, end_id: int = 0, remember: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges, self.letters = self.tokenizer.model, byte_letters()
         self.end = np.array([end_id], "<u4").tobytes()
-        self.words, self.units = Recent(words), Recent(units)
-
-    def _learn(self, words: set[str]) -> None:
-        """Remember the ids of these words."""
-        split = {w: WORDS.findall(w) for w in words}
-        ids = {u: self.units.get(u) for units in split.values() for u in units}
-        new = [u for u, known in ids.items() if known is None]
-        for unit, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids[unit] = np.array(encoded.ids, "<u4").tobytes()
-            self.units.put(unit, ids[unit])
-        for word, units in split.items():
-            self.words.put(word, b"".join([ids[u] for u in units]))
+        self.remember, self.young, self.old = remember, {}, {}
+        self.fast = self._by_words(PROBE) == self._whole(PROBE)
+
+    def _word(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = array("I", [t.id for t in self.merges.tokenize(word.translate(self.letters))]).tobytes()
+        if len(self.young) >= self.remember:
+            self.young, self.old = {}, self.young
+        self.young[word] = found
+        return found
+
+    def _by_words(self, text: str) -> bytes:
+        words = WORDS.findall(text.lower())
+        parts = list(map(self.young.get, words))
+        if None in parts:
+            for n, part in enumerate(parts):
+                if part is None:
+                    parts[n] = self._word(words[n])
+        return b"".join(parts)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if OTHER.search(text):
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            words = text.lower().split()
-            parts = list(map(self.words.young.get, words))
-            if None in parts:
-                gaps = [n for n, part in enumerate(parts) if part is None]
-                known = {words[n]: self.words.get(words[n]) for n in gaps}
-                unknown = {w for w, part in known.items() if part is None}
-                if unknown:
-                    self._learn(unknown)
-                    known |= {w: self.words.get(w) for w in unknown}
-                for n in gaps:
-                    parts[n] = known[words[n]]
-            found = b"".join(parts)
+        found = self._by_words(text) if self.fast and not OTHER.search(text) else self._whole(text)
         return np.frombuffer(found + self.end, "<u4")
 
 

@@ -267,7 +267,8 @@ def brute_ids(text):
 
 
 def test_word_tokenizer():
-    own = packing.WordTokenizer(tokenizer_path("word_bpe_49k.json"), words=7, units=5)
+    own = packing.WordTokenizer(tokenizer_path("word_bpe_49k.json"), remember=5)
+    assert own.fast
     texts = ["<|endoftext|> a<|endoftext|>b", "don't I'll we've 's", "É CAFÉ café x", "a b　c", "İstanbul ΣΑΣ ß ſ", "😀 a​b", "\x1cx\x1dy", "a\r\nb\tc\x0bd", "", "   ", None, "1234 12.5% a_b", "ﬁ ½", "it's ''s ('s !'t", LONG[:5000], "Ÿ ŸŸ ÀÖØ×÷"]
     for text in texts * 2:
         assert own.ids(text).tolist() == brute_ids(text).tolist(), text
