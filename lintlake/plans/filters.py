@@ -9,10 +9,10 @@ from lintlake.functions import js_round
 from lintlake.operators import filters as X
 from lintlake.operators import rules as R
 from lintlake.operators import scan
-from lintlake.operators import search as S
 from lintlake.plans.base import literal, query, values
 from lintlake.plans.findings import POLICIES, POLICY_SQL
 from lintlake.plans.scans import DEPTH, pack
+from lintlake.sources import parse_commit_log
 
 GOOD_ROWS = values([(g, q, p, r) for g, q, p, r in X.GOOD], "good_id, quality, pattern, off")
 GOOD = f"g AS ({GOOD_ROWS}), d AS (SELECT DISTINCT repo, path, good_id FROM code_line JOIN g ON regexp_matches(text, pattern))"
@@ -109,17 +109,12 @@ def _(s):
 
 # ---------------------------------------------------------------- readers
 
-LOG = "SELECT o_orderkey AS commit_id, 'COMMIT|' || CAST(o_orderkey AS VARCHAR(20)) || '|' || CAST(o_custkey AS VARCHAR(20)) AS head FROM orders"
-
-
 @query("s06_parse_commit_log", "changes", "SELECT commit_id, file, added, deleted FROM changes JOIN orders ON o_orderkey = commit_id")
 def _(s):
-    heads = s.table("orders").select(F.col("o_orderkey").alias("commit_id"), F.lit(0).cast("long").alias("pos"), F.concat(F.lit("COMMIT|"), "o_orderkey", F.lit("|"), "o_custkey").alias("text"))
-    rows = s.view("changes").join(heads.select("commit_id"), "commit_id").select("commit_id", (F.col("file") + 1).alias("pos"), F.concat_ws("\t", "added", "deleted", "file").alias("text"))
-    log = heads.unionByName(rows).withColumn("repo", F.col("commit_id") % 16)
-    filled = S.forward_fill(log.withColumn("head", F.when(F.col("text").startswith("COMMIT|"), F.split("text", r"\|")[1])).withColumn("at", F.struct("commit_id", "pos")), "head", ["repo"], "at", "commit")
-    parts = F.split("text", "\t")
-    return filled.where(~F.col("text").startswith("COMMIT|")).select(F.col("commit").cast("long").alias("commit_id"), parts[2].cast("long").alias("file"), parts[0].cast("long").alias("added"), parts[1].cast("long").alias("deleted"))
+    heads = s.table("orders").select(F.col("o_orderkey").alias("commit_id"), F.lit(0).cast("long").alias("n"), F.concat(F.lit("COMMIT|"), "o_orderkey", F.lit("|"), "o_custkey").alias("text"))
+    rows = s.view("changes").join(heads.select("commit_id"), "commit_id").select("commit_id", (F.col("file") + 1).alias("n"), F.concat_ws("\t", "added", "deleted", "file").alias("text"))
+    log = heads.unionByName(rows).select((F.col("commit_id") % 16).alias("repo"), F.struct("commit_id", "n").alias("pos"), "text")
+    return parse_commit_log(log).select(F.col("commit_id").cast("long").alias("commit_id"), F.col("file").cast("long").alias("file"), "added", "deleted")
 
 
 @query("s09_read_policies", "", f"WITH p AS ({POLICY_SQL}), r AS (SELECT DISTINCT source AS repo FROM documents) SELECT repo, rule_id, scope, action, CASE scope WHEN 'global' THEN 'org' ELSE 'repo' END AS source FROM p, r")

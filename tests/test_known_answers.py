@@ -11,6 +11,7 @@ from lintlake.operators import history as H
 from lintlake.operators import packages as P
 from lintlake.operators import scan
 from lintlake.operators import search as S
+from lintlake.sources import scan_corpus
 
 
 def lines(spark, *texts):
@@ -107,3 +108,11 @@ def test_reliability(spark):
     calls = spark.createDataFrame([(1, k, t + dt.timedelta(seconds=10 * k), k >= 22) for k in range(23)], "provider long, call_id long, ts timestamp, success boolean")
     row = H.reliability(calls).first()
     assert row.circuit == "closed" and (row.successes, row.errors) == (1, 22) and row.score == 12.5
+
+
+def test_scan_corpus(spark, tmp_path):
+    for name, text in {"a/src/x.ts": "one", "a/node_modules/y.ts": "no", "b/z.py": "no", "b/deep/w.tsx": "two", "b/big.ts": "x" * 50}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = scan_corpus(spark, str(tmp_path), max_bytes=20).collect()
+    assert sorted((r.repo, r.path, r.content) for r in got) == [("a", "src/x.ts", "one"), ("b", "deep/w.tsx", "two")]
