@@ -28,22 +28,22 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.common import text_batches
 
-LINE_FEATURES = ("lower", "upper", "digit", "exclamation", "bar", "symbol", "stop", "other", "repeated", "words", "word_size", "empty")
-CLASSES = 8  # the first of these are character classes: as parts of the line's characters, digits and marks a word
+LINE_FEATURES = ("plain", "upper", "exclamation", "bar", "symbol", "stop", "other", "repeated", "words", "word_size", "empty")
+CLASSES = 7  # the first of these are character classes: as parts of the line's characters, marks a word. Digits are plain.
 BLOCK = 1 << 20
 
 
 @functools.cache
 def classes() -> np.ndarray:
-    """Code point -> character class, in the order of LINE_FEATURES; white space has class 8."""
-    table = np.full(sys.maxunicode + 1, 7, np.uint8)
+    """Code point -> character class, in the order of LINE_FEATURES; white space has class 7."""
+    table = np.full(sys.maxunicode + 1, 6, np.uint8)
     for point in range(0x3000):
         ch = chr(point)
-        table[point] = 0 if ch.islower() else 1 if ch.isupper() else 2 if ch.isdigit() else CLASSES if ch.isspace() else 0 if ch.isalpha() else 7
+        table[point] = 1 if ch.isupper() else 0 if ch.isalnum() else CLASSES if ch.isspace() else 6
     table[0x3400:0xE000] = 0  # further letters without case
-    table[ord("!")], table[ord("|")] = 3, 4
-    table[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{}~"]] = 5
-    table[[ord(c) for c in ".,;:?"]] = 6
+    table[ord("!")], table[ord("|")] = 2, 3
+    table[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{}~"]] = 4
+    table[[ord(c) for c in ".,;:?"]] = 5
     return table
 
 
@@ -68,12 +68,12 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     for n, line in enumerate(flat):
         words = line.split()
         if words:
-            x[n, 8] = sum(map(eq, words, words[1:])) / len(words)
-            x[n, 9] = np.log1p(len(words)) / 5
-    words = np.expm1(x[:, 9] * 5)
-    x[:, 2:6] = np.minimum(counts[:, 2:6] * [1, 4, 4, 4] / np.maximum(words, 1)[:, None], 1)  # one mark in four words is as good as many
-    x[:, 10] = np.where(words > 0.5, seen / np.maximum(words, 1) / 10, 0)
-    x[:, 11] = words < 0.5
+            x[n, 7] = sum(map(eq, words, words[1:])) / len(words)
+            x[n, 8] = np.log1p(len(words)) / 5
+    words = np.expm1(x[:, 8] * 5)
+    x[:, 2:5] = np.minimum(counts[:, 2:5] * 4 / np.maximum(words, 1)[:, None], 1)  # one mark in four words is as good as many
+    x[:, 9] = np.where(words > 0.5, seen / np.maximum(words, 1) / 10, 0)
+    x[:, 10] = words < 0.5
     return x, size, per_text
 
 
@@ -204,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, texts_per_label: int = 1000, id_col:
             yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "x": [a.tobytes() for a in np.split(x, cuts)], "size": [a.tobytes() for a in np.split(size, cuts)]})
 
     id_type = sample.schema["id"].dataType.simpleString()
-    got = sample.select("id", "label", "text").mapInPandas(lines, f"id {id_type}, label int, x binary, size binary").orderBy("id", "label").collect()
+    got = sample.select("id", "label", "text").mapInPandas(lines, f"id {id_type}, label int, x binary, size binary").collect()
+    got.sort(key=lambda r: (str(r["id"]), r["label"], r["size"], r["x"]))  # one order at any partitioning
     if len({r["label"] for r in got}) < 2:
         return LineCrf(constant=sizes[1] / total)
     x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, len(LINE_FEATURES)).astype(float)
