@@ -51,7 +51,7 @@ def _(s):
     return X.first_match_dismissal(found(s), s.view("code_line")).select("repo", "path", "line", "rule_id", "reason", "stage")
 
 
-@query("fp3_fp_filter", "code_line", f"WITH {FIRST}, {GOOD}, q AS ({QUALITY}), b AS (SELECT repo, path, g.quality FROM d JOIN g USING (good_id) GROUP BY ALL HAVING count(*) >= 2), k AS (SELECT w.*, CASE WHEN rule_id = 'STL-010' OR b.repo IS NOT NULL THEN 'low' ELSE 'medium' END AS confidence FROM w LEFT JOIN q ON fam = split_part(rule_id, '-', 1) LEFT JOIN b ON b.repo = w.repo AND b.path = w.path AND b.quality = q.quality WHERE reason IS NULL AND NOT EXISTS (SELECT 1 FROM d JOIN g USING (good_id) WHERE d.repo = w.repo AND d.path = w.path AND list_contains(string_split(off, ','), w.rule_id))) SELECT repo, path, line, message, severity, confidence, rule_id AS evidence, 1 AS merged FROM k")
+@query("fp3_fp_filter", "code_line", f"WITH {FIRST}, {GOOD}, q AS ({QUALITY}), b AS (SELECT repo, path, g.quality FROM d JOIN g USING (good_id) GROUP BY ALL HAVING count(*) >= 2), k AS (SELECT w.*, CASE WHEN rule_id = 'STL-010' OR b.repo IS NOT NULL THEN 'low' ELSE 'medium' END AS confidence FROM w LEFT JOIN q ON fam = split_part(rule_id, '-', 1) LEFT JOIN b ON b.repo = w.repo AND b.path = w.path AND b.quality = q.quality WHERE reason IS NULL AND NOT EXISTS (SELECT 1 FROM d JOIN g USING (good_id) WHERE d.repo = w.repo AND d.path = w.path AND list_contains(string_split(off, ','), w.rule_id))) SELECT repo, path, line, message, severity, confidence, rule_id AS evidence, CAST(1 AS BIGINT) AS merged FROM k")
 def _(s):
     return X.fp_filter(found(s), s.view("code_line"), ["STL-010"])
 
@@ -90,13 +90,13 @@ def _(s):
     return X.check_async(s.view("code_line"))
 
 
-@query("r14_check_patents", "", "WITH c AS (SELECT page_id, " + ", ".join(f"""({" OR ".join(f"contains(lower(html), {literal(w)})" for w in words)}) AS "{i}\"""" for i, _, words in X.PATENTS) + " FROM pages) SELECT page_id, " + " + ".join(f'CASE WHEN "{i}" THEN 1 ELSE 0 END' for i, _, _ in X.PATENTS) + " AS n, concat_ws(',', " + ", ".join(f"""CASE WHEN "{i}" THEN '{i}' END""" for i, _, _ in X.PATENTS) + ") AS ids, true AS safe FROM c")
+@query("r14_check_patents", "", "WITH c AS (SELECT page_id, " + ", ".join(f"""({" OR ".join(f"contains(lower(html), {literal(w)})" for w in words)}) AS "{i}\"""" for i, _, words in X.PATENTS) + " FROM pages) SELECT page_id, CAST(" + " + ".join(f'CASE WHEN "{i}" THEN 1 ELSE 0 END' for i, _, _ in X.PATENTS) + " AS BIGINT) AS n, concat_ws(',', " + ", ".join(f"""CASE WHEN "{i}" THEN '{i}' END""" for i, _, _ in X.PATENTS) + ") AS ids, true AS safe FROM c")
 def _(s):
     return X.check_patents(s.table("pages"), "page_id", "html")
 
 
 DEEP = r"""c AS (SELECT repo, path, line_no AS line, 'P1' AS severity, 'unsafe-cast' AS category FROM code_line WHERE regexp_matches(text, 'as\s+never|\w+\([^)]*\)!\.') UNION ALL SELECT repo, path, line_no, 'P2', 'unsafe-cast' FROM code_line WHERE regexp_matches(text, 'as\s+any\b') UNION ALL SELECT repo, path, line_no, 'P2', 'sort' FROM code_line WHERE regexp_matches(text, '\w+\.sort\(')),
-    n AS (SELECT repo, path, 0 AS p0, count(*) FILTER (WHERE severity = 'P1') AS p1, count(*) FILTER (WHERE severity = 'P2') AS p2 FROM c GROUP BY repo, path)"""
+    n AS (SELECT repo, path, CAST(0 AS BIGINT) AS p0, count(*) FILTER (WHERE severity = 'P1') AS p1, count(*) FILTER (WHERE severity = 'P2') AS p2 FROM c GROUP BY repo, path)"""
 
 
 @query("a10_deep_summary", "code_line", f"WITH {DEEP} SELECT *, greatest(0, 100 - 30 * p0 - 15 * p1 - 5 * p2) AS score FROM n")

@@ -123,7 +123,7 @@ def _(s):
     return tokens.select("token", (F.round(entropy(F.col("token")), 6) + 0.0).alias("entropy"))
 
 
-@query("p05_chunk_lines", "text_line", "SELECT repo, path, (line_no - 1) // 10 AS chunk, min(line_no) AS first_line, max(line_no) AS last_line, CAST(sum(len(text) + 1) AS BIGINT) AS size FROM text_line GROUP BY ALL")
+@query("p05_chunk_lines", "text_line", "SELECT repo, path, CAST((line_no - 1) // 10 AS BIGINT) AS chunk, min(line_no) AS first_line, max(line_no) AS last_line, CAST(sum(len(text) + 1) AS BIGINT) AS size FROM text_line GROUP BY ALL")
 def _(s):
     return S.chunk_lines(s.view("text_line"), 10)
 
