@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lintlake.functions import family
+from lintlake.functions import family, js_round
 from lintlake.operators.findings import merge_duplicates, with_context
 
 FILE = ["repo", "path"]
@@ -105,6 +105,12 @@ def first_match_dismissal(f: DataFrame, lines: DataFrame) -> DataFrame:
     return j.withColumn("why", why).select(*f.columns, F.col("why.reason").alias("reason"), F.col("why.stage").alias("stage"))
 
 
+def filter_report(dismissed: DataFrame) -> DataFrame:
+    """Findings of each rule by the reason of their dismissal (null: kept), with the part of the rule's findings in per cent."""
+    n = dismissed.groupBy("rule_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", js_round(F.col("n") * 1000 / F.sum("n").over(W.partitionBy("rule_id"))) / 10)
+
+
 def fp_filter(f: DataFrame, lines: DataFrame, hints: list[str]) -> DataFrame:
     """The whole chain: good-pattern suppression, first dismissal, hint rules to low confidence, boosts, merging of duplicates."""
     good = detect_good_patterns(lines)

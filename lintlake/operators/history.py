@@ -219,7 +219,9 @@ def pattern_confidence(events: DataFrame) -> DataFrame:
 
 def reliability(calls: DataFrame) -> DataFrame:
     """Each provider's score and circuit after all its calls, in hundredths: a weight of 0.3 on +5 or -15, within 0 and 10000;
-    under 3000 the circuit opens, for 60 seconds; then one success closes it and adds 1000, a failure opens it again."""
+    under 3000 the circuit opens, for 60 seconds; then one success closes it and adds 1000, a failure opens it again.
+
+    The circuit's steps do not compose, so a provider's calls are folded in one task; for unbounded logs use the streaming form."""
     zero = F.struct(F.lit(10000).alias("score"), F.lit("closed").alias("circuit"), F.lit(0).cast("long").alias("opened"))
 
     def step(a: Column, x: Column) -> Column:
@@ -259,11 +261,17 @@ def latency_summary(samples: DataFrame) -> DataFrame:
     return r.groupBy("op").agg(F.count(F.lit(1)).alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
+def longest_rise(samples: DataFrame, least: float = 0.05) -> DataFrame:
+    """Most steps in a row that rise by more than `least`, of series that rise at all. samples: series, step, mb."""
+    w = W.partitionBy("series").orderBy("step")
+    up = samples.withColumn("up", F.coalesce(F.col("mb") > F.lag("mb").over(w) + least, F.lit(False)))
+    islands = up.withColumn("island", F.sum((~F.col("up")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return islands.where("up").groupBy("series", "island").agg(F.count(F.lit(1)).alias("n")).groupBy("series").agg(F.max("n").alias("longest_rise"))
+
+
 def growth_trend(samples: DataFrame) -> DataFrame:
     """Slope, growth and longest rise of each series, and its leak class. samples: series, step, mb."""
-    w = W.partitionBy("series").orderBy("step")
-    r = samples.withColumn("up", F.coalesce(F.col("mb") > F.lag("mb").over(w) + 0.05, F.lit(False)))
-    runs = r.withColumn("island", F.sum((~F.col("up")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).where("up").groupBy("series", "island").agg(F.count(F.lit(1)).alias("n")).groupBy("series").agg(F.max("n").alias("longest_rise"))
+    runs = longest_rise(samples)
     s = samples.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("mb", "step").alias("slope"), (F.max_by("mb", "step") - F.min_by("mb", "step")).alias("growth")).join(runs, "series", "left")
     slope = js_round(F.col("slope") * 10000) / 10000
     return s.select(

@@ -89,7 +89,7 @@ def clones(lines: DataFrame, width: int = 5) -> DataFrame:
     text = F.lower(F.regexp_replace("text", r"\s+", " "))
     full = lines.withColumn("window", F.collect_list(text).over(order.rowsBetween(0, width - 1))).where(F.size("window") == width)
     hashed = full.select("repo", "path", "line_no", F.sha2(F.array_join("window", "\n"), 256).alias("clone"))
-    many = hashed.groupBy("clone").agg(F.approx_count_distinct(F.struct("repo", "path")).alias("n"), F.min(F.struct("repo", "path")).alias("a"), F.max(F.struct("repo", "path")).alias("b")).where("a <> b").select("clone")
+    many = hashed.groupBy("clone").agg(F.min(F.struct("repo", "path")).alias("a"), F.max(F.struct("repo", "path")).alias("b")).where("a <> b").select("clone")
     return hashed.join(many, "clone").select("repo", "path", "line_no", "clone")
 
 

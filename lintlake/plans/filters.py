@@ -51,6 +51,11 @@ def _(s):
     return X.first_match_dismissal(found(s), s.view("code_line")).select("repo", "path", "line", "rule_id", "reason", "stage")
 
 
+@query("fp4_filter_report", "code_line", f"WITH {FIRST} SELECT rule_id, reason, count(*) AS n, floor(count(*) * 1000 / sum(count(*)) OVER (PARTITION BY rule_id) + 0.5) / 10 AS share FROM w GROUP BY rule_id, reason")
+def _(s):
+    return X.filter_report(X.first_match_dismissal(found(s), s.view("code_line")))
+
+
 @query("fp3_fp_filter", "code_line", f"WITH {FIRST}, {GOOD}, q AS ({QUALITY}), b AS (SELECT repo, path, g.quality FROM d JOIN g USING (good_id) GROUP BY ALL HAVING count(*) >= 2), k AS (SELECT w.*, CASE WHEN rule_id = 'STL-010' OR b.repo IS NOT NULL THEN 'low' ELSE 'medium' END AS confidence FROM w LEFT JOIN q ON fam = split_part(rule_id, '-', 1) LEFT JOIN b ON b.repo = w.repo AND b.path = w.path AND b.quality = q.quality WHERE reason IS NULL AND NOT EXISTS (SELECT 1 FROM d JOIN g USING (good_id) WHERE d.repo = w.repo AND d.path = w.path AND list_contains(string_split(off, ','), w.rule_id))) SELECT repo, path, line, message, severity, confidence, rule_id AS evidence, CAST(1 AS BIGINT) AS merged FROM k")
 def _(s):
     return X.fp_filter(found(s), s.view("code_line"), ["STL-010"])

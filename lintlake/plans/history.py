@@ -196,3 +196,9 @@ def _(s):
     m = s.table("events").groupBy(F.col("event_type").alias("op"), (F.col("event_id") % 2).alias("half")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
     long = m.unpivot(["op", "half"], ["low", "high"], "metric", "value")
     return H.compare_metrics(long.where("half = 1").drop("half"), long.where("half = 0").drop("half"))
+
+
+@query("w11_longest_rise", "", f"WITH s AS ({SERIES}), u AS (SELECT *, coalesce(mb > lag(mb) OVER (PARTITION BY series ORDER BY step) + 0.05, false) AS up FROM s), i AS (SELECT *, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY step ROWS UNBOUNDED PRECEDING) AS island FROM u), n AS (SELECT series, island, count(*) AS n FROM i WHERE up GROUP BY ALL) SELECT series, max(n) AS longest_rise FROM n GROUP BY series")
+def _(s):
+    s.view("events").createOrReplaceTempView("events")
+    return H.longest_rise(s.spark.sql(SERIES))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from lintlake.functions import branch_slug, entropy, grade, heal, major, mask, normalize_path, purl, snippet_hash, value_hash
+from lintlake.functions import branch_slug, entropy, grade, heal, js_round, major, mask, normalize_path, purl, snippet_hash, value_hash
 from lintlake.operators import scan
 from lintlake.operators import search as S
 from lintlake.plans.base import query
@@ -167,3 +168,17 @@ def _(s):
 @query("f13_heal", "code_line", r"SELECT repo, path, line_no, regexp_replace(regexp_replace(regexp_replace(text, '([^=!<>])==([^=])', '\1===\2', 'g'), '!=([^=])', '!==\1', 'g'), '\bvar\s+', 'let ', 'g') AS text FROM code_line")
 def _(s):
     return s.view("code_line").select("repo", "path", "line_no", heal(F.col("text")).alias("text"))
+
+
+@query("f07_js_round", "", "SELECT event_id, CAST(floor(value + 0.5) AS BIGINT) AS up, CAST(floor(0.5 - value) AS BIGINT) AS down FROM events")
+def _(s):
+    return s.table("events").select("event_id", js_round(F.col("value")).alias("up"), js_round(-F.col("value")).alias("down"))
+
+
+@query("f12_jaro_winkler", "", "SELECT p_partkey, round(jaro_winkler_similarity(p_name, p_type), 6) AS similarity FROM part")
+def _(s):
+    @F.pandas_udf("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([S.jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
+
+    return s.table("part").select("p_partkey", F.round(similarity("p_name", "p_type"), 6).alias("similarity"))
