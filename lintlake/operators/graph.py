@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """df as a table below spark.checkpoint.dir (a folder of this process where that is unset)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/lintlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lintlake.functions import normalize_path
+from lintlake.operators.scratch import settle
 
 
 def module_coupling(edges: DataFrame) -> DataFrame:
@@ -100,8 +88,6 @@ def transitive_exposure(edges: DataFrame, licenses: DataFrame, roots: DataFrame,
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """File of each local specifier: the first of six candidate names that exists. imports: repo, path, specifier."""
-    from lintlake.functions import normalize_path
-
     folder = F.regexp_replace("path", "[^/]*$", "")
     base = normalize_path(F.concat(folder, F.col("specifier")))
     names = ["", ".ts", ".tsx", ".js", "/index.ts", "/index.js"]

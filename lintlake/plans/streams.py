@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import history as H
 from lintlake.operators import rules as R
-from lintlake.operators.graph import settle
+from lintlake.operators.scratch import settle
 from lintlake.plans.base import query
 from lintlake.plans.scans import pack
 from lintlake.streaming import operators as T

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from lintlake.operators import rules as R
 from lintlake.operators import scan
 from lintlake.operators.history import priced
+from lintlake.operators.scratch import shared_path
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -31,11 +30,7 @@ def run(df: DataFrame, mode: str) -> DataFrame:
     append keeps every batch; complete and update keep the last state of each key's row as the sink got it.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/lintlake-{uuid.uuid4().hex}"
+    path = shared_path(spark)
 
     def sink(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
