@@ -59,7 +59,7 @@ class WordTokenizer:
     is used only if it gives the tokenizer's own ids for PROBE. Words that were not used for `remember` new ones are forgotten.
     """
 
-    def __init__(self, path: str, end_id: int = 0, remember: int = 600_000):
+    def __init__(self, path: str, end_id: int = 0, remember: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
