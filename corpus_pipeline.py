@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import langid, mixing, packing, quality_crf, simhash
+from lintlake.llm import jaccard, langid, mixing, packing, quality_crf
 from lintlake.llm.common import cut, held_out
 from lintlake.llm.queries import tokenizer_path
 
@@ -28,8 +28,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked fingerprints."""
-    return simhash.keep_one(docs)
+    """One row of each group of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard.keep_one(docs, words=5, least=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
