@@ -2,8 +2,8 @@
 
 A page becomes a row of blocks, each with the path of block elements from the root down to it. Text length, punctuation and link
 text are summed by path; a path's length and punctuation per block are fused into one weight, damped by its share of link text, and
-smoothed over neighbouring blocks. The region of the article is the page's article or main element, else the parent of the
-heaviest path. Blocks of the region are content unless their path is mostly links; outside of it, a path must come near the
+smoothed over neighbouring blocks. The region of the article is the heavier of the page's article elements and what its main
+element holds besides, else the parent of the heaviest path. Blocks of the region are content unless their path is mostly links; outside of it, a path must come near the
 heaviest one. Elements that are never part of an article (menus, headers, footers, asides, forms, scripts, ...) are left out
 by their tag, role, class or id before anything is weighed.
 
@@ -35,6 +35,8 @@ OUT_NAMES = set(
     "navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets header masthead topbar footer bottombar comment comments commentlist disqus respond reply replies share sharing social related recommended "
     "newsletter subscribe subscription signup login search pagination pager toolbar skip disclaimer".split()
 )
+#: Names that mean page furniture around an article, but parts of it within: its header, a notice box, a section on social life.
+KEPT_INSIDE = set("header masthead notice notices social skip".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 MARKS = re.compile(r"[.,;:!?…。，、]")
@@ -50,7 +52,7 @@ def _left_out(tag: str, attributes: str, inside: bool) -> bool:
         value, name = "".join(values).lower(), name.lower()
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name == "role" and value in OUT_ROLES or name in ("class", "id") and not OUT_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name == "role" and value in OUT_ROLES or name in ("class", "id") and not (OUT_NAMES - KEPT_INSIDE if inside else OUT_NAMES).isdisjoint(re.split(r"[^a-z]+", value)):
             return True
     return False
 
@@ -60,7 +62,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     found: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, bool]] = []  # (tag, whether it or an ancestor is left out)
     parts: list[str] = []
-    linked, link_depth, at, skip_to = 0, 0, 0, None
+    linked, link_depth, at = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -83,14 +85,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         flush()
         del stack[upto:]
 
-    for m in TAG.finditer(html):
-        if m.start() < at:
-            continue
-        if skip_to:
-            if not (m[1] and m[2].lower() == skip_to):
-                continue
-            skip_to, at = None, m.end()
-            continue
+    while m := TAG.search(html, at):
         say(html[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -103,7 +98,9 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                 where = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
                 flush() if where is None else pop(where)
         elif tag in RAW:
-            skip_to = tag
+            # only its own closing tag ends a raw element; whatever else looks like a tag there is text
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            at = close.end() if close else len(html)
         elif tag in VOID:
             flush() if tag == "hr" else parts.append(" ") if parts and tag == "br" else None
         elif tag == "a":
@@ -118,8 +115,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             out = bool(stack and stack[-1][1]) or _left_out(tag, m[3], inside)
             if not m[3].endswith("/") or tag in BLOCK:
                 stack.append((tag, out))
-    if not skip_to:
-        say(html[at:])
+    say(html[at:])
     flush()
     return found
 
@@ -143,10 +139,10 @@ def choose(found: list[tuple[tuple[str, ...], str, int]]) -> list[str]:
         total[path] += s
     score = {p: total[p] / count[p] for p in total}
     heaviest = max(score, key=lambda p: (score[p] * chars[p] ** 0.5, p))
-    named = next((k + 1 for want in ("article", "main") for p in [q for q, _, _ in found] for k, t in enumerate(p) if t == want), None)
+    weight = {want: sum(score[p] * chars[p] for p in score if want in p and (want == "article" or "article" not in p)) for want in ("article", "main")}
+    named = max(("article", "main"), key=weight.get) if any("article" in p or "main" in p for p in score) else None
     if named is not None:
-        want = next(t for t in ("article", "main") if any(t in p for p in score))
-        region = lambda p: want in p
+        region = lambda p: named in p
     else:
         top = heaviest[:-1]
         region = lambda p: len(top) > 2 and p[: len(top)] == top  # noqa: E731  body itself is no region
