@@ -29,6 +29,8 @@ from pyspark.sql import Window as W
 from lintlake.llm.common import cut
 
 LEAF = 64
+#: More than what rounding adds to a distance of unit vectors.
+MARGIN = 1e-7
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -59,7 +61,9 @@ class VpTree:
         own = own.ravel()
         by = np.lexsort((ids, own))
         first = np.searchsorted(own[by], np.arange(len(self.vectors)))
-        self.ids = [ids[by[a:b]][:keep] for a, b in zip(first, [*first[1:], len(by)], strict=True)]
+        self.ids = [np.unique(ids[by[a:b]])[:keep] for a, b in zip(first, [*first[1:], len(by)], strict=True)]
+        self.first = np.array([i[0] for i in self.ids])
+        self.single = np.array([len(i) == 1 for i in self.ids])
         self.unit = _unit(self.vectors)
         self.nodes: list[tuple] = []
         self._grow(np.arange(len(self.vectors)), np.random.default_rng(seed))
@@ -82,24 +86,28 @@ class VpTree:
 
     def nearest(self, ids: np.ndarray, vectors: np.ndarray, k: int, slack: float) -> list[list[tuple[float, int]]]:
         """For each query its k best (score, id), best first; an entry's own id is no candidate."""
-        n, unit, spare = len(ids), _unit(vectors), k + 8
-        best_d, best_e = np.full((n, spare), np.inf), np.full((n, spare), -1)
+        n, unit = len(ids), _unit(vectors)
+        best: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+        reach = np.full(n, np.inf)  # distance of the k-th best
 
         def leaf(members: np.ndarray, who: np.ndarray) -> None:
             d = _distances(unit[who], self.unit[members])
-            alone = np.array([len(self.ids[m]) == 1 for m in members])
-            own = np.array([self.ids[m][0] for m in members])
-            d[(own[None, :] == ids[who, None]) & alone[None, :]] = np.inf
-            d = np.hstack([best_d[who], d])
-            e = np.hstack([best_e[who], np.broadcast_to(members, (len(who), len(members)))])
-            # an entry can be met twice (on the first walk and again): keep its first place only
-            order = np.argsort(e, axis=1, kind="stable")
-            again = np.take_along_axis(e, order, 1)
-            twice = np.zeros(e.shape, bool)
-            np.put_along_axis(twice, order, np.hstack([np.zeros((len(who), 1), bool), (again[:, 1:] == again[:, :-1]) & (again[:, 1:] >= 0)]), 1)
-            d[twice] = np.inf
-            pick = np.argsort(d, axis=1, kind="stable")[:, :spare]
-            best_d[who], best_e[who] = np.take_along_axis(d, pick, 1), np.take_along_axis(e, pick, 1)
+            limit = reach[who]
+            own, fresh = self.first[members], np.zeros(len(members), bool)
+            fresh[np.unique(own, return_index=True)[1]] = True
+            if len(members) >= k:  # entries that are sure to be candidates of their own bound what is scored
+                sure = (fresh & self.single[members])[None, :] & (own[None, :] != ids[who, None])
+                limit = np.minimum(limit, np.partition(np.where(sure, d, np.inf), k - 1, 1)[:, k - 1])
+            # rounding of d is below MARGIN: whatever may tie with the k-th best is ranked by its exact score and id
+            row, col = np.nonzero(d <= limit[:, None] + MARGIN)
+            for at in range(0, len(row), 8192):
+                q, e = who[row[at : at + 8192]], members[col[at : at + 8192]]
+                for x, m, score in zip(q.tolist(), e.tolist(), cosine(vectors[q], self.vectors[e]).tolist(), strict=True):
+                    best[x].extend((score, int(i)) for i in self.ids[m] if i != ids[x])
+                for x in np.unique(q).tolist():
+                    best[x] = sorted(set(best[x]), key=lambda found: (-found[0], found[1]))[:k]
+                    if len(best[x]) == k:
+                        reach[x] = np.sqrt(max(2 - 2 * best[x][-1][0], 0))
 
         def home(at: int, who: np.ndarray) -> None:
             if not len(who):
@@ -125,18 +133,12 @@ class VpTree:
             d = _distances(unit[who], self.unit[[point]])[:, 0]
             for child, low, high in ((near, near_from, near_to), (far, far_from, far_to)):
                 bound = np.maximum(np.maximum(low - d, d - high), 0)
-                visit(child, who[bound <= slack * best_d[who, k - 1] + 1e-7])
+                visit(child, who[bound <= slack * reach[who] + MARGIN])
 
         everyone = np.arange(n)
         home(0, everyone)
         visit(0, everyone)
-        out = []
-        for q in range(n):
-            entries = best_e[q][np.isfinite(best_d[q])].astype(int)
-            scores = cosine(np.broadcast_to(vectors[q], (len(entries), vectors.shape[1])), self.vectors[entries]) if len(entries) else []
-            found = [(s, i) for s, e in zip(scores, entries, strict=True) for i in self.ids[e] if i != ids[q]]
-            out.append(sorted(found, key=lambda x: (-x[0], x[1]))[:k])
-        return out
+        return best
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
