@@ -63,16 +63,19 @@ def waves(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     done = None
     for wave in range(rounds):
         ready = settle(tasks.join(left.select("task").distinct(), "task", "left_anti").withColumn("wave", F.lit(wave)))
-        if ready.isEmpty():
+        if ready.isEmpty():  # what is left waits for itself
             break
         done = ready if done is None else settle(done.unionByName(ready))
         tasks = settle(tasks.join(ready, "task", "left_anti"))
         left = settle(left.join(ready.select(F.col("task").alias("depends_on")), "depends_on", "left_anti").select("task", "depends_on"))
+    else:
+        if not tasks.isEmpty():
+            raise RuntimeError("deeper than the rounds allowed")
     stuck = tasks.withColumn("wave", F.lit(None).cast("int"))
     return stuck if done is None else done.unionByName(stuck)
 
 
-def transitive_exposure(edges: DataFrame, licenses: DataFrame, roots: DataFrame, rounds: int = 50) -> DataFrame:
+def transitive_exposure(edges: DataFrame, licenses: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
     """(root, package, distance) of packages with a copyleft licence below each root. edges: src needs dst."""
     down = settle(edges.select(F.col("src").alias("package"), F.col("dst").alias("next")).distinct())
     seen = settle(roots.select(F.col("module").alias("root"), F.col("module").alias("package"), F.lit(0).alias("distance")))
@@ -83,6 +86,8 @@ def transitive_exposure(edges: DataFrame, licenses: DataFrame, roots: DataFrame,
         if frontier.isEmpty():
             break
         seen = settle(seen.unionByName(frontier))
+    else:
+        raise RuntimeError("deeper than the rounds allowed")
     return seen.join(licenses.where("copyleft"), "package").select("root", "package", "distance", "license")
 
 
