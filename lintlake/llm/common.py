@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), a folder of this process."""
+    """A new path below spark.checkpoint.dir. Where that is unset, a folder of this process in local mode; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lintlake-{uuid.uuid4().hex}"
@@ -28,15 +30,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(docs: DataFrame) -> list[Column]:
+    """All columns of docs, whatever signs their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True for the rows whose crc32(id as text) leaves this remainder; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def text_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Let Arrow batches hold few rows: whole texts can be long, and a worker holds a batch or two at once.
+def text_batches(spark: SparkSession, rows: int = 256, size: int = 32 << 20) -> None:
+    """Let Arrow batches hold few rows and bytes: whole texts can be long, and a worker holds a batch or two at once.
 
-    A session setting, read when a plan is made; it only bounds memory and changes no result.
+    Session settings, read when a plan is made; they only bound memory and change no result. A longer text is a batch of its own.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import text_batches
+from lintlake.llm.common import text_batches, whole_row
 
 UNKNOWN = "und"
 SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -194,9 +194,13 @@ def predict(docs: DataFrame, bank: BloomBank, text_col: str = "text") -> DataFra
         return pd.DataFrame({"lang": lang, "score": score, "coverage": coverage})
 
     found = docs.drop("lang_pred", "score", "coverage").withColumn("__found", of(F.col(text_col)))
-    return found.select(*[c for c in found.columns if c != "__found"], F.col("__found.lang").alias("lang_pred"), "__found.score", "__found.coverage")
+    return found.select(*whole_row(found.drop("__found")), F.col("__found.lang").alias("lang_pred"), "__found.score", "__found.coverage")
 
 
-def identified(coverage_at_least: float = 0.2) -> Column:
-    """For a filter on predict(): rows with a language whose trigrams make up this part of the text's."""
+def identified(coverage_at_least: float = 0.5) -> Column:
+    """For a filter on predict(): rows with a language whose trigrams make up this part of the text's.
+
+    With one of the four languages of the given documents left out of the bank, its texts have a coverage below 0.5 (99.5 to
+    100 % of them), and those of learned languages one of 0.5 or more (all of them).
+    """
     return (F.col("lang_pred") != UNKNOWN) & (F.col("coverage") >= coverage_at_least)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lintlake.llm.common import WORD, cut
+from lintlake.llm.common import WORD, cut, whole_row
 
 HASH_BITS = 48
 LEVEL_BITS = 10
@@ -121,7 +121,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     chosen = plan(cut(sized(docs, id_col, text_col, source_col)), weights, share, most)
     chosen = chosen.select(F.col("source").alias("__of"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
     taken = F.col("__whole") + (_hash(F.col(id_col)) < F.col("__threshold")).cast("long")
-    return docs.join(chosen, F.col(source_col).eqNullSafe(F.col("__of"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), taken.cast("int")))).select(*docs.columns)
+    return docs.join(chosen, F.col(source_col).eqNullSafe(F.col("__of"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), taken.cast("int")))).select(*whole_row(docs))
 
 
 #: The same mix in DuckDB: running sums over the whole hash order in place of histograms.

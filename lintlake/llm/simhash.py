@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import cut, text_batches
+from lintlake.llm.common import cut, text_batches, whole_row
 
 BITS = 64
 
@@ -203,19 +203,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def classes(values: DataFrame, distance: int) -> DataFrame:
+    """(fp, root) of distinct fingerprints: root is the smallest one that links reach."""
+    roots = components(link(values.select("fp"), distance))
+    return values.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
     """One row per row of docs: id, fp (signed), component_id (the smallest id reachable over links)."""
     known = cut(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", words).select("id", "fp"))
-    values = cut(known.groupBy("fp").agg(F.min("id").alias("least_id")))
-    roots = components(link(values.select("fp"), distance))
-    labelled = values.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    labelled = classes(cut(known.groupBy("fp").agg(F.min("id").alias("least_id"))), distance)
     named = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = cut(labelled.join(named, "root").select("fp", "component_id"))
-    return known.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    placed = cut(labelled.join(named, "root").select("fp", "component_id"))
+    return known.join(placed, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
-    """docs with one document of each group: the row whose id names the component. Rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, words, distance)
-    winners = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(winners, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each component: the one with the smallest id (null last), then the smallest hash of its text.
+
+    Rows are chosen by a number of their own: rows that share an id or have none are grouped by their texts like any others.
+    """
+    held = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*whole_row(docs)).alias("doc"))
+    known = cut(fingerprints(held, "text", words).select("row", "id", F.xxhash64("text").alias("hash"), "fp", "doc"))
+    best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "hash", "row"))
+    stay = classes(cut(known.groupBy("fp").agg(best.alias("best"))), distance).groupBy("root").agg(F.min("best").alias("best"))
+    return known.join(cut(stay.select(F.col("best.row").alias("row"))), "row", "left_semi").select("doc.*")

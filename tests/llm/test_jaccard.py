@@ -48,6 +48,22 @@ def test_hot_buckets_lose_nothing(spark, bucket):
     assert sorted(x.doc_id for x in jaccard.keep_one(docs, bucket=bucket).collect()) == plain(rows)
 
 
+def test_crowded_near_copies(spark):
+    """Texts around one long passage, many of them just above or below the limit, in crowded buckets of several blocks."""
+    r = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(k, " ".join(passage + [f"t{r.randrange(40)}" for _ in range(r.randrange(4, 26))])) for k in range(160)]
+    marked = jaccard.mark(spark.createDataFrame(rows, "doc_id long, text string"), "text", 5).select("row", "doc.doc_id", "doc.text", "set.*")
+    marked = spark.createDataFrame(marked.collect(), marked.schema)
+    sets = marked.selectExpr("row AS node", "size", "fp", "bands")
+    found = jaccard.components(jaccard.linked(sets, marked.selectExpr("row AS node", "text"), bucket=4, block=8))
+    lead = {x.node: x.root for x in found.collect()}
+    groups = {}
+    for x in sorted(marked.collect(), key=lambda x: x.doc_id):
+        groups.setdefault(lead.get(x.row, x.row), x.doc_id)
+    assert sorted(groups.values()) == plain(rows)
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [(x.doc_id, x.text) for x in docs.collect()]

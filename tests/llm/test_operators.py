@@ -507,3 +507,10 @@ def test_near_duplicate_edges(edge, empty):
     kept = simhash.keep_one(edge)
     assert kept.columns == edge.columns and sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == [(False, 1), (False, 4), (False, 6), (False, 7), (True, 0)]
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_keep_one_by_row(spark):
+    one, two = "one text that stands here under two ids", "and another that stands under one of them alone"
+    rows = [(3, two), (5, two), (5, one), (9, "a third"), (None, "a fourth one"), (None, "a fourth one")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in kept) == [(0, "a fourth one"), (3, two), (5, one), (9, "a third")]
