@@ -87,11 +87,11 @@ def mark(docs: DataFrame, text_col: str, words: int) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), of(F.col(text_col)).alias("set"), F.struct(*whole_row(docs)).alias("doc"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, least: float, salts: int = 1) -> DataFrame:
-    """The pairs (src, dst) whose sets are similar enough. sets: node, hashes. salts: copies of each src's set, where few stand in many pairs."""
+def similar(pairs: DataFrame, sets: DataFrame, least: float, salts: int = 4) -> DataFrame:
+    """The pairs (src, dst) whose sets are similar enough. sets: node, hashes. salts: copies of each src's set, as few stand in many pairs."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(salts)))
     left = sets.join(pairs.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("src"), F.col("hashes").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    both = salted.join(sets.select(F.col("node").alias("dst"), F.col("hashes").alias("b")), "dst").join(left, ["src", "salt"])
+    both = salted.join(sets.select(F.col("node").alias("dst"), F.col("hashes").alias("b")).hint("merge"), "dst").join(left.hint("merge"), ["src", "salt"])
     return cut(both.where(_possible(F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b"), least)).select("src", "dst"))
 
 
@@ -122,7 +122,7 @@ def narrowed(members: DataFrame, sets: DataFrame, least: float, rounds: int = 2)
     return members
 
 
-def linked(sets: DataFrame, texts: DataFrame, words: int = 5, least: float = 0.8, bucket: int = 64, block: int = 1024) -> DataFrame:
+def linked(sets: DataFrame, texts: DataFrame, words: int = 5, least: float = 0.8, bucket: int = 8, block: int = 1024) -> DataFrame:
     """Edges (src, dst) that connect the same sets as all proposed pairs of at least that similarity. sets: node, size, fp, bands; texts: node, text."""
     heads = cut(sets.groupBy("fp").agg(F.min("node").alias("head")))
     near = link(heads.select("fp"))
@@ -133,17 +133,14 @@ def linked(sets: DataFrame, texts: DataFrame, words: int = 5, least: float = 0.8
         .union(sets.join(heads, "fp").where("node <> head").select(F.col("head").alias("src"), F.col("node").alias("dst")))
     )
     index = cut(sets.select("node", "size", F.explode("bands").alias("key")))
-    mixed_up = F.struct(F.xxhash64("node", "key"), F.col("node").alias("node"))
-    by_size = F.struct("size", "node")
-    counted = cut(
-        index.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(by_size)["node"].alias("low"), F.max(by_size)["node"].alias("high"), F.min(mixed_up)["node"].alias("one"), F.max(mixed_up)["node"].alias("other"))
-        .where("n > 1")
-    )
-    cold = cut(index.join(counted.where(F.col("n") <= bucket).select("key"), "key", "left_semi"))
-    hot = cut(index.join(counted.where(F.col("n") > bucket).select("key", "n"), "key"))
-    pairs = paired(cold, least).select("src", "dst").union(by_bits)
-    pairs = cut(pairs.distinct())
+    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = cut(index.hint("merge").join(shared, "key"))
+    cold, hot = placed.where(F.col("n") <= bucket), placed.where(F.col("n") > bucket)
+    by_size, by_hash = F.struct("size", "node"), F.struct(F.xxhash64("node"), "node", "size")  # the hash is alike in all buckets of a group
+    ends = hot.groupBy("key").agg(*[F.struct(of["node"].alias("node"), of["size"].alias("size")).alias(f"c{k}") for k, of in enumerate((F.min(by_size), F.max(by_size), F.min(by_hash), F.max(by_hash)))])
+    leads = cut(ends.select("key", F.explode(F.array("c0", "c1", "c2", "c3")).alias("lead")).select("key", F.col("lead.node").alias("src"), F.col("lead.size").alias("sa")))
+    stars = hot.join(leads, "key").where((F.col("src") != F.col("node")) & _possible(F.least("sa", "size"), F.col("sa"), F.col("size"), least)).select("src", F.col("node").alias("dst"))
+    pairs = cut(paired(cold, least).select("src", "dst").union(by_bits).union(stars).distinct())
 
     @F.pandas_udf("array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -151,16 +148,13 @@ def linked(sets: DataFrame, texts: DataFrame, words: int = 5, least: float = 0.8
             yield pd.Series([shingles(t, words).view(np.int64) for t in some], dtype=object)
 
     asked = pairs.select(F.explode(F.array("src", "dst")).alias("node")).union(hot.select("node")).distinct()
-    whole = cut(texts.join(asked, "node", "left_semi").select("node", of(F.col("text")).alias("hashes")))
+    whole = cut(texts.hint("merge").join(asked, "node", "left_semi").select("node", of(F.col("text")).alias("hashes")))
     edges = similar(pairs, whole, least)
     if hot.isEmpty():
         return edges
-    leads = counted.where(F.col("n") > bucket).select("key", F.explode(F.array("low", "high", "one", "other")).alias("src"))
-    stars = cut(hot.join(leads, "key").where("src <> node").select("src", F.col("node").alias("dst")).distinct())
-    edges = cut(edges.union(similar(stars, whole, least, 64)))
-    placed = cut(hot.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    left = narrowed(cut(placed.join(mixed, "key", "left_semi").select("key", "node", "size", "root")), whole, least)
+    rooted = cut(hot.join(components(edges), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    left = narrowed(cut(rooted.join(mixed, "key", "left_semi")), whole, least)
     return edges.union(similar(cut(across_roots(left, least, block)), whole, least))
 
 
@@ -188,7 +182,7 @@ def across_roots(members: DataFrame, least: float, block: int) -> DataFrame:
     return met.where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits & once).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bucket: int = 64) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bucket: int = 8) -> DataFrame:
     """docs with one row of each component of similar texts."""
     marked = cut(mark(docs, text_col, words))
     doc_id, text = F.col("doc").getField(id_col), F.col("doc").getField(text_col)
@@ -196,4 +190,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     sets = cut(marked.groupBy("set.digest").agg(best.alias("best"), F.first("set.size").alias("size"), F.first("set.fp").alias("fp"), F.first("set.bands").alias("bands")).withColumn("node", F.col("best.row")).drop("digest"))
     roots = components(linked(sets.select("node", "size", "fp", "bands"), marked.select(F.col("row").alias("node"), text.alias("text")), words, least, bucket))
     stay = sets.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
-    return marked.join(cut(stay), "row", "left_semi").select("doc.*")
+    return marked.hint("merge").join(cut(stay), "row", "left_semi").select("doc.*")
