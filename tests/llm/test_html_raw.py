@@ -23,3 +23,49 @@ def test_names_yield_inside_an_article(name):
 def test_heaviest_region():
     page = f"<html><body><main>{BODY}</main><article><p>A teaser.</p></article></body></html>"
     assert html_extract.main_text(page) == TEXT
+
+
+def test_ratios_decide(monkeypatch):
+    """Paragraphs and furniture differ by their ratios alone: no name, role or tag tells them apart."""
+    links = '<div class="x1"><p><a href="/a">One</a> <a href="/b">Two</a> <a href="/c">Three and four</a></p></div>'
+    page = f'<html><body><div class="x2"><p>Buy now</p></div><div class="x3">{BODY}{links}</div></body></html>'
+    assert html_extract.main_text(page) == TEXT
+    assert html_extract.main_text(f"<html><body><article>{BODY}{links}</article></body></html>") == TEXT
+    assert html_extract.main_text(f'<html><body><div class="x2"><p>Buy it now, or never.</p></div><article>{BODY}</article></body></html>') == TEXT
+    right = html_extract.ratios
+    monkeypatch.setattr(html_extract, "ratios", lambda found: dict(zip(right(found), reversed(list(right(found).values())), strict=True)))
+    assert html_extract.main_text(page) != TEXT
+
+
+def test_ratios_by_hand():
+    found = [(1, "One two.", 0), (2, "abcd", 4), (1, "Three, four.", 0), (3, "links here", 5)]
+    path = {1: [0, 2], 2: [1], 3: [3]}
+
+    def fused(p):
+        own = [found[k] for k in path[p]]
+        n, chars = len(own), sum(len(t) for _, t, _ in own)
+        marks, links = sum(t.count(".") + t.count(",") for _, t, _ in own), sum(x for *_, x in own)
+        return (chars / n * (1 + marks / n)) ** 0.5, 1 - links / chars
+
+    row = [fused(p)[0] for p, *_ in found]
+    smooth = [(row[max(k - 1, 0)] + 2 * row[k] + row[min(k + 1, 3)]) / 4 for k in range(4)]
+    want = {p: sum(smooth[k] for k in at) / len(at) * fused(p)[1] ** 3 for p, at in path.items()}
+    got = html_extract.ratios(found)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want) and got[2] == 0
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<a '", "<a '>'", "<", "<!", "<script>", "<b>x</p>", "<li>x</div>", '<p class="a'])
+def test_time_in_proportion(unit):
+    import time
+
+    began = time.perf_counter()
+    html_extract.main_text(unit * (500_000 // len(unit)))
+    assert time.perf_counter() - began < 20
+    html_extract.main_text("<div>" * 30_000 + "</p>" * 30_000 + BODY)
+
+
+def test_regions():
+    assert html_extract.main_text(f'<body><div class="page"><div class="left"><p>Aside words</p></div><div class="story">{BODY}<ul><li>a point</li></ul></div></div></body>') == TEXT + "\na point"
+    table = "<table><tr><td>12</td><td>13</td></tr></table>"
+    assert html_extract.main_text(f"<body><article>{BODY}{table}</article><p>Out</p></body>") == TEXT + "\n12\n13"
+    assert html_extract.main_text("<body><footer><p>Only a footer, with a sentence or two in it. Nothing else.</p></footer></body>") == ""
