@@ -3,7 +3,7 @@
 mark()       docs with a row number and, of each text's set of shingle hashes, a digest, its size, its SimHash and one key per band.
 linked()     edges between distinct sets whose similarity is at least `least`. Candidates come from two searches: SimHash fingerprints
              by the generalised pigeonhole search, and sets that share a MinHash band key. Buckets of up to `bucket` sets are paired.
-             Members of larger ones meet four representatives first; then only members of different components are paired, and of
+             Members of larger ones meet two representatives first, the smallest set and one by its hash; then only members of different components are paired, and of
              these only those whose sizes and common shingles leave a similarity of `least` possible.
 keep_one()   docs with one row of each component.
 
@@ -28,6 +28,8 @@ from lintlake.llm.common import cut, text_batches, whole_row
 from lintlake.llm.simhash import BITS, components, link
 
 BANDS, ROWS = 32, 5
+#: Longs in the bitmap of a set, for an upper bound of what two sets share.
+LONGS = 16
 _RNG = np.random.default_rng(11)
 FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -102,7 +104,7 @@ def _possible(shared: Column, a: Column, b: Column, least: float) -> Column:
 
 
 def narrowed(members: DataFrame, sets: DataFrame, least: float, rounds: int = 2) -> DataFrame:
-    """members (key, node, size, root) with `shared`, without those that can have no similar partner of another root.
+    """members (key, node, size, root) with `shared`, `bits` and `spare`, without those that can have no similar partner of another root.
 
     A partner of another root shares at most the shingles that stand under two roots or more (`shared`), and is no smaller than the
     smallest member of another root in the same bucket. Leaving members out lowers these counts, hence the rounds; their number
@@ -112,13 +114,17 @@ def narrowed(members: DataFrame, sets: DataFrame, least: float, rounds: int = 2)
         inside = members.select("node", "root").distinct()
         rows = cut(sets.join(inside, "node").select("node", "root", F.explode("hashes").alias("hash")))
         across = rows.groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("hash")
-        shared = rows.join(across, "hash", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-        counted = cut(members.drop("shared").join(shared, "node"))
+        slot = F.pmod("hash", F.lit(64 * LONGS)).cast("int")
+        marked = rows.join(across, "hash", "left_semi").select("node", F.floor(slot / 64).cast("int").alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), slot % 64).alias("bit"))
+        bits = F.array(*[F.bit_or(F.when(F.col("place") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))) for k in range(LONGS)])
+        shared = marked.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), bits.alias("bits"))
+        shared = shared.withColumn("spare", F.col("shared") - F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: a + F.bit_count(b)))
+        counted = cut(members.drop("shared", "bits", "spare").join(shared, "node"))
         by_root = counted.groupBy("key", "root").agg(F.min("size").alias("size"))
         first = by_root.groupBy("key").agg(F.min(F.struct("size", "root")).alias("first"))
         second = by_root.join(first, "key").where("root <> first.root").groupBy("key", "first").agg(F.min("size").alias("second"))
         other = F.when(F.col("root") == F.col("first.root"), F.col("second")).otherwise(F.col("first.size"))
-        members = cut(counted.join(second, "key").where(_possible(F.col("shared"), F.col("size"), other, least)).select("key", "node", "size", "root", "shared"))
+        members = cut(counted.join(second, "key").where(_possible(F.col("shared"), F.col("size"), other, least)).select("key", "node", "size", "root", "shared", "bits", "spare"))
     return members
 
 
@@ -137,8 +143,8 @@ def linked(sets: DataFrame, texts: DataFrame, words: int = 5, least: float = 0.8
     placed = cut(index.hint("merge").join(shared, "key"))
     cold, hot = placed.where(F.col("n") <= bucket), placed.where(F.col("n") > bucket)
     by_size, by_hash = F.struct("size", "node"), F.struct(F.xxhash64("node"), "node", "size")  # the hash is alike in all buckets of a group
-    ends = hot.groupBy("key").agg(*[F.struct(of["node"].alias("node"), of["size"].alias("size")).alias(f"c{k}") for k, of in enumerate((F.min(by_size), F.max(by_size), F.min(by_hash), F.max(by_hash)))])
-    leads = cut(ends.select("key", F.explode(F.array("c0", "c1", "c2", "c3")).alias("lead")).select("key", F.col("lead.node").alias("src"), F.col("lead.size").alias("sa")))
+    ends = hot.groupBy("key").agg(*[F.struct(of["node"].alias("node"), of["size"].alias("size")).alias(f"c{k}") for k, of in enumerate((F.min(by_size), F.min(by_hash)))])
+    leads = cut(ends.select("key", F.explode(F.array("c0", "c1")).alias("lead")).select("key", F.col("lead.node").alias("src"), F.col("lead.size").alias("sa")))
     stars = hot.join(leads, "key").where((F.col("src") != F.col("node")) & _possible(F.least("sa", "size"), F.col("sa"), F.col("size"), least)).select("src", F.col("node").alias("dst"))
     pairs = cut(paired(cold, least).select("src", "dst").union(by_bits).union(stars).distinct())
 
@@ -168,18 +174,20 @@ def paired(members: DataFrame, least: float) -> DataFrame:
 def across_roots(members: DataFrame, least: float, block: int) -> DataFrame:
     """Pairs (src, dst) of members of one bucket but different roots that may be similar, each once: at the first key that both have.
 
-    A bucket is dealt into blocks of about `block` members, and each two blocks meet in a row group of their own, so that no bucket
+    Two sets share at most as many members as bits of their bitmaps, and what either has more members than bits. A bucket is dealt into blocks of about `block` members, and each two blocks meet in a row group of their own, so that no bucket
     is one task's work.
     """
     keys = members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # a key a band at most
     blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = cut(members.join(keys, "node").join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     everyone = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    side = lambda names, own, other: dealt.select("key", F.col("own").alias(own), everyone.alias(other), *[F.col(c).alias(f"{c}_{names}") for c in ("node", "size", "root", "shared", "keys")])
+    side = lambda names, own, other: dealt.select("key", F.col("own").alias(own), everyone.alias(other), *[F.col(c).alias(f"{c}_{names}") for c in ("node", "size", "root", "shared", "bits", "spare", "keys")])
     met = side("a", "at", "with").join(side("b", "with", "at"), ["key", "at", "with"])
     fits = _possible(F.least("shared_a", "shared_b", "size_a", "size_b"), F.col("size_a"), F.col("size_b"), least)
     once = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key")
-    return met.where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits & once).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
+    both = F.aggregate(F.zip_with("bits_a", "bits_b", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda a, b: a + b)
+    close = _possible(both + F.least("spare_a", "spare_b"), F.col("size_a"), F.col("size_b"), least)
+    return met.where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits & once & close).select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bucket: int = 8) -> DataFrame:
