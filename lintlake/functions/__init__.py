@@ -20,6 +20,12 @@ def value_hash(*parts: Column) -> Column:
     return F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(16))
 
 
+def hash31(text: Column) -> Column:
+    """Signed 32-bit hash of a text: 31 times the hash so far plus the next UTF-16 unit; null stays null, empty is 0."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), 1), lambda u: F.conv(u, 16, 10).cast("long"))
+    return F.aggregate(units, F.lit(0).cast("long"), lambda h, u: F.pmod(h * 31 + u + (1 << 31), F.lit(1 << 32)) - (1 << 31))
+
+
 def mask(text: Column, head: int, tail: int) -> Column:
     return F.concat(F.left(text, F.lit(head)), F.lit("***"), F.right(text, F.lit(tail)))
 

@@ -138,7 +138,7 @@ def null_flow(lines: DataFrame) -> DataFrame:
     used = lines.select(*FILE, F.col("line_no").alias("use"), F.explode(F.regexp_extract_all("text", F.lit(r"(\w+)[.=]"), 1)).alias("name")).distinct()
     guards = lines.select(*FILE, F.col("line_no").alias("guard"), F.regexp_extract("text", r"if\s*\(\s*!?(\w+)", 1).alias("name")).where("name <> ''")
     later = declared.join(used, [*FILE, "name"]).where("use > decl")
-    return later.join(guards, (later["repo"] == guards["repo"]) & (later["path"] == guards["path"]) & (later["name"] == guards["name"]) & (guards["guard"] <= later["use"]), "left_anti")
+    return later.join(guards, (later["repo"] == guards["repo"]) & (later["path"] == guards["path"]) & (later["name"] == guards["name"]) & (guards["guard"] > later["decl"]) & (guards["guard"] <= later["use"]), "left_anti")
 
 
 def marker_blocks(lines: DataFrame, start: str, end: str) -> DataFrame:
@@ -153,15 +153,17 @@ def marker_blocks(lines: DataFrame, start: str, end: str) -> DataFrame:
 def extract_functions(lines: DataFrame) -> DataFrame:
     """Functions with their span, parameters and a cyclomatic estimate.
 
-    A function ends at the first later line on which the brace depth is back at what it was before its header. Each header
-    meets only the lines of its own file that close a brace at that depth.
+    A function ends at the first later line on which the brace depth is back at what it was before its header: the next closing
+    line in the order of a file's headers and closing lines at that depth.
     """
     from lintlake.operators.scan import brace_depth
 
     deep = brace_depth(lines).withColumn("before", F.col("depth") - F.col("delta"))
     heads = deep.select(*FILE, F.col("line_no").alias("start"), F.regexp_extract("text", r"function\s+(\w+)\s*\(", 1).alias("name"), F.size(F.filter(F.split(F.regexp_extract("text", r"function\s+\w+\s*\(([^)]*)\)", 1), ","), lambda p: p != "")).alias("parameters"), F.col("before").alias("depth"), (F.col("delta") > 0).alias("opens")).where("name <> '' AND opens")
-    closes = deep.where("delta < 0").select(*FILE, F.col("line_no").alias("at"), "depth")
-    spans = heads.join(closes, [*FILE, "depth"]).where("at > start").groupBy(*FILE, "start", "name", "parameters").agg(F.min("at").alias("end"))
+    closes = deep.where("delta < 0").select(*FILE, "depth", F.col("line_no").alias("start"), F.col("line_no").alias("at"))
+    later = W.partitionBy(*FILE, "depth").orderBy("start").rowsBetween(1, W.unboundedFollowing)
+    both = heads.drop("opens").unionByName(closes, allowMissingColumns=True)
+    spans = both.withColumn("end", F.first("at", ignorenulls=True).over(later)).where("name IS NOT NULL AND end IS NOT NULL").drop("depth", "at")
     branch = F.regexp_count("text", F.lit(r"\b(?:if|for|while|case|catch)\b|&&|\|\|")).cast("long")
     upto = W.partitionBy(*FILE).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     running = lines.withColumn("branches", F.sum(branch).over(upto)).select(*FILE, "line_no", "branches")

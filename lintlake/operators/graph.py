@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import normalize_path
-from lintlake.operators.scratch import settle
+from lintlake.operators.scratch import settle, shared_path
 
 
 def module_coupling(edges: DataFrame) -> DataFrame:
@@ -45,14 +45,26 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
     """(module, distance): everything that depends on a seed, directly or not. edges: src imports dst; seeds: module."""
     back = settle(edges.select(F.col("dst").alias("module"), F.col("src").alias("next")).distinct())
-    seen = settle(seeds.select("module").distinct().withColumn("distance", F.lit(0)))
-    frontier = seen
+    return _spread(back, seeds.select("module").distinct(), rounds)
+
+
+def _spread(steps: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
+    """start, and what a walk along steps (module, next) reaches from each of its rows, with the distance.
+
+    A round writes what it adds to a folder of its own; nothing that is known is written again.
+    """
+    spark, path, keys = start.sparkSession, shared_path(start.sparkSession), start.columns
+    start.write.parquet(f"{path}/distance=0")
+    known = lambda k: spark.read.schema(start.schema).parquet(f"{path}/distance={k}")
     for distance in range(1, rounds + 1):
-        fresh = frontier.join(back, "module").select(F.col("next").alias("module")).distinct()
-        frontier = settle(fresh.join(seen, "module", "left_anti").withColumn("distance", F.lit(distance)))
+        frontier = known(distance - 1)
         if frontier.isEmpty():
-            return seen
-        seen = settle(seen.unionByName(frontier))
+            return spark.read.schema(start.withColumn("distance", F.lit(0)).schema).parquet(path).select(*keys, "distance")
+        seen = spark.read.schema(start.schema).parquet(*[f"{path}/distance={k}" for k in range(distance)])
+        fresh = frontier.join(steps, "module").drop("module").withColumnRenamed("next", "module").select(*keys).distinct()
+        fresh.join(seen, keys, "left_anti").select(*keys).write.parquet(f"{path}/distance={distance}")
+    if known(rounds).isEmpty():
+        return spark.read.schema(start.withColumn("distance", F.lit(0)).schema).parquet(path).select(*keys, "distance")
     raise RuntimeError("deeper than the rounds allowed")
 
 
@@ -76,19 +88,15 @@ def waves(edges: DataFrame, rounds: int = 1000) -> DataFrame:
 
 
 def transitive_exposure(edges: DataFrame, licenses: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(root, package, distance) of packages with a copyleft licence below each root. edges: src needs dst."""
-    down = settle(edges.select(F.col("src").alias("package"), F.col("dst").alias("next")).distinct())
-    seen = settle(roots.select(F.col("module").alias("root"), F.col("module").alias("package"), F.lit(0).alias("distance")))
-    frontier = seen
-    for distance in range(1, rounds + 1):
-        fresh = frontier.join(down, "package").select("root", F.col("next").alias("package")).distinct()
-        frontier = settle(fresh.join(seen, ["root", "package"], "left_anti").withColumn("distance", F.lit(distance)))
-        if frontier.isEmpty():
-            break
-        seen = settle(seen.unionByName(frontier))
-    else:
-        raise RuntimeError("deeper than the rounds allowed")
-    return seen.join(licenses.where("copyleft"), "package").select("root", "package", "distance", "license")
+    """(root, package, distance) of packages with a copyleft licence below each root. edges: src needs dst.
+
+    The walk goes up from the copyleft packages, which are few, and not down from every root.
+    """
+    up = settle(edges.select(F.col("dst").alias("module"), F.col("src").alias("next")).distinct())
+    targets = licenses.where("copyleft").select("package").distinct().withColumn("module", F.col("package"))
+    found = _spread(up, targets, rounds).withColumnRenamed("module", "root")
+    named = licenses.where("copyleft").select("package", "license")
+    return found.join(roots.select(F.col("module").alias("root")).distinct(), "root", "left_semi").join(named, "package").select("root", "package", "distance", "license")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

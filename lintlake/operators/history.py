@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lintlake.functions import js_round
+from lintlake.operators.scratch import settle
 
 
 def since(df: DataFrame, day: str, as_of: str, days: int) -> DataFrame:
@@ -221,26 +225,41 @@ def reliability(calls: DataFrame) -> DataFrame:
     """Each provider's score and circuit after all its calls, in hundredths: a weight of 0.3 on +5 or -15, within 0 and 10000;
     under 3000 the circuit opens, for 60 seconds; then one success closes it and adds 1000, a failure opens it again.
 
-    The circuit's steps do not compose, so a provider's calls are folded in one task; for unbounded logs use the streaming form."""
-    zero = F.struct(F.lit(10000).alias("score"), F.lit("closed").alias("circuit"), F.lit(0).cast("long").alias("opened"))
-
-    def step(a: Column, x: Column) -> Column:
-        now, ok = x["at"], x["success"]
-        score = F.greatest(F.lit(0), F.least(F.lit(10000), a["score"] + F.when(ok, 150).otherwise(-450)))
-        tripped = (a["circuit"] == "closed") & (score < 3000)
-        opened = F.when(tripped, now).otherwise(a["opened"])
-        first = F.when(tripped, "open").otherwise(a["circuit"])
-        half = F.when((first == "open") & (now - opened > 60), "half-open").otherwise(first)
-        closes, reopens = (half == "half-open") & ok, (half == "half-open") & ~ok
-        return F.struct(
-            F.when(closes, F.least(F.lit(10000), score + 1000)).otherwise(score).cast("int").alias("score"),
-            F.when(closes, "closed").when(reopens, "open").otherwise(half).alias("circuit"),
-            F.when(reopens, now).otherwise(opened).cast("long").alias("opened"),
-        )
-
-    each = F.sort_array(F.collect_list(F.struct("ts", "call_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "success")))
-    out = calls.groupBy("provider").agg(F.aggregate(each, zero, step).alias("s"), F.count_if("success").alias("successes"), F.count_if(~F.col("success")).alias("errors"))
-    return out.select("provider", (F.col("s.score") / 100).alias("score"), F.col("s.circuit").alias("circuit"), "successes", "errors")
+    The circuit's steps depend on the order of all of a provider's calls: they are sorted on disk within a partition and pass by in
+    batches, of which only the last state is kept, so a log of any length fits. A provider is one task's work.
+    """
+    ordered = calls.select("provider", "ts", "call_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "success").repartition("provider").sortWithinPartitions("provider", "ts", "call_id")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, own, state = ["provider", "score", "circuit", "successes", "errors"], None, None
+        for batch in batches:
+            done = []
+            for provider, at, success in zip(batch["provider"], batch["at"].tolist(), batch["success"].tolist(), strict=True):
+                if state is None or provider != own:
+                    if state is not None:
+                        done.append((own, state[0] / 100, state[1], state[3], state[4]))
+                    own, state = provider, (10000, "closed", 0, 0, 0)
+                score, circuit, opened = circuit_step(*state[:3], at, success)
+                state = (score, circuit, opened, state[3] + success, state[4] + (not success))
+            yield pd.DataFrame(done, columns=columns)
+        if state is not None:
+            yield pd.DataFrame([(own, state[0] / 100, state[1], state[3], state[4])], columns=columns)
+
+    kind = calls.schema["provider"].dataType.simpleString()
+    return ordered.select("provider", "at", "success").mapInPandas(fold, f"provider {kind}, score double, circuit string, successes long, errors long")
+
+
+def circuit_step(score: int, circuit: str, opened: float, now: float, success: bool) -> tuple[int, str, float]:
+    """Score, circuit and the time it opened after one more call."""
+    score = min(10000, max(0, score + (150 if success else -450)))
+    if circuit == "closed" and score < 3000:
+        circuit, opened = "open", now
+    if circuit == "open" and now - opened > 60:
+        if success:
+            circuit, score = "closed", min(10000, score + 1000)
+        else:
+            opened = now
+    return score, circuit, opened
 
 
 # ---------------------------------------------------------------- samples
@@ -254,11 +273,20 @@ def histogram(samples: DataFrame, n: int = 10) -> DataFrame:
 
 
 def latency_summary(samples: DataFrame) -> DataFrame:
-    """Percentiles at 0-based place floor(n * q) of each op's ascending samples."""
-    w = W.partitionBy("op")
-    r = samples.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy("ms")) - 1)
-    at = lambda q: F.max(F.when(F.col("place") == F.floor(F.col("n") * q), F.col("ms")))
-    return r.groupBy("op").agg(F.count(F.lit(1)).alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """Percentiles at 0-based place floor(n * q) of each op's ascending samples.
+
+    Equal samples are counted first, the values dealt by range over all tasks, and each range gets its start from the counts of those
+    before it: no op is ever in one task.
+    """
+    counted = settle(samples.groupBy("op", "ms").agg(F.count(F.lit(1)).alias("k")).repartitionByRange("op", "ms").withColumn("part", F.spark_partition_id()))
+    sums = counted.groupBy("op", "part").agg(F.sum("k").alias("k"))  # a row for each op and range
+    before = W.partitionBy("op").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("op", "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"), F.sum("k").over(W.partitionBy("op")).alias("n"))
+    upto = W.partitionBy("op", "part").orderBy("ms").rowsBetween(W.unboundedPreceding, 0)
+    r = counted.withColumn("upto", F.sum("k").over(upto)).join(starts, ["op", "part"]).withColumn("last", F.col("base") + F.col("upto"))
+    inside = lambda q: (F.floor(F.col("n") * q) >= F.col("last") - F.col("k")) & (F.floor(F.col("n") * q) < F.col("last"))
+    at = lambda q: F.max(F.when(inside(q), F.col("ms")))
+    return r.groupBy("op").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def longest_rise(samples: DataFrame, least: float = 0.05) -> DataFrame:

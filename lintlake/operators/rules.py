@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -12,6 +13,13 @@ class Rule(NamedTuple):
     message: str
 
 
+def unless(*words: str) -> str:
+    """Pattern of what starts with none of the words, without look-ahead: it leaves their letters at some point, or ends there."""
+    starts = sorted({w[:k] for w in words for k in range(len(w))})
+    after = {p: "".join(sorted({w[len(p)] for w in words if w.startswith(p)})) for p in starts}
+    return "(?:" + "|".join(f"{re.escape(p)}(?:[^{re.escape(after[p])}]|$)" for p in starts) + ")"
+
+
 #: Lines that define rules themselves; packs that would find themselves skip them.
 RULE_LINE = r"regex\s*:|/.*/[gimsuy]*\s*,|severity\s*:"
 
@@ -67,7 +75,7 @@ VULNS = [
     (Rule("SEC-006", "medium", r"createHash\s*\(\s*['\"]sha1['\"]\)", "sha1"), "CWE-327"),
     (Rule("SEC-007", "medium", r"Math\.random\s*\(\)", "weak random"), "CWE-330"),
     (Rule("SEC-008", "critical", r"(?:jwt|jsonwebtoken)\.(?:sign|verify)\s*\([^)]*['\"][a-zA-Z0-9]{8,}['\"]", "jwt secret"), "CWE-798"),
-    (Rule("SEC-009", "medium", r"http://(?:[^l10]|l[^o]|1[^2]|0[^.])", "no https"), "CWE-319"),
+    (Rule("SEC-009", "medium", "http://" + unless("localhost", "127.0.0.1", "0.0.0.0"), "no https"), "CWE-319"),
     (Rule("SEC-010", "high", r"(?:readFile|writeFile|createReadStream|createWriteStream)\s*\(\s*(?:\w+\s*\+|`[^`]*\$\{)", "path traversal"), "CWE-22"),
     (Rule("SEC-011", "medium", r"\[(?:key|prop|k|name|attr)\]\s*=|\bObject\.assign\s*\(\s*\{\}", "prototype pollution"), "CWE-1321"),
     (Rule("SEC-012", "medium", r"['\"]Access-Control-Allow-Origin['\"]\s*[,:]\s*['\"]\*['\"]", "cors wildcard"), "CWE-346"),
@@ -130,6 +138,9 @@ IP_MARKERS = [
 ]
 KNOWN_LICENSE = r"(?i)\bcopyright\s+\d{4}\b.*(?:MIT|Apache|BSD|ISC)"
 
+#: Any text that LICENSES can name has one of these in it, whatever the case.
+LICENSE_WORD = r"(?i)licens|CC0|CC-|commons|WTFPL|BSD|MIT|Apache|ISC|zlib|X11|BlueOak|Artistic|Python|PSF|LGPL|MPL|EPL|CDDL|GPL|Affero|EUPL|SSPL|BSL|Elastic"
+
 #: SPDX id, risk tier, pattern; the first that matches names the licence. GPL accepts a comma before its version.
 LICENSES = [
     ("Unlicense", "public-domain", r"(?i)\bUnlicense\b"),

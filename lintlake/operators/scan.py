@@ -162,8 +162,9 @@ def scan_secrets(lines: DataFrame, least_entropy: float = 3.0) -> DataFrame:
 
 def scan_secrets_generic(lines: DataFrame) -> DataFrame:
     """Every pattern of the second list that a line matches, masked to its ends."""
-    each = [F.when(F.col("text").rlike(r.pattern), F.struct(F.lit(r.rule_id).alias("rule_id"), mask(F.regexp_extract("text", r.pattern, 0), 8, 4).alias("masked"))) for r in R.SECRETS_GENERIC]
-    return lines.select(*FILE, F.col("line_no").alias("line"), F.inline(F.filter(F.array(*each), lambda h: h.isNotNull())))
+    each = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.regexp_extract("text", r.pattern, 0).alias("secret")) for r in R.SECRETS_GENERIC])
+    found = lines.select(*FILE, F.col("line_no").alias("line"), F.inline(F.filter(each, lambda h: h["secret"] != "")))  # no pattern matches nothing
+    return found.select(*FILE, "line", "rule_id", mask(F.col("secret"), 8, 4).alias("masked"))
 
 
 def scan_ip_markers(lines: DataFrame) -> DataFrame:
@@ -174,10 +175,11 @@ def scan_ip_markers(lines: DataFrame) -> DataFrame:
 
 
 def classify_license(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with spdx_id and risk_tier: an exact id, else the first pattern that matches, else null."""
+    """df with spdx_id and risk_tier: an exact id, else the first pattern that matches, else null. Most texts fail one cheap test."""
     tier = {spdx.lower(): (spdx, t) for spdx, t, _ in reversed(R.LICENSES)}
     exact = F.create_map(*[F.lit(x) for key, (spdx, _) in tier.items() for x in (key, spdx)])
     first = F.coalesce(exact[F.lower(F.col(text))], *[F.when(F.col(text).rlike(p), F.lit(s)) for s, _, p in R.LICENSES])
+    first = F.when(F.col(text).rlike(R.LICENSE_WORD), first)
     tiers = F.create_map(*[F.lit(x) for spdx, t in tier.values() for x in (spdx, t)])
     return df.withColumn("spdx_id", first).withColumn("risk_tier", tiers[F.col("spdx_id")])
 

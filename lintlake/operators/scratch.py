@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which all executors share; where that is unset (tests), a folder of this process."""
+    """A new path below spark.checkpoint.dir, which all executors share. Where that is unset, a folder of this process in local mode; an
+    error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lintlake-{uuid.uuid4().hex}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from lintlake.functions import js_round
 def search_code(lines: DataFrame, query: str, k: int = 50) -> DataFrame:
     """Lines that contain a fixed string, by additive signals: exact word, line start, declaration, short line, not a comment, not a test."""
     text, low = F.col("text"), query.lower()
-    word = rf"(?i)\b{query}\b"
+    word = rf"(?i)(?<!\w){re.escape(query)}(?!\w)"  # the query is no pattern
     score = (
         F.lit(10)
         + F.when(text.rlike(word), 20).otherwise(0)
@@ -107,7 +109,7 @@ def jaro_winkler(a: str | None, b: str | None, scale: float = 0.1) -> float:
     if not hits:
         return 0.0
     other = [c for c, u in zip(b, used, strict=True) if u]
-    m, swaps = len(hits), sum(x != y for x, y in zip(hits, other, strict=True)) // 2
+    m, swaps = len(hits), sum(x != y for x, y in zip(hits, other, strict=True)) / 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4], strict=False):

@@ -66,7 +66,7 @@ def _(s):
     return X.taint_flow(s.view("code_line"))
 
 
-@query("j14_null_flow", "code_line", r"WITH d AS (SELECT repo, path, line_no AS decl, regexp_extract(text, '(?:const|let|var)\s+(\w+)\s*=.*(?:find\(|match\(|null|as any|parseInt)', 1) AS name FROM code_line), u AS (SELECT DISTINCT repo, path, line_no AS use, unnest(regexp_extract_all(text, '(\w+)[.=]', 1)) AS name FROM code_line), g AS (SELECT repo, path, line_no AS guard, regexp_extract(text, 'if\s*\(\s*!?(\w+)', 1) AS name FROM code_line) SELECT d.repo, d.path, d.name, decl, use FROM d JOIN u ON u.repo = d.repo AND u.path = d.path AND u.name = d.name WHERE d.name <> '' AND use > decl AND NOT EXISTS (SELECT 1 FROM g WHERE g.repo = d.repo AND g.path = d.path AND g.name = d.name AND g.name <> '' AND guard <= use)")
+@query("j14_null_flow", "code_line", r"WITH d AS (SELECT repo, path, line_no AS decl, regexp_extract(text, '(?:const|let|var)\s+(\w+)\s*=.*(?:find\(|match\(|null|as any|parseInt)', 1) AS name FROM code_line), u AS (SELECT DISTINCT repo, path, line_no AS use, unnest(regexp_extract_all(text, '(\w+)[.=]', 1)) AS name FROM code_line), g AS (SELECT repo, path, line_no AS guard, regexp_extract(text, 'if\s*\(\s*!?(\w+)', 1) AS name FROM code_line) SELECT d.repo, d.path, d.name, decl, use FROM d JOIN u ON u.repo = d.repo AND u.path = d.path AND u.name = d.name WHERE d.name <> '' AND use > decl AND NOT EXISTS (SELECT 1 FROM g WHERE g.repo = d.repo AND g.path = d.path AND g.name = d.name AND g.name <> '' AND guard > decl AND guard <= use)")
 def _(s):
     return X.null_flow(s.view("code_line"))
 

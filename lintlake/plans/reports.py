@@ -83,11 +83,12 @@ def _(s):
     return j.groupBy("repo").agg(F.count_if(enforced | (~off & ~hushed)).alias("kept"), F.count_if(~enforced & (off | hushed)).alias("suppressed"), F.count_if(enforced & hushed).alias("overridden"))
 
 
-@query("j12_resolve_imports", "", "WITH f AS (SELECT source AS repo, 'src/' || lang || '/f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '/index.ts' END AS path, doc_id, lang FROM documents) SELECT a.repo, a.path, './f' || b.doc_id AS specifier, b.path AS target FROM f a JOIN f b ON b.repo = a.repo AND b.lang = a.lang AND b.doc_id = a.doc_id + 40 WHERE a.doc_id % 2 = 0")
+@query("j12_resolve_imports", "", "WITH f AS (SELECT source AS repo, 'src/' || lang || '/f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '/index.ts' END AS path, doc_id, lang FROM documents) SELECT a.repo, a.path, CASE WHEN a.doc_id % 2 = 0 THEN './f' ELSE '../f' END || b.doc_id AS specifier, b.path AS target FROM f a JOIN f b ON b.repo = a.repo AND b.lang = a.lang AND b.doc_id = a.doc_id + 40")
 def _(s):
     end = F.when(F.col("doc_id") % 2 == 0, ".ts").otherwise("/index.ts")
     files = s.table("documents").select(F.col("source").alias("repo"), F.concat(F.lit("src/"), "lang", F.lit("/f"), "doc_id", end).alias("path"), "doc_id")
-    imports = files.where("doc_id % 2 = 0").select("repo", "path", F.concat(F.lit("./f"), (F.col("doc_id") + 40).cast("string")).alias("specifier"))
+    up = F.when(F.col("doc_id") % 2 == 0, "./f").otherwise("../f")
+    imports = files.select("repo", "path", F.concat(up, (F.col("doc_id") + 40).cast("string")).alias("specifier"))
     return G.resolve_imports(imports, files)
 
 
@@ -181,10 +182,10 @@ def _(s):
     return scan.scan_rules(s.view("code_line"), rules).select("repo", "path", "line", "rule_id")
 
 
-@query("r28_conflict_blocks", "text_line", "SELECT path, 2 AS first_line, 6 AS last_line, CAST(5 AS BIGINT) AS length FROM text_line WHERE line_no = 1 AND CAST(path AS BIGINT) % 3 = 0")
+@query("r28_conflict_blocks", "text_line", "SELECT path, 2 AS first_line, 6 AS last_line, CAST(5 AS BIGINT) AS length FROM text_line WHERE line_no = 1")
 def _(s):
     marked = ["<<<<<<< ours", "a", "=======", "b", ">>>>>>> theirs"]
-    files = s.table("documents").where("doc_id % 3 = 0").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.concat_ws("\n", F.split("text", "\n")[0], *map(F.lit, marked)).alias("content"))
+    files = s.table("documents").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.concat_ws("\n", F.split("text", "\n")[0], *map(F.lit, marked)).alias("content"))
     return X.marker_blocks(scan.explode_lines(files), "^<<<<<<< ", "^>>>>>>> ").select("path", "first_line", "last_line", "length")
 
 

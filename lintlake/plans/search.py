@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lintlake.functions import branch_slug, entropy, grade, heal, js_round, major, mask, normalize_path, purl, snippet_hash, value_hash
+from lintlake.functions import branch_slug, entropy, grade, hash31, heal, js_round, major, mask, normalize_path, purl, snippet_hash, value_hash
 from lintlake.operators import scan
 from lintlake.operators import search as S
 from lintlake.plans.base import query
@@ -88,7 +88,8 @@ def _(s):
 FIX = "SELECT p_partkey AS pattern, p_type AS category, p_name || ' ' || p_brand AS description, p_size AS confidence FROM part"
 
 
-@query("j25_similar_fixes", "", f"WITH p AS ({FIX}), q AS (SELECT pattern AS query_id, category, description FROM p WHERE pattern % 10 = 0), j AS (SELECT query_id, p.pattern, p.confidence FROM q JOIN p ON p.category = q.category WHERE jaro_winkler_similarity(q.description, p.description) >= 0.85) SELECT query_id, pattern, CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, pattern) AS INT) AS place FROM j QUALIFY place <= 5")
+#: Without SQL: DuckDB floors half transpositions.
+@query("j25_similar_fixes", "")
 def _(s):
     s.view("part").createOrReplaceTempView("part")
     patterns = s.spark.sql(FIX)
@@ -140,6 +141,11 @@ def _(s):
     return s.table("documents").select("doc_id", snippet_hash(F.col("text")).alias("snippet"), value_hash(F.col("lang"), F.col("source")).alias("value"), mask(F.col("text"), 3, 2).alias("masked"))
 
 
+@query("f03_hash31", "", "SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(lang || source, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, u: ((h * 31 + u + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS hash FROM documents WHERE lang || source IS NOT NULL")
+def _(s):
+    return s.table("documents").select("doc_id", hash31(F.concat("lang", "source")).alias("hash")).where("hash IS NOT NULL")
+
+
 @query("f05_major", "declared", "SELECT DISTINCT range_text, CAST(regexp_extract(range_text, '(\\d+)', 1) AS INT) AS major FROM declared")
 def _(s):
     return s.view("declared").select("range_text", major(F.col("range_text")).alias("major")).distinct()

@@ -63,7 +63,7 @@ def _(s):
 @query("st06_reliability_stream")
 def _(s):
     calls = events(s).select((F.col("event_id") % 300).alias("provider"), "ts", F.col("event_id").alias("call_id"), (F.col("event_id") % 7 < 3).alias("success"))
-    return T.run(T.reliability_stream(calls), "update")
+    return T.run(T.reliability_stream(calls), "update", ["provider"])
 
 
 @query("st07_sliding_scores", "runs", "WITH w AS (SELECT team, score, unnest(generate_series(CAST(CAST(ts AS DATE) - 6 AS TIMESTAMP), CAST(CAST(ts AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS start FROM runs) SELECT team, start, CAST(sum(score) AS BIGINT) AS total, count(*) AS runs FROM w GROUP BY ALL HAVING start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lintlake.operators import rules as R
 from lintlake.operators import scan
-from lintlake.operators.history import priced
+from lintlake.operators.history import circuit_step, priced
 from lintlake.operators.scratch import shared_path
 
 
@@ -24,21 +26,27 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col(c).cast("timestamp") if kind == "timestamp_ntz" else F.col(c) for c, kind in table.dtypes])
 
 
-def run(df: DataFrame, mode: str) -> DataFrame:
+def run(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Take what is there now to the end and give the result as a table in the shared folder.
 
-    append keeps every batch; complete and update keep the last state of each key's row as the sink got it.
+    append keeps every batch, complete the last one, update the last row of each key. A batch is written to a folder of its own
+    number: one that is tried again replaces itself.
     """
     spark = df.sparkSession
     path = shared_path(spark)
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/out/batch=-1")
 
-    def sink(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
     writer = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     writer.start().awaitTermination()
-    out = spark.read.schema(df.schema).parquet(f"{path}/out")
-    return out.select(*[F.col(c).cast("timestamp_ntz") if kind == "timestamp" else F.col(c) for c, kind in out.dtypes])
+    out = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out")
+    if mode == "complete":
+        out = out.join(out.agg(F.max("batch").alias("batch")), "batch", "left_semi")
+    elif mode == "update":
+        out = out.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("batch").desc()))).where("nth = 1")
+    return out.select(*[F.col(f.name).cast("timestamp_ntz") if f.dataType.simpleString() == "timestamp" else F.col(f.name) for f in df.schema.fields])
 
 
 def stream_scan(files: DataFrame) -> DataFrame:
@@ -102,17 +110,10 @@ def reliability_stream(calls: DataFrame) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         score, circuit, opened, seen = state.get if state.exists else (10000, "closed", 0.0, 0)
-        for batch in batches:
-            for row in batch.sort_values(["ts", "call_id"]).itertuples():
-                now, seen = row.ts.timestamp(), seen + 1
-                score = min(10000, max(0, score + (150 if row.success else -450)))
-                if circuit == "closed" and score < 3000:
-                    circuit, opened = "open", now
-                if circuit == "open" and now - opened > 60:
-                    if row.success:
-                        circuit, score = "closed", min(10000, score + 1000)
-                    else:
-                        opened = now
+        rows = pd.concat(list(batches)).sort_values(["ts", "call_id"])  # a key's rows of one batch come in several parts
+        for row in rows.itertuples():
+            score, circuit, opened = circuit_step(score, circuit, opened, row.ts.timestamp(), row.success)
+        seen += len(rows)
         state.update((score, circuit, opened, seen))
         yield pd.DataFrame({"provider": [key[0]], "score": [score / 100], "circuit": [circuit], "calls": [seen]})
 

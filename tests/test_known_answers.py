@@ -116,3 +116,66 @@ def test_scan_corpus(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = scan_corpus(spark, str(tmp_path), max_bytes=20).collect()
     assert sorted((r.repo, r.path, r.content) for r in got) == [("a", "src/x.ts", "one"), ("b", "deep/w.tsx", "two")]
+
+
+def test_plain_http(spark):
+    code = lines(spark, "http://login.example", "http://12.org", "http://0.5", "http://localhost:1", "http://127.0.0.1/x", "http://0.0.0.0", "http://", "http://localhos")
+    got = {r.line for r in scan.scan_vulns(code).where("rule_id = 'SEC-009'").collect()}
+    assert got == {1, 2, 3, 7, 8}
+
+
+def test_jaro_winkler_halves():
+    assert abs(S.jaro_winkler("abcdefg", "abdecfg") - S.jaro_winkler("abcdefg", "abcdefg")) > 0
+    jaro = (1 + 1 + (7 - 1.5) / 7) / 3
+    assert abs(S.jaro_winkler("abcdefg", "abdecfg") - (jaro + 2 * 0.1 * (1 - jaro))) < 1e-12
+
+
+def test_guard_between(spark):
+    from lintlake.operators import filters as X
+
+    code = lines(spark, "if (hit) {", "const hit = list.find(x);", "hit.name = 1;", "if (hit) {", "hit.size = 2;")
+    assert sorted((r.decl, r.use) for r in X.null_flow(code).collect()) == [(2, 3)]
+
+
+def test_query_is_no_pattern(spark):
+    got = S.search_code(lines(spark, "x = a.b(c)", "x = aXb(c)", "ya.b(z"), "a.b").collect()
+    assert [(r.line, r.score) for r in got] == [(1, 38), (3, 18)]
+
+
+def test_hash31(spark):
+    def plain(text):
+        h = 0
+        for unit in memoryview(text.encode("utf-16-le")).cast("H"):
+            h = (h * 31 + unit + (1 << 31)) % (1 << 32) - (1 << 31)
+        return h
+
+    from lintlake.functions import hash31
+
+    texts = ["", "a", "GET:/x", "naïve 😀 text", "z" * 50]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    assert [r[0] for r in df.select(hash31(F.col("t"))).collect()] == [*map(plain, texts), None]
+
+
+def test_reliability_streams(spark, tmp_path):
+    """Several batches: one row per provider, and the state of one pass over all calls."""
+    from lintlake.streaming import operators as T
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [(p, k, t + dt.timedelta(seconds=10 * k), (k * (p + 3)) % 7 < 2) for p in range(3) for k in range(90)]
+    calls = spark.createDataFrame(rows, "provider long, call_id long, ts timestamp, success boolean")
+    for part in range(3):
+        calls.where(f"call_id >= {30 * part} AND call_id < {30 * part + 30}").coalesce(1).write.parquet(str(tmp_path / f"in/part{part}"))
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = {r.provider: (r.score, r.circuit) for r in T.run(T.reliability_stream(stream), "update", ["provider"]).collect()}
+    assert got == {r.provider: (r.score, r.circuit) for r in H.reliability(calls).collect()} and len(got) == 3
+
+
+def test_similar_fixes(spark):
+    rows = [(k, f"c{k % 3}", f"fix the {a} in {b}", k % 7) for k, (a, b) in enumerate((a, b) for a in ("loop", "pool", "leak", "race", "null") for b in ("parser", "lexer", "server"))]
+    patterns = spark.createDataFrame(rows, "pattern long, category string, description string, confidence int")
+    got = sorted(tuple(r) for r in S.similar_fixes(patterns.withColumnRenamed("pattern", "query_id").drop("confidence"), patterns, 0.9, 3).collect())
+    want = []
+    for q, category, text, _ in rows:
+        near = sorted((-c, p) for p, other, d, c in rows if other == category and S.jaro_winkler(text, d) >= 0.9)[:3]
+        want += [(q, p, n) for n, (_, p) in enumerate(near, 1)]
+    assert got == sorted(want)
