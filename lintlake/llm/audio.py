@@ -4,9 +4,10 @@ store()     writes bytes as mono 8-bit PCM WAV files (one binary value a row) in
 analyse()   reads the stored bytes back, resamples by a rational factor with a polyphase windowed-sinc filter, takes
               overlapped frames through a mel filterbank, cuts the log-mel frames into patches of a fixed shape, and finds
               segments whose energy rises above one threshold and has not yet fallen below a lower one.
-as_tensors() gives the patches of an Arrow table as a fixed_shape_tensor column.
+tensors      of a file are one Arrow stream: a row for each patch with its time span (start, end) and the patch as a
+              fixed_shape_tensor; read_tensors() reads it back, whatever engine has stored the bytes.
 
-A patch is a row-major little-endian float32 array of SHAPE (frames, mel bands); the last one is filled up with the floor
+A patch is a row-major float32 array of SHAPE (frames, mel bands); the last one is filled up with the floor
 value. Time spans are in seconds. Long media are worked on in blocks of frames.
 
 Defined results: null and empty payloads are padded to one unit; equal payloads give equal values; a null or
@@ -32,8 +33,9 @@ RATE, TARGET = 16_000, 8_000
 FRAME, HOP, BANDS = 256, 128, 32
 SHAPE = (32, BANDS)
 FLOOR = 1e-10
+TENSORS = pa.schema([("start", pa.float64()), ("end", pa.float64()), ("patch", pa.fixed_shape_tensor(pa.float32(), SHAPE, dim_names=["frame", "band"]))])
 BLOCK_FRAMES = 4096
-FEATURES = "struct<payload:binary,seconds:double,frames:long,patches:array<struct<start:double,end:double,tensor:binary>>,segments:array<struct<start:double,end:double,level:double>>>"
+FEATURES = "struct<payload:binary,seconds:double,frames:long,tensors:binary,segments:array<struct<start:double,end:double,level:double>>>"
 
 
 def padded(payload: Column, unit: int = 576, fill: str = "FF") -> Column:
@@ -140,20 +142,38 @@ def segments(energy: np.ndarray, rise: float = 0.25, fall: float = 0.25) -> list
     return list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
 
 
+def tensor_stream(start: np.ndarray, end: np.ndarray, patches: np.ndarray) -> bytes:
+    """An Arrow stream of TENSORS: a row for each patch."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(patches.reshape(-1)), SHAPE[0] * SHAPE[1])
+    rows = pa.record_batch([pa.array(start, pa.float64()), pa.array(end, pa.float64()), pa.ExtensionArray.from_storage(TENSORS.field("patch").type, flat)], schema=TENSORS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, TENSORS) as writer:
+        writer.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(spans, patches) of such a stream: (n, 2) seconds and (n, frames, bands)."""
+    table = pa.ipc.open_stream(stream).read_all()
+    if table.schema != TENSORS:
+        raise ValueError("not a stream of such tensors")
+    rows = table.combine_chunks()
+    spans = np.stack([rows["start"].to_numpy(), rows["end"].to_numpy()], 1)
+    return spans, rows["patch"].combine_chunks().to_numpy_ndarray()
+
+
 def describe(file: bytes) -> dict:
     data, rate = samples(file)
     x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
     y = resample(x, TARGET, rate)
     mels, energy = log_mel(y, TARGET)
     seconds = lambda frame: frame * HOP / TARGET
-    patches = []
-    for at in range(0, len(mels), SHAPE[0]):
-        tensor = np.full(SHAPE, np.log10(FLOOR), "<f4")
-        own = mels[at : at + SHAPE[0]]
-        tensor[: len(own)] = own
-        patches.append({"start": seconds(at), "end": seconds(at + len(own) - 1) + FRAME / TARGET, "tensor": tensor.tobytes()})
+    first = np.arange(0, len(mels), SHAPE[0])
+    last = np.minimum(first + SHAPE[0], len(mels)) - 1
+    patches = np.full((len(first) * SHAPE[0], BANDS), np.log10(FLOOR), np.float32)
+    patches[: len(mels)] = mels
     found = [{"start": seconds(a), "end": seconds(b - 1) + FRAME / TARGET, "level": round(float(energy[a:b].mean()), 3)} for a, b in segments(energy)]
-    return {"payload": data, "seconds": len(x) / rate, "frames": len(mels), "patches": patches, "segments": found}
+    return {"payload": data, "seconds": len(x) / rate, "frames": len(mels), "tensors": tensor_stream(seconds(first), seconds(last) + FRAME / TARGET, patches.reshape(-1, *SHAPE)), "segments": found}
 
 
 def store(rows: DataFrame, payload: Column, id_col: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -172,12 +192,12 @@ def store(rows: DataFrame, payload: Column, id_col: str = "doc_id", path: str |
 
 
 def analyse(media: DataFrame, media_col: str = "media", out_col: str = "audio") -> DataFrame:
-    """media with a struct of the payload read back, its length in seconds, patches and segments."""
+    """media with a struct of the payload read back, its length in seconds, tensors and segments."""
     text_batches(media.sparkSession)
 
     @F.pandas_udf(FEATURES)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = ("payload", "seconds", "frames", "patches", "segments")
+        names = ("payload", "seconds", "frames", "tensors", "segments")
         for files in batches:
             out = []
             for file in files:
@@ -188,10 +208,3 @@ def analyse(media: DataFrame, media_col: str = "media", out_col: str = "audio")
             yield pd.DataFrame(out, columns=list(names))
 
     return media.withColumn(out_col, of(F.col(media_col)))
-
-
-def as_tensors(tensors: pa.Array) -> pa.Array:
-    """Patch bytes (binary) as an Arrow array of fixed-shape tensors."""
-    values = np.frombuffer(b"".join(tensors.to_pylist()), "<f4")
-    flat = pa.FixedSizeListArray.from_arrays(pa.array(values), SHAPE[0] * SHAPE[1])
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), SHAPE), flat)

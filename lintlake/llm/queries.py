@@ -36,7 +36,6 @@ def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = audio.store(_table(spark, sf_dir, "documents"), F.col("text").cast("binary"))
     read = audio.analyse(media)
     spans = F.array_join(F.transform("audio.segments", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    tensors = F.array_join(F.transform("audio.patches", lambda p: F.sha2(p["tensor"], 256)), "")
     return read.select(
         "doc_id",
         "n_bytes",
@@ -45,7 +44,7 @@ def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("audio.payload", -32, 32)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat(F.lit("frames="), F.col("audio.frames").cast("string"), F.lit(";segments="), F.size("audio.segments").cast("string"), F.lit(";spans="), F.sha2(spans, 256), F.lit(";mel="), F.sha2(tensors, 256)).alias("feature"),
+        F.concat(F.lit("frames="), F.col("audio.frames").cast("string"), F.lit(";segments="), F.size("audio.segments").cast("string"), F.lit(";spans="), F.sha2(spans, 256), F.lit(";mel="), F.sha2("audio.tensors", 256)).alias("feature"),
     )
 
 
