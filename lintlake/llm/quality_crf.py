@@ -182,9 +182,10 @@ def train(x: np.ndarray, size: np.ndarray, per_text: np.ndarray, label: np.ndarr
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, texts_per_label: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineCrf:
+def fit(docs: DataFrame, labels: DataFrame, texts_per_label: int = 1000, lines_per_text: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineCrf:
     """Learn from the labelled rows of docs; about `texts_per_label` texts of each label, drawn by a hash of the id (the
-    documented bound of the sample). Features are made on the executors; the driver gets numbers of sampled lines."""
+    documented bound of the sample). Texts of over `lines_per_text` lines are scored like any others, but nothing is learned from them:
+    features are made on the executors, and the driver gets 52 bytes a line of at most 2 * texts_per_label * lines_per_text lines."""
     text_batches(docs.sparkSession)
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     labelled = docs.select(F.col(id_col).alias("id")).join(marks, "id")  # without the texts
@@ -199,7 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, texts_per_label: int = 1000, id_col:
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch[[(t or "").count("\n") < lines_per_text for t in batch["text"]]]
             x, size, per_text = line_features(batch["text"].tolist())
+            if not len(batch):
+                continue
             cuts = np.cumsum(per_text)[:-1]
             yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "x": [a.tobytes() for a in np.split(x, cuts)], "size": [a.tobytes() for a in np.split(size, cuts)]})
 
