@@ -93,7 +93,7 @@ def _around(s: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BloomBank:
-    """Bloom filters of up to 64 languages, bit-sliced: slots[h] has one bit for each language."""
+    """Bloom filters of all languages, bit-sliced: slots[h] has one bit for each language."""
 
     langs: list[str]
     fallback: str
@@ -102,11 +102,11 @@ class BloomBank:
 
     @classmethod
     def build(cls, langs: list[str], fallback: str, keys: np.ndarray, masks: np.ndarray, per_key: int = 32) -> BloomBank:
-        """keys with their language masks; about `per_key` slots for each key."""
+        """keys with their language masks (64 languages a column); about `per_key` slots for each key."""
         bits = max(12, int(np.ceil(np.log2(max(len(keys), 1) * per_key))))
         width = (len(langs) + 7) // 8
         slots = np.zeros((1 << bits, width), np.uint8)
-        wide = masks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        wide = np.ascontiguousarray(masks.reshape(len(keys), -1), "<u8").view(np.uint8)[:, :width]
         for at in cls._slots_of(keys, bits):
             np.bitwise_or.at(slots, at, wide)
         filled = np.unpackbits(slots, axis=1, bitorder="little")[:, : len(langs)].mean(0)
@@ -157,8 +157,6 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
-    if len(langs) > 64:
-        raise ValueError("a bank holds at most 64 languages")
     if not langs:
         return BloomBank([], UNKNOWN, np.zeros((1, 1), np.uint8), np.zeros(0))
     chance = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, texts_per_lang / n))) for lang, n in sizes.items()])
@@ -174,12 +172,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     counted = sample.select("lang", "text").mapInPandas(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counted.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= least_share)
-    bit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(1 << k if k < 63 else -(1 << 63))) for k, lang in enumerate(langs)])
-    top = shares.groupBy("key").agg(F.max("share").alias("top"), F.collect_list(F.struct("share", bit.alias("bit"))).alias("all"))
-    mask = F.aggregate(F.filter("all", lambda x: x["share"] >= F.col("top") * ratio), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"]))
-    kept = top.select("key", mask.alias("mask")).collect()
+    place = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(k)) for k, lang in enumerate(langs)])
+    top = shares.groupBy("key").agg(F.max("share").alias("top"), F.collect_list(F.struct("share", place.alias("place"))).alias("all"))  # a language each
+    kept = top.select("key", F.filter("all", lambda x: x["share"] >= F.col("top") * ratio)["place"].alias("places")).collect()
     keys = np.array([r["key"] for r in kept], np.int64).view(np.uint64)
-    masks = np.array([r["mask"] for r in kept], np.int64).view(np.uint64)
+    masks = np.zeros((len(kept), (len(langs) + 63) // 64), np.uint64)
+    for n, r in enumerate(kept):
+        for k in r["places"]:
+            masks[n, k // 64] |= np.uint64(1 << k % 64)
     return BloomBank.build(langs, max(langs, key=lambda k: (sizes[k], k)), keys, masks)
 
 

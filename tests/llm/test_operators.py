@@ -73,6 +73,15 @@ def test_language_edges(edge, empty, spark):
     assert {r.lang_pred for r in langid.predict(edge, nobody).collect()} == {"und"}
 
 
+def test_many_languages(spark):
+    """More languages than bits of a long, each with letters of its own."""
+    word = lambda k, j: "".join(chr(0x4E00 + 20 * k + (j * 7 + i * 3) % 20) for i in range(6))
+    rows = [(k * 10 + j, " ".join(word(k, j + n) for n in range(12)), f"l{k:03}", "s") for k in range(70) for j in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = langid.predict(docs, langid.fit(docs)).collect()
+    assert len(out) == 210 and all(r.lang == r.lang_pred for r in out)
+
+
 def test_trigrams_and_bloom():
     text = "Ça va! L'été, 12 naïve\n" * 3
 
@@ -161,8 +170,8 @@ def test_audio_round_trip(spark):
     for x in got:
         data = bytes(x.audio.payload)
         assert len(data) % 576 == 0 and len(data) > 0 and sent[(x.doc_id, data[: x.n_bytes])] and set(data[x.n_bytes :]) <= {255}
-        assert bytes(x.media) == audio.wav(data) and len(x.audio.patches) == -(-x.audio.frames // audio.SHAPE[0])
-        assert all(len(p.tensor) == 4 * audio.SHAPE[0] * audio.SHAPE[1] for p in x.audio.patches)
+        spans, patches = audio.read_tensors(bytes(x.audio.tensors))
+        assert bytes(x.media) == audio.wav(data) and patches.shape == (-(-x.audio.frames // audio.SHAPE[0]), *audio.SHAPE) and spans.shape == (len(patches), 2)
     assert len(got) == len(rows)
 
 
@@ -193,11 +202,29 @@ def test_segments_and_tensors():
             on = False
             want.append((start, k))
     assert audio.segments(energy) == want
-    import pyarrow as pa
 
-    patches = audio.describe(audio.wav(bytes(range(256)) * 90))["patches"]
-    tensors = audio.as_tensors(pa.array([p["tensor"] for p in patches]))
-    assert tensors.to_numpy_ndarray().shape == (len(patches), *audio.SHAPE)
+
+def test_log_mel_by_hand():
+    """Frame after frame, band after band, from the formulas; then as stored tensors."""
+    data = bytes((37 * k * k + 11 * k) % 256 for k in range(20_000))
+    y = audio.resample((np.frombuffer(data, np.uint8).astype("f4") - 128) / 128, audio.TARGET, audio.RATE)
+    n = (len(y) - audio.FRAME) // audio.HOP + 1
+    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + audio.TARGET / 2 / 700), audio.BANDS + 2) / 2595) - 1)
+    freqs = np.arange(audio.FRAME // 2 + 1) * audio.TARGET / audio.FRAME
+    want = np.zeros((n, audio.BANDS))
+    for k in range(n):
+        x = y[k * audio.HOP : k * audio.HOP + audio.FRAME] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / (audio.FRAME - 1)))
+        power = np.abs(np.fft.rfft(x)) ** 2
+        for b in range(audio.BANDS):
+            low, mid, high = edges[b : b + 3]
+            weight = np.clip(np.minimum((freqs - low) / (mid - low), (high - freqs) / (high - mid)), 0, None)
+            want[k, b] = np.log10(max((power * weight).sum(), audio.FLOOR))
+    found = audio.describe(audio.wav(data))
+    spans, patches = audio.read_tensors(found["tensors"])
+    assert found["frames"] == n and np.abs(patches.reshape(-1, audio.BANDS)[:n] - want).max() < 1e-3
+    assert np.allclose(patches.reshape(-1, audio.BANDS)[n:], np.log10(audio.FLOOR))
+    step = audio.HOP / audio.TARGET
+    assert spans[0].tolist() == [0.0, 31 * step + audio.FRAME / audio.TARGET] and spans[1][0] == 32 * step
 
 
 def test_audio_edges(edge, empty):
@@ -319,6 +346,16 @@ def test_quality_held_out(spark):
     assert out and all(x.predicted == int(x.doc_id % 3 > 0) for x in out)
 
 
+def test_quality_sample_is_bounded(spark):
+    """A text of very many lines is scored, but not learned from."""
+    docs = [(k, "\n".join(prose(k * 100 + j, 12, EN).capitalize() + "." if k % 2 else " | ".join(EN) for j in range(4)), None, None) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(61)], "doc_id long, quality int, toxic int")
+    plain = quality_crf.fit(spark.createDataFrame(docs, SCHEMA), labels, lines_per_text=50)
+    long = spark.createDataFrame([*docs, (60, "\n".join(["A line."] * 500), None, None)], SCHEMA)
+    model = quality_crf.fit(long, labels, lines_per_text=50)
+    assert np.allclose(plain.weights, model.weights) and quality_crf.score(long, model).where("score is not null").count() == 61
+
+
 def test_quality_edges(edge, empty, spark):
     labels = spark.createDataFrame([(7, 1, 0), (4, 0, 0), (6, 1, 0), (6, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality_crf.fit(edge, labels)
