@@ -15,6 +15,7 @@ class Rule(NamedTuple):
 
 def unless(*words: str) -> str:
     """Pattern of what starts with none of the words, without look-ahead: it leaves their letters at some point, or ends there."""
+    words = tuple(w for w in words if not any(w != o and w.startswith(o) for o in words))
     starts = sorted({w[:k] for w in words for k in range(len(w))})
     after = {p: "".join(sorted({w[len(p)] for w in words if w.startswith(p)})) for p in starts}
     return "(?:" + "|".join(f"{re.escape(p)}(?:[^{re.escape(after[p])}]|$)" for p in starts) + ")"

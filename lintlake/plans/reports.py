@@ -17,10 +17,49 @@ from lintlake.plans.findings import LEVEL, POLICIES, POLICY_SQL
 from lintlake.plans.scans import pack
 from lintlake.sources import parse_blame
 
-CATALOG_HIT = pack(C.LINE_RULES, skip=r"^\s*(//|\*|/\*)")
+CATALOG_HIT = pack(C.LINE_RULES, skip=C.COMMENT)
 FAMILIES = values(C.FAMILIES, "family, rules, category, quality")
 
 
+def listed(groups: dict[str, str], otherwise: str) -> str:
+    """CASE over a rule's id: the group that lists it."""
+    return "CASE " + " ".join(f"WHEN list_contains(string_split('{ids}', ' '), rule_id) THEN '{group}'" for group, ids in groups.items()) + f" ELSE '{otherwise}' END"
+
+
+CATALOG = f"""f AS ({FAMILIES}), i AS (SELECT family || '-' || lpad(CAST(unnest(range(1, rules + 1)) AS VARCHAR), 3, '0') AS rule_id, category FROM f),
+    c AS (SELECT *, {listed(C.ENGINES, "ast")} AS engine, {listed(C.ACTIONS, "review")} AS action, {listed({"ai": C.FOR_MODELS}, "both")} AS source FROM i)"""
+
+
+def pairs(rules: list[C.Pair]) -> str:
+    """Twin CTEs: first and second, the lines that match either pattern of each rule."""
+    rows = values([tuple(r) for r in rules], "rule_id, severity, a, b")
+    first = f"SELECT repo, path, line_no AS line, rule_id, severity FROM code_line JOIN r ON regexp_matches(text, a) WHERE NOT regexp_matches(text, {literal(C.COMMENT)})"
+    return f"r AS ({rows}), first AS ({first}), second AS (SELECT repo, path, line_no AS line, rule_id FROM code_line JOIN r ON regexp_matches(text, b))"
+
+
+@query("r32_scan_catalog_files", "code_line", f"WITH {pairs(C.FILE_RULES)} SELECT repo, path, line, rule_id, severity FROM first WHERE NOT EXISTS (SELECT 1 FROM second WHERE second.repo = first.repo AND second.path = first.path AND second.rule_id = first.rule_id)")
+def _(s):
+    return C.scan_files(s.view("code_line"))
+
+
+@query("r32_scan_catalog_next", "code_line", f"WITH {pairs(C.NEXT_RULES)} SELECT first.* FROM first JOIN second ON second.repo = first.repo AND second.path = first.path AND second.rule_id = first.rule_id AND second.line = first.line + 1")
+def _(s):
+    return C.scan_next(s.view("code_line"))
+
+
+@query(
+    "r32_scan_catalog_totals",
+    "code_line",
+    r"""WITH n AS (SELECT repo, path, string_agg(text, '') AS whole, count(*) AS lines, sum(CAST(regexp_matches(text, '^\s*(?:export\s+)?interface\s+\w') AS INT)) AS interfaces, sum(CAST(regexp_matches(text, '^\s*(?:export\s+)?type\s+\w+\s*=') AS INT)) AS types FROM code_line GROUP BY repo, path),
+    m AS (SELECT *, len(whole) - len(replace(whole, '{', '')) - len(whole) + len(replace(whole, '}', '')) AS a, len(whole) - len(replace(whole, '(', '')) - len(whole) + len(replace(whole, ')', '')) AS b, len(whole) - len(replace(whole, '[', '')) - len(whole) + len(replace(whole, ']', '')) AS c,
+          least(len(whole) - len(replace(whole, chr(39), '')), len(whole) - len(replace(whole, chr(34), ''))) AS q, least(interfaces, types) AS t FROM n)
+    SELECT repo, path, 'SYN-001' AS rule_id, CAST(abs(a) AS BIGINT) AS amount FROM m WHERE a <> 0 UNION ALL SELECT repo, path, 'SYN-002', CAST(abs(b) AS BIGINT) FROM m WHERE b <> 0 UNION ALL SELECT repo, path, 'SYN-003', CAST(abs(c) AS BIGINT) FROM m WHERE c <> 0
+    UNION ALL SELECT repo, path, 'CMX-004', lines FROM m WHERE lines > 1000 UNION ALL SELECT repo, path, 'STL-009', CAST(q AS BIGINT) FROM m WHERE q > 0 UNION ALL SELECT repo, path, 'TYP-011', CAST(t AS BIGINT) FROM m WHERE t > 0""",
+)
+def _(s):
+    return C.scan_totals(s.view("code_line"))
+
+
 @query("r32_scan_catalog", "code_line", f"WITH {CATALOG_HIT}, c AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY line, place) AS n FROM hit) SELECT repo, path, line, rule_id, severity FROM c WHERE n <= 80")
 def _(s):
     return C.scan_catalog(s.view("code_line"))
@@ -36,13 +75,13 @@ def _(s):
     return s.view("findings").join(F.broadcast(C.rule_catalog(s.spark)), "rule_id").select("finding_id", "category", "quality")
 
 
-@query("p11_select_rules", "findings", f"WITH f AS ({FAMILIES}) SELECT rule_id, count(*) AS n FROM findings JOIN f ON family = split_part(rule_id, '-', 1) WHERE category IN ('security') GROUP BY rule_id")
+@query("p11_select_rules", "findings", f"WITH {CATALOG} SELECT rule_id, count(*) AS n FROM findings JOIN c USING (rule_id) WHERE engine = 'ast' AND action = 'review' AND source = 'both' AND category <> 'syntax' GROUP BY rule_id")
 def _(s):
-    chosen = C.select_rules(C.rule_catalog(s.spark), category="security")
+    chosen = C.select_rules(C.rule_catalog(s.spark), engine="ast", action="review", source="both").where("category <> 'syntax'")
     return s.view("findings").join(F.broadcast(chosen), "rule_id", "left_semi").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a42_catalog_stats", "findings", f"WITH f AS ({FAMILIES}), n AS (SELECT split_part(rule_id, '-', 1) AS family, count(*) AS findings FROM findings GROUP BY 1) SELECT category, CAST(sum(rules) AS BIGINT) AS rules, CAST(sum(coalesce(findings, 0)) AS BIGINT) AS findings FROM f LEFT JOIN n USING (family) GROUP BY ROLLUP (category)")
+@query("a42_catalog_stats", "findings", f"WITH {CATALOG}, n AS (SELECT rule_id, count(*) AS findings FROM findings GROUP BY 1) SELECT category, engine, action, count(*) AS rules, CAST(sum(coalesce(findings, 0)) AS BIGINT) AS findings FROM c LEFT JOIN n USING (rule_id) GROUP BY GROUPING SETS ((category), (engine), (action), ())")
 def _(s):
     return C.catalog_stats(C.rule_catalog(s.spark), s.view("findings"))
 

@@ -179,3 +179,33 @@ def test_similar_fixes(spark):
         near = sorted((-c, p) for p, other, d, c in rows if other == category and S.jaro_winkler(text, d) >= 0.9)[:3]
         want += [(q, p, n) for n, (_, p) in enumerate(near, 1)]
     assert got == sorted(want)
+
+
+def test_rule_catalog_totals(spark):
+    from lintlake.operators import catalog as C
+
+    rules = C.rule_catalog(spark)
+    count = lambda column: {r[0]: r[1] for r in rules.groupBy(column).count().collect()}
+    assert rules.count() == 224
+    assert count("engine") == {"regex": 31, "ast": 125, "symbol": 22, "cfg": 37, "metric": 9}
+    assert count("action") == {"hard-fail": 24, "review": 162, "hint": 38}
+    assert C.select_rules(rules, engine="metric", source="ai").count() == 4
+    assert rules.where("has_rule").count() >= 120
+
+
+def test_catalog_rules_of_files_and_pairs(spark):
+    from lintlake.operators import catalog as C
+
+    code = ["setInterval(tick, 100);", "// fetch(a)", "fetch(b);", "const s = controller.signal;", "try { a(); } catch (e) {", "}", "return 1;", "const dead = 2;"]
+    found = lambda df: sorted((r.line, r.rule_id) for r in df.collect())
+    assert found(C.scan_files(lines(spark, *code))) == [(1, "RES-003")]
+    assert found(C.scan_next(lines(spark, *code))) == [(5, "ERR-001"), (7, "RTE-019")]
+    assert {(r.rule_id, r.amount) for r in C.scan_totals(lines(spark, "f({", "type A = 'x';", 'interface B { c: "d" }')).collect()} == {("SYN-001", 1), ("SYN-002", 1), ("STL-009", 2), ("TYP-011", 1)}
+
+
+def test_names_without_verb(spark):
+    from lintlake.operators import catalog as C
+
+    code = ["function getName() {", "function userName() {", "const ready = true;", "const isReady = true;", "const limit = 10;", "const LIMIT = 10;"]
+    found = {(r.line, r.rule_id) for r in C.scan_catalog(lines(spark, *code), ["STL"]).collect()}
+    assert found == {(2, "STL-002"), (3, "STL-003"), (3, "STL-004"), (4, "STL-004"), (5, "STL-004")}
