@@ -12,22 +12,46 @@ from pyspark.sql import Window as W
 from lintlake.functions import js_round
 
 
-def search_code(lines: DataFrame, query: str, k: int = 50) -> DataFrame:
-    """Lines that contain a fixed string, by additive signals: exact word, line start, declaration, short line, not a comment, not a test."""
-    text, low = F.col("text"), query.lower()
-    word = rf"(?i)(?<!\w){re.escape(query)}(?!\w)"  # the query is no pattern
+#: Files that a code search reads unless told otherwise.
+CODE_PATH = r"\.(ts|tsx|js|jsx|py|go|rs|java|rb|php)$"
+
+
+def search_code(lines: DataFrame, query: str, k: int = 50, regex: bool = False, case: bool = False, path: str = CODE_PATH) -> DataFrame:
+    """Best lines with a fixed string or an expression, each once: repo, path, line, content, score.
+
+    Signals add up from 10: the whole query 20, as a word 15, share of its tokens 10; query in the path 25, each token in it 5; no
+    test file 5, else -5; declaration 10, export 8, import -5, comment -8; match within 20 letters 5, short line 3; each folder -2.
+    Lines are trimmed and shown to 200 letters, on which the signals look too.
+    """
+    low = query.lower()
+    tokens = [t for t in re.split(r"[^a-z0-9]+", low) if t]
+    text = F.col("text")
+    if regex:
+        meets = text.rlike(query if case else f"(?i){query}")
+    else:
+        meets = F.contains(text, F.lit(query)) if case else F.contains(F.lower(text), F.lit(low))
+    found = lines.where(F.col("path").rlike(path) & meets).select("repo", "path", F.col("line_no").alias("line"), F.substring(F.trim(text), 1, 200).alias("content")).dropDuplicates(["repo", "path", "line"])
+    content, small, file = F.col("content"), F.lower("content"), F.lower("path")
+    points = lambda test, n, otherwise=0: F.when(test, n).otherwise(otherwise)
+    at = F.instr(small, low) if low else F.lit(1)
     score = (
         F.lit(10)
-        + F.when(text.rlike(word), 20).otherwise(0)
-        + F.when(text.contains(query), 5).otherwise(0)
-        + F.when(F.lower(F.trim(text)).startswith(low), 8).otherwise(0)
-        + F.when(text.rlike(r"(?:function|class|const|let|export)\s"), 10).otherwise(0)
-        + F.when(F.length(text) < 80, 3).otherwise(0)
-        - F.when(text.rlike(r"^\s*(//|#|\*)"), 5).otherwise(0)
-        - F.when(F.col("path").rlike(r"\.(test|spec)\."), 5).otherwise(0)
+        + points(F.contains(small, F.lit(low)), 20)
+        + points(content.rlike(rf"(?i)\b{re.escape(query)}\b"), 15)
+        + sum((points(F.contains(small, F.lit(t)), 1) for t in tokens), F.lit(0)) * 10 / max(len(tokens), 1)
+        + points(F.contains(file, F.lit(low)), 25)
+        + sum((points(F.contains(file, F.lit(t)), 5) for t in tokens), F.lit(0))
+        + points(F.col("path").rlike(r"(?i)\.(test|spec|mock|stub|fixture)\."), -5, 5)
+        + points(content.rlike(r"(?:function|class|const|let|var|export|interface|type)\s"), 10)
+        + points(content.rlike(r"^export\s"), 8)
+        - points(content.rlike(r"(?:import|require)\s"), 5)
+        - points(content.rlike(r"^\s*(//|\*)"), 8)
+        + points((at > 0) & (at <= 20), 5)
+        - F.regexp_count("path", F.lit(r"[/\\]")) * 2
+        + points(F.length(content) < 80, 3)
     )
-    found = lines.where(F.contains(F.lower(text), F.lit(low))).select("repo", "path", F.col("line_no").alias("line"), score.alias("score"))
-    return found.orderBy(F.col("score").desc(), "repo", "path", "line").limit(k)
+    ranked = found.withColumn("score", F.greatest(F.lit(0.0), score.cast("double")))
+    return ranked.orderBy(F.col("score").desc(), "repo", "path", "line").limit(k)
 
 
 def search_paths(files: DataFrame, query: str, k: int = 20) -> DataFrame:
@@ -49,14 +73,44 @@ def search_symbols(symbols: DataFrame, prefix: str, k: int = 20) -> DataFrame:
     return symbols.where(F.lower("name").startswith(prefix.lower())).orderBy(F.length("name"), "name", "repo", "path", "line").limit(k)
 
 
+#: What a query asks for, by words of it (fixed values).
+CATEGORY_WORDS = {
+    "auth": "login register jwt oauth auth password",
+    "crud": "crud list create update delete detail",
+    "api": "api route endpoint rest middleware",
+    "ui-component": "button form modal table tab dropdown",
+    "state": "state store context redux zustand",
+    "file": "upload download file image",
+    "payment": "payment stripe subscription webhook",
+    "validation": "validation zod schema",
+    "database": "db database prisma drizzle query",
+    "testing": "test jest vitest mock",
+}
+
+
 def search_snippets(snippets: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Best snippets of each query by shared words, 3 points each, plus 5 for a shared first word. snippets: id, text; queries: query_id, text."""
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3))).alias("word"))
-    first = lambda df, key: df.select(key, F.regexp_extract(F.lower("text"), r"^\S+", 0).alias("first"))
-    shared = words(queries, "query_id").join(words(snippets, "id"), "word").groupBy("query_id", "id").agg((F.count(F.lit(1)) * 3).alias("score"))
-    scored = shared.join(first(queries, "query_id"), "query_id").join(first(snippets, "id").withColumnRenamed("first", "own"), "id").withColumn("score", F.col("score") + F.when(F.col("first") == F.col("own"), 5).otherwise(0))
+    """Best snippets of each query: query_id, id, score, place.
+
+    A snippet's name that holds the query gives 10, each tag among its words 5, each word of its description 3, its category if the
+    query has a word of it 8, its framework 5, its uses up to 5. snippets: id, name, tags, text, category, framework, uses;
+    queries: query_id, text, framework. Words meet by equality; a pair that shares no word with tags, text or category is left out.
+    """
+    words = lambda text: F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1))
+    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("word"))
+    category = F.create_map(*[F.lit(x) for kv in CATEGORY_WORDS.items() for x in kv])
+    each = lambda array, points: F.transform(array, lambda w: F.struct(w.alias("word"), F.lit(points).alias("points")))
+    clue = F.concat(each(words(F.col("text")), 3), each(F.array_distinct(F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)), 5))
+    by_word = snippets.select("id", F.inline(clue)).groupBy("word", "id").agg(F.sum("points").alias("points"))
+    shared = asked.join(by_word, "word").groupBy("query_id", "id").agg(F.sum("points").alias("points"))
+    kinds = snippets.select("id", F.explode(F.split(category[F.col("category")], " ")).alias("word"))
+    of_kind = asked.join(kinds, "word").select("query_id", "id").distinct().withColumn("points", F.lit(8).cast("long"))
+    pairs = shared.unionByName(of_kind).groupBy("query_id", "id").agg(F.sum("points").alias("points"))
+    asks = queries.select("query_id", F.lower("text").alias("query"), F.lower("framework").alias("wanted"))
+    own = snippets.select("id", F.lower("name").alias("name"), F.lower("framework").alias("framework"), "uses")
+    more = F.when(F.contains("name", "query"), 10).otherwise(0) + F.when(F.contains("framework", "wanted"), 5).otherwise(0) + F.least(F.lit(5), F.coalesce("uses", F.lit(0)))
+    scored = pairs.join(asks, "query_id").join(own, "id").select("query_id", "id", (F.col("points") + more).cast("long").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "id", "score", "place")
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def retain(patterns: DataFrame, as_of: str, n: int = 500, days: int = 30) -> DataFrame:
@@ -156,6 +210,37 @@ def forward_fill(df: DataFrame, column: str, keys: list[str], order: str, out: s
     return df.withColumn(out, F.last(F.col(column), ignorenulls=True).over(w))
 
 
+#: Lines at which a file may be cut (fixed value).
+DECLARATION = r"^\s*(?:export\s+)?(?:function|class|const|let|interface|type|enum)\s+"
+
+
+def chunk_files(lines: DataFrame, most: int = 50_000, each: int = 500) -> DataFrame:
+    """Files cut at declarations into chunks of at most so many characters; a longer declaration is a chunk of its own.
+
+    Files without a declaration after their first line are cut every so many lines. repo, path, chunk (from 0), first_line,
+    last_line, size (characters, line ends between lines counted). A file's parts are folded in order within its row.
+    """
+    file = ["repo", "path"]
+    order = W.partitionBy(*file).orderBy("line_no")
+    starts = (F.col("line_no") > 1) & F.col("text").rlike(DECLARATION)
+    marked = lines.withColumn("part", F.count_if(starts).over(order)).withColumn("parts", F.count_if(starts).over(W.partitionBy(*file)))
+    part = F.when(F.col("parts") > 0, F.col("part")).otherwise(F.floor((F.col("line_no") - 1) / each))
+    parts = marked.groupBy(*file, part.alias("part"), (F.col("parts") > 0).alias("cut")).agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.sum(F.length("text") + 1).alias("size"))
+    rows = parts.groupBy(*file, "cut").agg(F.array_sort(F.collect_list(F.struct("first_line", "last_line", "size"))).alias("parts"))
+    empty = F.filter(F.col("parts"), lambda _: F.lit(False))
+    start = F.struct(empty.alias("done"), F.get("parts", F.lit(0)).alias("open"))
+
+    def take(state, new):
+        opened = state["open"]
+        full = ~F.col("cut") | (opened["size"] + new["size"] - 1 > most)
+        longer = F.struct(opened["first_line"].alias("first_line"), new["last_line"].alias("last_line"), (opened["size"] + new["size"]).alias("size"))
+        return F.struct(F.when(full, F.concat(state["done"], F.array(opened))).otherwise(state["done"]).alias("done"), F.when(full, new).otherwise(longer).alias("open"))
+
+    chunks = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), start, take, lambda state: F.concat(state["done"], F.array(state["open"])))
+    out = rows.select(*file, F.posexplode(chunks).alias("chunk", "c"))
+    return out.select(*file, "chunk", "c.first_line", "c.last_line", (F.col("c.size") - 1).alias("size"))
+
+
 def chunk_lines(lines: DataFrame, most: int = 500) -> DataFrame:
     """Chunks of a fixed number of lines: first and last line and size."""
     chunk = F.floor((F.col("line_no") - 1) / most)

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from lintlake.functions import branch_slug, entropy, grade, hash31, heal, js_round, major, mask, normalize_path, purl, snippet_hash, value_hash
 from lintlake.operators import scan
 from lintlake.operators import search as S
-from lintlake.plans.base import query
+from lintlake.plans.base import literal, query, values
 
-CODE_SCORE = r"""10 + CASE WHEN regexp_matches(text, '(?i)\bpassword\b') THEN 20 ELSE 0 END + CASE WHEN contains(text, 'password') THEN 5 ELSE 0 END + CASE WHEN starts_with(lower(trim(text)), 'password') THEN 8 ELSE 0 END
-    + CASE WHEN regexp_matches(text, '(?:function|class|const|let|export)\s') THEN 10 ELSE 0 END + CASE WHEN len(text) < 80 THEN 3 ELSE 0 END - CASE WHEN regexp_matches(text, '^\s*(//|#|\*)') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(path, '\.(test|spec)\.') THEN 5 ELSE 0 END"""
+CODE_SCORE = r"""10 + CASE WHEN contains(lower(content), 'password') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(content, '(?i)\bpassword\b') THEN 15 ELSE 0 END + CASE WHEN contains(lower(content), 'password') THEN 1 ELSE 0 END * 10
+    + CASE WHEN contains(lower(path), 'password') THEN 30 ELSE 0 END + CASE WHEN regexp_matches(path, '(?i)\.(test|spec|mock|stub|fixture)\.') THEN -5 ELSE 5 END
+    + CASE WHEN regexp_matches(content, '(?:function|class|const|let|var|export|interface|type)\s') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(content, '^export\s') THEN 8 ELSE 0 END - CASE WHEN regexp_matches(content, '(?:import|require)\s') THEN 5 ELSE 0 END
+    - CASE WHEN regexp_matches(content, '^\s*(//|\*)') THEN 8 ELSE 0 END + CASE WHEN instr(lower(content), 'password') BETWEEN 1 AND 20 THEN 5 ELSE 0 END - 2 * (len(path) - len(replace(path, '/', ''))) + CASE WHEN len(content) < 80 THEN 3 ELSE 0 END"""
 
 
-@query("t01_search_code", "code_line", f"SELECT repo, path, line_no AS line, {CODE_SCORE} AS score FROM code_line WHERE contains(lower(text), 'password') ORDER BY score DESC, repo, path, line LIMIT 50")
+@query("t01_search_code", "code_line", f"WITH m AS (SELECT repo, path, line_no AS line, left(trim(text), 200) AS content FROM code_line WHERE contains(lower(text), 'password')) SELECT *, CAST(greatest(0, {CODE_SCORE}) AS DOUBLE) AS score FROM m ORDER BY score DESC, repo, path, line LIMIT 50")
 def _(s):
     return S.search_code(s.view("code_line"), "password", 50)
 
@@ -30,20 +32,26 @@ def _(s):
     return S.search_symbols(symbols, "p", 20).select("repo", "path", "line", "name")
 
 
-WORDS = r"unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: len(w) > 3))) AS word"
+WORDS = r"unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: len(w) > 1))) AS word"
+KINDS = values([(c, w) for c, words in S.CATEGORY_WORDS.items() for w in words.split()], "category, word")
 
 
 @query(
     "t04_search_snippets",
     "",
-    f"""WITH q AS (SELECT doc_id AS query_id, text FROM documents), a AS (SELECT query_id, {WORDS} FROM q), b AS (SELECT item_id AS id, {WORDS} FROM benchmark),
-    h AS (SELECT query_id, id, count(*) * 3 AS score FROM a JOIN b USING (word) GROUP BY ALL),
-    s AS (SELECT h.query_id, h.id, score + CASE WHEN regexp_extract(lower(q.text), '^\\S+', 0) = regexp_extract(lower(x.text), '^\\S+', 0) THEN 5 ELSE 0 END AS score FROM h JOIN q ON q.query_id = h.query_id JOIN benchmark x ON x.item_id = h.id)
+    f"""WITH q AS (SELECT doc_id AS query_id, text, source AS framework FROM documents),
+    x AS (SELECT item_id AS id, text, regexp_extract(text, '^\\S+', 0) AS name, lower(regexp_extract(text, '(\\w+)\\W*$', 1)) AS tag, CASE item_id % 3 WHEN 0 THEN 'auth' WHEN 1 THEN 'state' ELSE 'file' END AS category, 'web' AS framework, item_id % 9 AS uses FROM benchmark),
+    a AS (SELECT query_id, {WORDS} FROM q), b AS (SELECT id, word, 3 AS points FROM (SELECT id, {WORDS} FROM x) UNION ALL SELECT id, tag, 5 FROM x), k AS ({KINDS}),
+    h AS (SELECT query_id, id, CAST(sum(points) AS BIGINT) AS points FROM a JOIN b USING (word) GROUP BY ALL UNION ALL SELECT DISTINCT query_id, id, 8 FROM a JOIN k USING (word) JOIN x USING (category)),
+    p AS (SELECT query_id, id, sum(points) AS points FROM h GROUP BY ALL),
+    s AS (SELECT query_id, id, CAST(points + CASE WHEN contains(lower(x.name), lower(q.text)) THEN 10 ELSE 0 END + CASE WHEN contains(lower(x.framework), lower(q.framework)) THEN 5 ELSE 0 END + least(5, uses) AS BIGINT) AS score FROM p JOIN q USING (query_id) JOIN x USING (id))
     SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS place FROM s QUALIFY place <= 5""",
 )
 def _(s):
-    snippets = s.table("benchmark").select(F.col("item_id").alias("id"), "text")
-    queries = s.table("documents").select(F.col("doc_id").alias("query_id"), "text")
+    text, item = F.col("text"), F.col("item_id")
+    category = F.when(item % 3 == 0, "auth").when(item % 3 == 1, "state").otherwise("file")
+    snippets = s.table("benchmark").select(item.alias("id"), F.regexp_extract(text, r"^\S+", 0).alias("name"), F.array(F.regexp_extract(text, r"(\w+)\W*$", 1)).alias("tags"), "text", category.alias("category"), F.lit("web").alias("framework"), (item % 9).alias("uses"))
+    queries = s.table("documents").select(F.col("doc_id").alias("query_id"), "text", F.col("source").alias("framework"))
     return S.search_snippets(snippets, queries, 5)
 
 
@@ -130,6 +138,22 @@ def _(s):
     return S.chunk_lines(s.view("text_line"), 10)
 
 
+@query(
+    "p05_chunk_files",
+    "code_line",
+    f"""WITH m AS (SELECT *, CAST(line_no > 1 AND regexp_matches(text, {literal(S.DECLARATION)}) AS INT) AS starts FROM code_line),
+    n AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY repo, path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running, sum(starts) OVER (PARTITION BY repo, path) AS parts FROM m),
+    g AS (SELECT repo, path, parts > 0 AS cut, CASE WHEN parts > 0 THEN running ELSE (line_no - 1) // 10 END AS part, min(line_no) AS first_line, max(line_no) AS last_line, CAST(sum(len(text) + 1) AS BIGINT) AS size FROM n GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY first_line) AS nth FROM g),
+    w AS (SELECT repo, path, nth, 0 AS chunk, size, size AS filled FROM o WHERE nth = 1
+          UNION ALL SELECT o.repo, o.path, o.nth, CASE WHEN NOT o.cut OR w.filled + o.size - 1 > 300 THEN w.chunk + 1 ELSE w.chunk END, o.size, CASE WHEN NOT o.cut OR w.filled + o.size - 1 > 300 THEN o.size ELSE w.filled + o.size END
+          FROM w JOIN o ON o.repo IS NOT DISTINCT FROM w.repo AND o.path = w.path AND o.nth = w.nth + 1)
+    SELECT repo, path, chunk, min(first_line) AS first_line, max(last_line) AS last_line, CAST(sum(w.size) - 1 AS BIGINT) AS size FROM w JOIN o USING (repo, path, nth) GROUP BY repo, path, chunk""",
+)
+def _(s):
+    return S.chunk_files(s.view("code_line"), most=300, each=10)
+
+
 @query("w12_forward_fill", "runs", "SELECT run_id, last_value(CASE WHEN status = 'pass' THEN run_id END IGNORE NULLS) OVER (PARTITION BY repo ORDER BY run_id ROWS UNBOUNDED PRECEDING) AS last_pass FROM runs")
 def _(s):
     marked = s.view("runs").withColumn("passed", F.when(F.col("status") == "pass", F.col("run_id")))

@@ -139,7 +139,7 @@ def test_guard_between(spark):
 
 def test_query_is_no_pattern(spark):
     got = S.search_code(lines(spark, "x = a.b(c)", "x = aXb(c)", "ya.b(z"), "a.b").collect()
-    assert [(r.line, r.score) for r in got] == [(1, 38), (3, 18)]
+    assert [(r.line, r.score) for r in got] == [(1, 10 + 20 + 15 + 10 + 5 + 5 + 3), (3, 10 + 20 + 10 + 5 + 5 + 3)]  # all signals, not eight of them
 
 
 def test_hash31(spark):
@@ -209,3 +209,27 @@ def test_names_without_verb(spark):
     code = ["function getName() {", "function userName() {", "const ready = true;", "const isReady = true;", "const limit = 10;", "const LIMIT = 10;"]
     found = {(r.line, r.rule_id) for r in C.scan_catalog(lines(spark, *code), ["STL"]).collect()}
     assert found == {(2, "STL-002"), (3, "STL-003"), (3, "STL-004"), (4, "STL-004"), (5, "STL-004")}
+
+
+def test_chunks_end_at_declarations(spark):
+    code = ["// head", "function a() {", "}", "const b = 1;", "class C {", "  run() {}", "}"]
+    got = S.chunk_files(lines(spark, *code), most=30).orderBy("chunk").collect()
+    assert [(r.chunk, r.first_line, r.last_line) for r in got] == [(0, 1, 3), (1, 4, 4), (2, 5, 7)]
+    assert [r.size for r in got] == [len("\n".join(code[r.first_line - 1 : r.last_line])) for r in got]
+    plain = S.chunk_files(lines(spark, *["x"] * 7), most=1, each=3).orderBy("chunk").collect()
+    assert [(r.first_line, r.last_line, r.size) for r in plain] == [(1, 3, 5), (4, 6, 5), (7, 7, 1)]
+
+
+def test_search_signals(spark):
+    found = {r.line: r.score for r in S.search_code(lines(spark, "export function load() {", "// load", "reload(x)", "none"), "load").collect()}
+    assert found == {1: 10 + 20 + 15 + 10 + 5 + 10 + 8 + 5 + 3, 2: 10 + 20 + 15 + 10 + 5 - 8 + 5 + 3, 3: 10 + 20 + 10 + 5 + 5 + 3}
+    assert S.search_code(lines(spark, "Load", "load"), "load", case=True).count() == 1
+    assert S.search_code(lines(spark, "abc1", "abc"), r"c\d", regex=True).count() == 1
+    assert S.search_code(lines(spark, "load"), "load", path=r"\.py$").count() == 0
+
+
+def test_snippet_signals(spark):
+    snippets = spark.createDataFrame([(1, "login", ["jwt"], "checks a user", "auth", "express", 9), (2, "list", None, "a user list", None, None, None)], "id int, name string, tags array<string>, text string, category string, framework string, uses int")
+    queries = spark.createDataFrame([(1, "login", "express"), (2, "user JWT", None), (3, None, None)], "query_id int, text string, framework string")
+    got = {(r.query_id, r.id): r.score for r in S.search_snippets(snippets, queries).collect()}
+    assert got == {(1, 1): 10 + 8 + 5 + 5, (2, 1): 3 + 5 + 8 + 5, (2, 2): 3}
