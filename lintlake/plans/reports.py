@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lintlake.functions import branch_slug, grade, js_round
+from lintlake.operators import audit as A
 from lintlake.operators import catalog as C
 from lintlake.operators import filters as X
 from lintlake.operators import findings as O
@@ -166,7 +167,42 @@ def _(s):
 AREAS = "SELECT repo, CAST(greatest(0, 100 - count(*) FILTER (WHERE severity = 'critical' AND rule_id LIKE 'SEC%') * 2) AS BIGINT) AS security, CAST(greatest(0, 100 - count(*) FILTER (WHERE severity = 'error')) AS BIGINT) AS errors, CAST(greatest(0, 100 - count(DISTINCT file)) AS BIGINT) AS spread, CAST(greatest(0, 100 - count(*) FILTER (WHERE rule_id LIKE 'STL%')) AS BIGINT) AS style FROM findings GROUP BY repo"
 
 
-@query("a11_project_audit", "findings", f"WITH a AS ({AREAS}) UNPIVOT a ON security, errors, spread, style INTO NAME area VALUE score".replace("WITH a AS", "SELECT * FROM (WITH a AS").replace(") UNPIVOT", ") SELECT * FROM (UNPIVOT") + "))")
+#: Each path is a project of its own here; amounts are counts of lines by a pattern.
+AMOUNTS = {"deep": r"NaN\b", "syntax": r"\bany\[\]", "deprecated": r"Buffer|\.getTime\(", "critical": r"\beval\(", "high": r"innerHTML"}
+AUDIT_SQL = f"""p AS (SELECT path AS repo, count(*) AS lines, {" + ".join(f"max(CAST(regexp_matches(text, {literal(x)}) AS INT))" for x in A.SECRETS)} AS secrets,
+    sum(len(regexp_extract_all(text, {literal(r":\s*any\b")}))) AS anys, sum(len(regexp_extract_all(text, {literal(r"catch\s*\(\s*\)\s*\{")}))) AS empty,
+    CAST(count(*) FILTER (WHERE regexp_matches(text, {literal(r";\s*$")})) > 5 AND count(*) FILTER (WHERE regexp_matches(text, {literal(r"[^;{}\s]\s*$")})) > 5 AS INT) AS mixed,
+    {", ".join(f"count(*) FILTER (WHERE regexp_matches(text, {literal(x)})) AS {n}" for n, x in AMOUNTS.items())}, count(*) FILTER (WHERE starts_with(text, 'import ')) AS used,
+    count(*) FILTER (WHERE starts_with(text, '//')) AS lint FROM code_line GROUP BY path),
+    a AS (SELECT repo, unnest([
+    {{'area': 'structure', 'category': 'structure', 'score': CASE WHEN lines < 300 THEN 90 WHEN lines < 500 THEN 70 ELSE 50 END}}, {{'area': 'tests', 'category': 'quality', 'score': CASE WHEN regexp_matches(repo, '(?i)test|spec') THEN 70 ELSE 20 END}},
+    {{'area': 'security', 'category': 'security', 'score': CASE WHEN secrets = 0 THEN 95 ELSE greatest(0, 70 - 15 * secrets) END}}, {{'area': 'dependencies', 'category': 'performance', 'score': CASE WHEN used < 30 THEN 90 ELSE 70 END}},
+    {{'area': 'types', 'category': 'quality', 'score': CASE WHEN anys = 0 THEN 95 ELSE greatest(0, 85 - 3 * anys) END}}, {{'area': 'errors', 'category': 'quality', 'score': CASE WHEN empty < 3 THEN 85 ELSE greatest(0, 75 - 5 * empty) END}},
+    {{'area': 'documents', 'category': 'structure', 'score': CASE WHEN used > 0 THEN 30 ELSE 10 END}}, {{'area': 'style', 'category': 'quality', 'score': CASE WHEN mixed < 2 THEN 90 ELSE 60 END}},
+    {{'area': 'lint', 'category': 'quality', 'score': 100 - lint}}, {{'area': 'unused', 'category': 'performance', 'score': 80}}, {{'area': 'deep', 'category': 'quality', 'score': greatest(0, 100 - 25 * deep)}},
+    {{'area': 'advisories', 'category': 'security', 'score': greatest(0, 100 - 30 * critical - 15 * high)}}, {{'area': 'accessibility', 'category': 'quality', 'score': lines}}, {{'area': 'syntax', 'category': 'quality', 'score': greatest(0, 100 - 10 * syntax)}},
+    {{'area': 'deprecated', 'category': 'quality', 'score': greatest(0, 100 - 15 * deprecated)}}, {{'area': 'bundle', 'category': 'performance', 'score': 100 - used}}], recursive := true) FROM p)"""
+
+
+def audit(s):
+    lines = s.view("code_line").withColumn("repo", F.col("path"))
+    text = F.col("text")
+    n = lines.groupBy("repo").agg(F.count(F.lit(1)).alias("lines"), F.count_if(text.startswith("import ")).alias("used"), (100 - F.count_if(text.startswith("//"))).alias("lint"), *[F.count_if(text.rlike(p)).alias(k) for k, p in AMOUNTS.items()])
+    amounts = {"dependencies": F.col("used"), "lint": F.col("lint"), "accessibility": F.col("lines"), "bundle": 100 - F.col("used")} | {k: F.col(k) for k in ("deep", "syntax", "deprecated")}
+    return A.project_audit(lines, {k: n.select("repo", v.alias("amount")) for k, v in amounts.items()} | {"advisories": n.select("repo", "critical", "high")})
+
+
+@query("a11_project_audit", "code_line", f"WITH {AUDIT_SQL} SELECT repo, area, category, CAST(score AS BIGINT) AS score FROM a")
+def _(s):
+    return audit(s)
+
+
+@query("a11_audit_summary", "code_line", f"WITH {AUDIT_SQL} SELECT repo, CAST(floor(avg(score) + 0.5) AS BIGINT) AS score, bool_or(category = 'security' AND score < 50) AS stopped FROM a GROUP BY repo")
+def _(s):
+    return A.audit_summary(audit(s))
+
+
+@query("a11_finding_areas", "findings", f"WITH a AS ({AREAS}) UNPIVOT a ON security, errors, spread, style INTO NAME area VALUE score".replace("WITH a AS", "SELECT * FROM (WITH a AS").replace(") UNPIVOT", ") SELECT * FROM (UNPIVOT") + "))")
 def _(s):
     part = lambda test: F.greatest(F.lit(0), 100 - F.count_if(test)).cast("long")
     areas = s.view("findings").groupBy("repo").agg(

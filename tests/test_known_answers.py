@@ -233,3 +233,14 @@ def test_snippet_signals(spark):
     queries = spark.createDataFrame([(1, "login", "express"), (2, "user JWT", None), (3, None, None)], "query_id int, text string, framework string")
     got = {(r.query_id, r.id): r.score for r in S.search_snippets(snippets, queries).collect()}
     assert got == {(1, 1): 10 + 8 + 5 + 5, (2, 1): 3 + 5 + 8 + 5, (2, 2): 3}
+
+
+def test_audit_areas(spark):
+    from lintlake.operators import audit as A
+
+    code = lines(spark, "const a: any = 1;", "password = 'x'", "api_key: 'abcdefghij1'")
+    given = spark.createDataFrame([("r", 2)], "repo string, amount int")
+    got = {r.area: r.score for r in A.project_audit(code, {"deep": given, "dependencies": given}).collect()}
+    assert got == {"structure": 90, "tests": 20, "security": 40, "dependencies": 90, "types": 82, "errors": 85, "documents": 30, "style": 90, "lint": 70, "unused": 80, "deep": 50}
+    summary = A.audit_summary(A.project_audit(code, {})).first()
+    assert (summary.repo, summary.stopped) == ("r", True)
