@@ -2,7 +2,8 @@
 
 build()   deals the vectors to shards by a hash of the id and builds a tree of the shard's distinct unit vectors, one
             binary row per shard. Equal vectors share an entry that keeps their `keep` smallest ids.
-search()  deals the queries into blocks, meets every block with every shard, and merges the shards' best.
+search()  deals the queries into blocks, meets every block with every shard, and merges the shards' best. A task holds one
+            tree at a time and reads it once for a run of blocks.
             A query first walks to its own leaf, then visits every node whose distance bound is below slack * (its k-th best
             distance so far): slack 1 loses nothing, smaller values prune more than the triangle inequality allows.
 
@@ -68,6 +69,13 @@ class VpTree:
         self.nodes: list[tuple] = []
         self._grow(np.arange(len(self.vectors)), np.random.default_rng(seed))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "unit"}  # half the bytes; made again where the tree is read
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.unit = _unit(self.vectors)
+
     def _grow(self, members: np.ndarray, rng: np.random.Generator) -> int:
         at = len(self.nodes)
         if len(members) <= LEAF:
@@ -156,25 +164,36 @@ def build(vectors: DataFrame, keep: int, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(tree, "shard int, tree binary")
 
 
-def search(index: DataFrame, queries: DataFrame, shards: int, k: int = 5, slack: float = 1.0, block_rows: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score). queries has id and v; every block of them meets every shard once, where its tree is."""
+def search(index: DataFrame, queries: DataFrame, shards: int, k: int = 5, slack: float = 1.0, block_rows: int = 2048, blocks_per_tree: int = 16) -> DataFrame:
+    """(query_id, rank, vec_id, score). queries has id and v; every block of them meets every shard once.
+
+    A tree is sent once for each run of blocks, ahead of them, and the task keeps it while they pass by.
+    """
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // block_rows))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
     packed = dealt.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))  # about block_rows each
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, "shard")
+    run = F.floor(F.col("block") / blocks_per_tree).cast("int")
+    passing = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), run.alias("run"), "block", F.lit(None).cast("binary").alias("tree"), "queries")
+    runs = F.sequence(F.lit(0), F.lit((blocks - 1) // blocks_per_tree))
+    ahead = index.select("shard", F.explode(runs).alias("run"), F.lit(-1).alias("block"), "tree", F.lit(None).cast(packed.schema["queries"].dataType).alias("queries"))
+    met = ahead.unionByName(passing).repartition("shard", "run").sortWithinPartitions("shard", "run", "block")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, tree = None, None
         for batch in batches:
-            for tree, rows in zip(batch["tree"], batch["queries"], strict=True):
-                ids = np.array([r["id"] for r in rows])
-                found = pickle.loads(tree).nearest(ids, np.array([list(r["v"]) for r in rows]), k, slack)
-                yield pd.DataFrame([(q, i, s) for q, best in zip(ids, found, strict=True) for s, i in best], columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            for shard, run, sent, rows in zip(batch["shard"], batch["run"], batch["tree"], batch["queries"], strict=True):
+                if sent is not None:
+                    held, tree = (shard, run), pickle.loads(sent)
+                elif held == (shard, run):  # a shard that no vector fell into has no tree
+                    ids = np.array([r["id"] for r in rows])
+                    found = tree.nearest(ids, np.array([list(r["v"]) for r in rows]), k, slack)
+                    yield pd.DataFrame([(q, i, s) for q, best in zip(ids, found, strict=True) for s, i in best], columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row holds a whole tree
     try:
-        best = cut(met.select("tree", "queries").mapInPandas(look, "query_id long, vec_id long, score double"))
+        best = cut(met.select("shard", "run", "tree", "queries").mapInPandas(look, "query_id long, vec_id long, score double"))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -30,3 +30,15 @@ def test_repeated_rows():
     v = r.normal(size=(300, 8))
     ids = np.concatenate([np.arange(300), np.repeat(np.arange(40), 9)])
     check(ids, np.concatenate([v, np.repeat(v[:40], 9, axis=0)]))
+
+
+def test_trees_pass_once_for_a_run_of_blocks(spark):
+    """Many blocks, runs and shards give what one block and one shard give, shards without a vector included."""
+    r = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in r.normal(size=6)]) for k in range(400)]
+    df = vptree.usable(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
+    got = []
+    for shards, size, per in ((1, 1000, 1), (7, 9, 3), (300, 50, 2)):
+        out = vptree.search(vptree.build(df, 6, shards), df.where("id % 5 = 0"), shards, block_rows=size, blocks_per_tree=per)
+        got.append(sorted((x.query_id, x.rank, x.vec_id, x.score) for x in out.collect()))
+    assert len(got[0]) == 400 and got[0] == got[1] == got[2]
