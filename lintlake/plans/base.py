@@ -62,6 +62,27 @@ SNIPPETS: list[tuple[int, int, str]] = [
     (80, 10, "if (hit) { raw.trim(); }"),
 ]
 
+#: Lines with and without their counterparts in the file or on the next line, for the rules that look for these.
+SCRIPT: list[tuple[int, int, str]] = [
+    (1, 3, "const timer = setInterval(tick, 100);"),
+    (2, 4, "fetch(address);"),
+    (3, 5, "const worker = new Worker(file);"),
+    (4, 2, "try { go(); } catch (e) {"),
+    (5, 3, "  console.warn(e);"),
+    (6, 2, "}"),
+    (7, 4, "for (const x of all) {"),
+    (8, 3, "  await send(x);"),
+    (9, 5, "window.addEventListener('resize', draw);"),
+    (10, 6, "const seen = new Map();"),
+    (11, 4, "return 1;"),
+    (12, 3, "const after = 2;"),
+    (13, 7, "clearInterval(timer);"),
+    (14, 8, "worker.terminate();"),
+    (15, 9, "fetch(address, { signal });"),
+    (16, 10, "window.removeEventListener('resize', draw);"),
+    (17, 11, "seen.delete(key);"),
+]
+
 
 def literal(text: str) -> str:
     """A string literal that both engines read alike: what Spark would unescape is built from character codes."""
@@ -118,11 +139,13 @@ VIEWS: dict[str, str] = {
                event_type AS team, CASE event_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'error' WHEN 2 THEN 'warning' ELSE 'info' END AS severity,
                CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, 'finding ' || CAST(event_id % 50 AS VARCHAR(9)) AS message FROM events""",
 }
+VIEWS["script"] = values(SCRIPT, "k, every_n, text")
+VIEWS["script_line"] = VIEWS["code_line"].replace("JOIN snippet s", "JOIN script s")
 #: The one view whose explosion the engines spell differently.
 TWINS = {
     "text_line": "SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path, CAST(generate_subscripts(split(text, chr(10)), 1) AS INT) AS line_no, unnest(split(text, chr(10))) AS text FROM documents",
 }
-NEEDS = {"code_line": ("snippet",)}
+NEEDS = {"code_line": ("snippet",), "script_line": ("script",)}
 
 REGISTER: dict[str, tuple[Callable[[Source], DataFrame], str | None]] = {}
 

@@ -34,18 +34,18 @@ CATALOG = f"""f AS ({FAMILIES}), i AS (SELECT family || '-' || lpad(CAST(unnest(
 def pairs(rules: list[C.Pair]) -> str:
     """Twin CTEs: first and second, the lines that match either pattern of each rule."""
     rows = values([tuple(r) for r in rules], "rule_id, severity, a, b")
-    first = f"SELECT repo, path, line_no AS line, rule_id, severity FROM code_line JOIN r ON regexp_matches(text, a) WHERE NOT regexp_matches(text, {literal(C.COMMENT)})"
-    return f"r AS ({rows}), first AS ({first}), second AS (SELECT repo, path, line_no AS line, rule_id FROM code_line JOIN r ON regexp_matches(text, b))"
+    first = f"SELECT repo, path, line_no AS line, rule_id, severity FROM script_line JOIN r ON regexp_matches(text, a) WHERE NOT regexp_matches(text, {literal(C.COMMENT)})"
+    return f"r AS ({rows}), first AS ({first}), second AS (SELECT repo, path, line_no AS line, rule_id FROM script_line JOIN r ON regexp_matches(text, b))"
 
 
-@query("r32_scan_catalog_files", "code_line", f"WITH {pairs(C.FILE_RULES)} SELECT repo, path, line, rule_id, severity FROM first WHERE NOT EXISTS (SELECT 1 FROM second WHERE second.repo = first.repo AND second.path = first.path AND second.rule_id = first.rule_id)")
+@query("r32_scan_catalog_files", "script_line", f"WITH {pairs(C.FILE_RULES)} SELECT repo, path, line, rule_id, severity FROM first WHERE NOT EXISTS (SELECT 1 FROM second WHERE second.repo = first.repo AND second.path = first.path AND second.rule_id = first.rule_id)")
 def _(s):
-    return C.scan_files(s.view("code_line"))
+    return C.scan_files(s.view("script_line"))
 
 
-@query("r32_scan_catalog_next", "code_line", f"WITH {pairs(C.NEXT_RULES)} SELECT first.* FROM first JOIN second ON second.repo = first.repo AND second.path = first.path AND second.rule_id = first.rule_id AND second.line = first.line + 1")
+@query("r32_scan_catalog_next", "script_line", f"WITH {pairs(C.NEXT_RULES)} SELECT first.* FROM first JOIN second ON second.repo = first.repo AND second.path = first.path AND second.rule_id = first.rule_id AND second.line = first.line + 1")
 def _(s):
-    return C.scan_next(s.view("code_line"))
+    return C.scan_next(s.view("script_line"))
 
 
 @query(
