@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +49,16 @@ def text_batches(spark: SparkSession, rows: int = 256, size: int = 32 << 20) ->
     """
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 32 << 20) -> Iterator[None]:
+    """text_batches() for what runs inside; the session's settings return afterwards."""
+    names = [f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(n) for n in names]
+    text_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import audio, chat, html_extract, langid, mixing, packing, quality_crf, sharding, simhash, vptree
+from lintlake.llm import audio, chat, decontaminate, html_extract, langid, mixing, packing, quality_crf, repair, sharding, simhash, vptree, whitening
 from lintlake.llm.common import held_out
 
 
@@ -94,9 +94,50 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"), k=8)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_prefix_filtered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the faults that operator 13 is asked to repair, by crc32 of `conv_id:turn`."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat(shown[0], F.lit(":"), shown[1]).cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    changed = rows.withColumn("kind", kind).where("kind <> 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("kind") == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy"),
+    )
+    return changed.drop("copy")
+
+
+def op13_dijkstra_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, turns = repair.repair(damaged(rows))
+    every = rows.select("conv_id").distinct().withColumn("conv", repair.conversation_key("conv_id"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    found = every.join(report, "conv", "left").join(repair.digests(turns), "conv", "left")
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.MIX_SQL, "op8_reply_trees": chat.CHAT_SQL, "op9_vantage_point_trees": vptree.NEIGHBOURS_SQL}
+    return {"op2_mixing": mixing.MIX_SQL, "op8_reply_trees": chat.CHAT_SQL, "op9_vantage_point_trees": vptree.NEIGHBOURS_SQL, "op12_prefix_filtered_join": decontaminate.CONTAMINATION_SQL, "op13_dijkstra_repair": repair.REPAIR_SQL}
