@@ -37,14 +37,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    parts = F.split(F.translate(text, UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1)
+    """Words as they stand; lowered() makes them words of the definition. Lowering some words is cheaper than lowering every text."""
+    parts = F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
     return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))
 
 
-def _shingle(words: Column, at: Column, n: int) -> Column:
-    """Hash of n words from place `at` (from 0); null beyond the end."""
-    every = [F.get(words, at + j) for j in range(n)]
-    return F.when(reduce(lambda a, b: a & b, [w.isNotNull() for w in every]), F.xxhash64(*every))
+def lowered(text: Column) -> Column:
+    """A-Z lowered, nothing else."""
+    return F.translate(text, UPPER, LOWER)
+
+
+def _shingle(words: Column, n_words: Column, at: Column, n: int) -> Column:
+    """Hash of n words from place `at` (from 0), all capitals lowered: windows that are equal have equal hashes. Null beyond the end."""
+    return F.when((at >= 0) & (at + n <= n_words), F.xxhash64(*[F.lower(F.get(words, at + j)) for j in range(n)]))
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
@@ -52,14 +57,14 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", s
     rows = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - span, F.lit(0)))
     each = rows.select("item", "words", F.explode(starts).alias("start"))
-    return each.select("item", F.array_join(F.slice("words", F.col("start") + 1, F.lit(span)), " ").alias("gram"), F.least(F.size("words"), F.lit(span)).alias("length")).distinct()
+    return each.select("item", lowered(F.array_join(F.slice("words", F.col("start") + 1, F.lit(span)), " ")).alias("gram"), F.least(F.size("words"), F.lit(span)).alias("length")).distinct()
 
 
 def shingles(grams: DataFrame, n: int = SHINGLE) -> DataFrame:
     """(gram, length, n, offset, h): the shingles of each distinct window; those with fewer than n words are one shingle."""
     rows = grams.select("gram", "length").distinct().select("gram", "length", F.split("gram", " ").alias("words"), F.least("length", F.lit(n)).alias("n"))
     each = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("length") - F.col("n"))).alias("offset"))
-    hashed = F.coalesce(*[F.when(F.col("n") == k, _shingle(F.col("words"), F.col("offset"), k)) for k in range(1, n + 1)])
+    hashed = F.coalesce(*[F.when(F.col("n") == k, _shingle(F.col("words"), F.col("length"), F.col("offset"), k)) for k in range(1, n + 1)])
     return each.select("gram", "length", "n", "offset", hashed.alias("h"))
 
 
@@ -83,20 +88,19 @@ def _lengths(grams: DataFrame) -> list[int]:
 
 
 def _places(docs: DataFrame, grams: DataFrame, text_col: str, *kept: Column) -> DataFrame:
-    """The places of all documents whose shingles may be among the grams' (one hash for each length in use), and place -1 of each document."""
-    bits, lengths = bitmap(grams.select("h").distinct()), _lengths(grams)
-    rows = docs.select(*kept, words(F.col(text_col)).alias("words"))
+    """(kept, words, n_words, at, h): the places of all documents where a shingle's bit is set, and place -1 of each document."""
+    bits, lengths = bitmap(grams.select("h").distinct()), _lengths(grams) or [SHINGLE]
+    rows = docs.select(*kept, words(F.col(text_col)).alias("words")).select("*", F.size("words").alias("n_words"))
     # outer: else Spark infers a filter that cuts every text into words once more
-    each = rows.select("*", F.explode_outer(F.sequence(F.lit(-1), F.size("words") - 1)).alias("at"))
-    hashed = each.select("*", F.array(*[_shingle(F.col("words"), F.col("at"), n) for n in lengths]).cast("array<bigint>").alias("hashes"))
-    met = [F.coalesce(_known(F.get("hashes", F.lit(k)), bits), F.lit(False)) for k in range(len(lengths))]
-    return hashed.where(reduce(lambda a, b: a | b, met, F.col("at") < 0))
+    each = rows.select("*", F.explode_outer(F.sequence(F.lit(-1), F.col("n_words") - 1)).alias("at"))
+    hashes = F.array(*[_shingle(F.col("words"), F.col("n_words"), F.col("at"), n) for n in lengths])
+    hashed = each.select("*", F.posexplode(hashes).alias("nth", "h"))  # a row each, so that no hash is computed twice
+    return hashed.where(F.when(F.col("at") < 0, F.col("nth") == 0).otherwise(_known(F.col("h"), bits))).drop("nth")
 
 
 def shingle_counts(docs: DataFrame, grams: DataFrame, text_col: str = "text") -> DataFrame:
     """(h, seen): occurrences in all documents of the shingles that windows have; a few others share their bits."""
-    met = _places(docs, grams, text_col).where("at >= 0")
-    return met.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("seen"))
+    return _places(docs, grams, text_col).where("at >= 0").groupBy("h").agg(F.count(F.lit(1)).alias("seen"))
 
 
 def anchors(docs: DataFrame, grams: DataFrame, text_col: str = "text") -> DataFrame:
@@ -108,16 +112,16 @@ def anchors(docs: DataFrame, grams: DataFrame, text_col: str = "text") -> DataFr
 
 
 def candidates(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """Two kinds of rows. at = -1: one of each document, with row, id and n_words. Others: row, at, hashes, the words round the place and how many of them lie left of it."""
+    """Two kinds of rows. at = -1: one of each document, with row, id and n_words. Others: row, at, h, the words round the place and how many of them lie left of it."""
     each = _places(docs, chosen, text_col, F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
     place, left = F.col("at"), F.least(F.col("at"), F.lit(span - 1))
     return cut(
         each.select(
             "row",
             F.when(place < 0, F.col("id")).alias("id"),
-            F.when(place < 0, F.size("words")).cast("long").alias("n_words"),
+            F.when(place < 0, F.col("n_words")).cast("long").alias("n_words"),
             "at",
-            F.when(place >= 0, F.col("hashes")).alias("hashes"),
+            F.when(place >= 0, F.col("h")).alias("h"),
             F.when(place >= 0, F.slice("words", place - left + 1, F.lit(2 * span - 1))).alias("near"),
             F.when(place >= 0, left).alias("left"),
         )
@@ -126,9 +130,8 @@ def candidates(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_
 
 def occurrences(found: DataFrame, chosen: DataFrame) -> DataFrame:
     """(row, start, length, gram): every place where a window occurs."""
-    spots = found.where("at >= 0").select("row", "at", "near", "left", F.explode("hashes").alias("h")).where("h IS NOT NULL")
-    met = spots.join(chosen, "h").where("left >= offset AND size(near) - left + offset >= length")
-    same = F.array_join(F.slice("near", F.col("left") - F.col("offset") + 1, F.col("length")), " ") == F.col("gram")
+    met = found.where("at >= 0").select("row", "at", "h", "near", "left").join(chosen, "h").where("left >= offset AND size(near) - left + offset >= length")
+    same = lowered(F.array_join(F.slice("near", F.col("left") - F.col("offset") + 1, F.col("length")), " ")) == F.col("gram")
     return met.where(same).select("row", (F.col("at") - F.col("offset")).alias("start"), "length", "gram").distinct()
 
 
