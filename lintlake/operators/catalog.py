@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions import family
+from lintlake.operators import scopes, span_rules
 from lintlake.operators.rules import Rule, unless
 from lintlake.operators.scan import cap, scan_rules
 
@@ -158,8 +159,6 @@ class Pair(NamedTuple):
 #: A line that matches the first, in a file where no line matches the second.
 FILE_RULES = [
     Pair("ASY-009", "error", r"\.addEventListener\(", r"removeEventListener"),
-    Pair("RTE-011", "critical", r"while\s*\(\s*(?:true|1)\s*\)|for\s*\(\s*;\s*;", r"\b(?:break|return|throw)\b"),
-    Pair("RTE-018", "warning", r"\bswitch\s*\(", r"\bdefault\s*:"),
     Pair("SEC-013", "critical", r"\bjwt\.decode\b", r"\bjwt\.verify\s*\("),
     Pair("SEC-015", "error", r"res\.cookie\(", r"httpOnly\s*:"),
     Pair("SEC-027", "error", r"\b(?:app|router)\.(?:post|put|patch|delete)\(\s*['\"`][^'\"`]*/(?:api|auth|account|admin)", r"(?i)csrf|csurf|sameSite|double.?submit"),
@@ -181,19 +180,12 @@ NEXT_RULES = [
     Pair("ERR-002", "error", r"\bcatch\s*(?:\([^)]*\))?\s*\{\s*$", r"^\s*console\.\w+\("),
     Pair("RTE-019", "warning", r"^\s*(?:return|throw|break|continue)\b.*;\s*$", r"^\s*(?:const|let|var|await|return|throw)\s|^\s*[\w.]+\("),
     Pair("VAR-009", "error", r"\bfor\s*\(\s*var\s", r"setTimeout|=>|function\b"),
-    Pair("ASY-012", "error", r"\bsetTimeout\s*\(", r"^\s*throw\b"),
-    Pair("PRF-008", "info", r"\b(?:for|while)\s*\(", r"new\s+RegExp\s*\("),
-    Pair("PRF-001", "error", r"\b(?:for|while)\s*\(", r"document\.(?:querySelector|getElementById|createElement)|\.appendChild\("),
-    Pair("PRF-004", "error", r"\b(?:for|while)\s*\(", r"\bawait\s"),
 ]
 
-#: Brackets that a file must close as often as it opens them.
-BRACKETS = [("SYN-001", "{", "}"), ("SYN-002", "(", ")"), ("SYN-003", "[", "]")]
-
 
 def rule_catalog(spark: SparkSession) -> DataFrame:
     """rule_id, family, category, quality, engine, action, source, has_rule (a pattern or count here finds it)."""
-    built = {r.rule_id for pack in (LINE_RULES, FILE_RULES, NEXT_RULES) for r in pack} | {b[0] for b in BRACKETS} | {"CMX-004", "STL-009", "TYP-011"}
+    built = {r.rule_id for pack in (LINE_RULES, FILE_RULES, NEXT_RULES, span_rules.INSIDE, span_rules.ABOUT) for r in pack} | {*span_rules.OTHERS} | {r[0] for r in scopes.RULES} | {"CMX-004", "STL-009", "TYP-011"}
     engine = {i: e for e, ids in ENGINES.items() for i in ids.split()}
     action = {i: a for a, ids in ACTIONS.items() for i in ids.split()}
     model = set(FOR_MODELS.split())
@@ -219,17 +211,14 @@ def scan_next(lines: DataFrame) -> DataFrame:
 def scan_totals(lines: DataFrame, longest: int = 1000) -> DataFrame:
     """Rules about counts of a whole file: repo, path, rule_id, amount.
 
-    Brackets that do not balance, more than 1,000 lines, both kinds of quotes, interfaces beside type aliases. Counts are summed
-    before the shuffle.
+    More than 1,000 lines, both kinds of quotes, interfaces beside type aliases. Counts are summed before the shuffle.
     """
     of = lambda letter: F.sum(F.length("text") - F.length(F.replace("text", F.lit(letter))))
     has = lambda pattern: F.sum(F.col("text").rlike(pattern).cast("int"))
-    balance = [(of(a) - of(b)).alias(rule) for rule, a, b in BRACKETS]
     n = lines.groupBy("repo", "path").agg(
-        *balance, F.count(F.lit(1)).alias("n"), of("'").alias("single"), of('"').alias("double"), has(r"^\s*(?:export\s+)?interface\s+\w").alias("interfaces"), has(r"^\s*(?:export\s+)?type\s+\w+\s*=").alias("types")
+        F.count(F.lit(1)).alias("n"), of("'").alias("single"), of('"').alias("double"), has(r"^\s*(?:export\s+)?interface\s+\w").alias("interfaces"), has(r"^\s*(?:export\s+)?type\s+\w+\s*=").alias("types")
     )
-    each = [(rule, F.col(f"`{rule}`") != 0, F.abs(F.col(f"`{rule}`"))) for rule, _, _ in BRACKETS]
-    each += [("CMX-004", F.col("n") > longest, F.col("n")), ("STL-009", F.least("single", "double") > 0, F.least("single", "double")), ("TYP-011", F.least("interfaces", "types") > 0, F.least("interfaces", "types"))]
+    each = [("CMX-004", F.col("n") > longest, F.col("n")), ("STL-009", F.least("single", "double") > 0, F.least("single", "double")), ("TYP-011", F.least("interfaces", "types") > 0, F.least("interfaces", "types"))]
     found = F.array(*[F.when(test, F.struct(F.lit(rule).alias("rule_id"), amount.cast("long").alias("amount"))) for rule, test, amount in each])
     return n.select("repo", "path", F.inline(F.filter(found, lambda x: x.isNotNull())))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.plans import filters, findings, history, packages, reports, scans, search, streams  # noqa: F401  they fill the register
+from lintlake.plans import blocks, filters, findings, history, packages, reports, scans, search, streams  # noqa: F401  they fill the register
 from lintlake.plans.base import REGISTER, Source
 
 

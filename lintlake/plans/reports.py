@@ -52,10 +52,8 @@ def _(s):
     "r32_scan_catalog_totals",
     "code_line",
     r"""WITH n AS (SELECT repo, path, string_agg(text, '') AS whole, count(*) AS lines, sum(CAST(regexp_matches(text, '^\s*(?:export\s+)?interface\s+\w') AS INT)) AS interfaces, sum(CAST(regexp_matches(text, '^\s*(?:export\s+)?type\s+\w+\s*=') AS INT)) AS types FROM code_line GROUP BY repo, path),
-    m AS (SELECT *, len(whole) - len(replace(whole, '{', '')) - len(whole) + len(replace(whole, '}', '')) AS a, len(whole) - len(replace(whole, '(', '')) - len(whole) + len(replace(whole, ')', '')) AS b, len(whole) - len(replace(whole, '[', '')) - len(whole) + len(replace(whole, ']', '')) AS c,
-          least(len(whole) - len(replace(whole, chr(39), '')), len(whole) - len(replace(whole, chr(34), ''))) AS q, least(interfaces, types) AS t FROM n)
-    SELECT repo, path, 'SYN-001' AS rule_id, CAST(abs(a) AS BIGINT) AS amount FROM m WHERE a <> 0 UNION ALL SELECT repo, path, 'SYN-002', CAST(abs(b) AS BIGINT) FROM m WHERE b <> 0 UNION ALL SELECT repo, path, 'SYN-003', CAST(abs(c) AS BIGINT) FROM m WHERE c <> 0
-    UNION ALL SELECT repo, path, 'CMX-004', lines FROM m WHERE lines > 1000 UNION ALL SELECT repo, path, 'STL-009', CAST(q AS BIGINT) FROM m WHERE q > 0 UNION ALL SELECT repo, path, 'TYP-011', CAST(t AS BIGINT) FROM m WHERE t > 0""",
+    m AS (SELECT *, least(len(whole) - len(replace(whole, chr(39), '')), len(whole) - len(replace(whole, chr(34), ''))) AS q, least(interfaces, types) AS t FROM n)
+    SELECT repo, path, 'CMX-004' AS rule_id, lines AS amount FROM m WHERE lines > 1000 UNION ALL SELECT repo, path, 'STL-009', CAST(q AS BIGINT) FROM m WHERE q > 0 UNION ALL SELECT repo, path, 'TYP-011', CAST(t AS BIGINT) FROM m WHERE t > 0""",
 )
 def _(s):
     return C.scan_totals(s.view("code_line"))
