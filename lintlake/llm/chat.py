@@ -9,8 +9,8 @@ A turn is `<turn>role`, a newline, the text and `</turn>` with a newline. Inside
 becomes \\l (in roles a newline becomes \\n), so no control string can appear in them, and reading back is exact.
 
 Defined results: null texts and roles are empty strings; a parent that is null or not in the tree makes a root; messages that
-repeat an id are siblings under the same id only once (the first by role and text is kept); messages in a cycle have no root and
-are left out; a null tree id is a tree of its own; empty tables give empty results; columns other than those named are ignored.
+repeat an id are siblings under the same id only once (the first by role and text is kept); messages in a ring of replies, and
+those below one, have no root and are left out, whatever the ring's length; a null tree id is a tree of its own; empty tables give empty results; columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -37,22 +37,28 @@ def unescape(text: Column, line: bool = False) -> Column:
 def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, id, up): every message of every root-to-leaf path, `up` steps above the leaf.
 
-    messages: tree, id, parent (ids unique within a tree).
+    messages: tree, id, parent (ids unique within a tree). First the tables of 2^k-th ancestors are made; who still has one when 2^k
+    exceeds the tree's replies hangs on a ring and goes before any path is begun.
     """
     nodes = messages.select("tree", "id", "parent")
     known = nodes.select("tree", F.col("id").alias("parent"))
-    jump = cut(nodes.where(F.col("parent").isNotNull()).join(known, ["tree", "parent"], "left_semi").select("tree", "id", F.col("parent").alias("above")))
-    inner = jump.select("tree", F.col("above").alias("id")).distinct()
+    jumps = [cut(nodes.where(F.col("parent").isNotNull()).join(known, ["tree", "parent"], "left_semi").select("tree", "id", F.col("parent").alias("above")))]
+    longest = jumps[0].groupBy("tree").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    while (1 << (len(jumps) - 1)) <= longest:
+        on = jumps[-1].select("tree", F.col("id").alias("above"), F.col("above").alias("next"))
+        further = cut(jumps[-1].join(on, ["tree", "above"]).select("tree", "id", F.col("next").alias("above")))
+        if further.isEmpty():
+            break
+        jumps.append(further)
+    if (1 << (len(jumps) - 1)) > longest > 0:
+        rootless = jumps.pop().select("tree", "id")
+        nodes = nodes.join(rootless, ["tree", "id"], "left_anti")
+        jumps = [j.join(rootless, ["tree", "id"], "left_anti") for j in jumps]
+    inner = jumps[0].select("tree", F.col("above").alias("id")).distinct()
     found = nodes.join(inner, ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"))
-    steps = 1
-    while not jump.isEmpty():
-        if steps > 1 << 40:
-            raise RuntimeError("a thread deeper than 2^40 messages")
-        higher = found.join(jump, ["tree", "id"]).select("tree", "leaf", F.col("above").alias("id"), (F.col("up") + steps).alias("up"))
+    for k, jump in enumerate(jumps):
+        higher = found.join(jump, ["tree", "id"]).select("tree", "leaf", F.col("above").alias("id"), (F.col("up") + (1 << k)).alias("up"))
         found = cut(found.unionByName(higher))
-        on = jump.select("tree", F.col("id").alias("above"), F.col("above").alias("next"))
-        further = jump.join(on, ["tree", "above"]).select("tree", "id", F.col("next").alias("above"))
-        jump, steps = cut(further.where("id <> above")), steps * 2
     return found
 
 

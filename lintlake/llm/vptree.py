@@ -11,8 +11,9 @@ Distances are Euclidean between unit vectors, which order like cosines. The scor
 double precision, with products added in component order.
 
 Defined results: vectors that are null, empty, zero, of another dimension than the index's most frequent one, or hold null or
-non-finite components take no part, neither as query nor as candidate; null ids take no part; rows of one id are
-candidates of their own, but never of a query of that id; ties go to the smaller id; fewer candidates than k give fewer rows; an
+non-finite components take no part, neither as query nor as candidate; null ids take no part; rows that repeat id and vector are one
+row; rows of one id with different vectors are candidates of their own, so the id can be found twice, but never by a query of that id,
+which asks with each of its vectors and gets the best of all; ties go to the smaller id; fewer candidates than k give fewer rows; an
 empty table gives an empty result.
 """
 
@@ -30,8 +31,11 @@ from pyspark.sql import Window as W
 from lintlake.llm.common import cut
 
 LEAF = 64
-#: More than what rounding adds to a distance of unit vectors.
-MARGIN = 1e-7
+
+
+def margin(width: int) -> float:
+    """More than what rounding adds to the difference of two distances of unit vectors: 2 - 2ab is off by (4 width + 12) units in the last place at most."""
+    return 2 * float(np.sqrt((4 * width + 12) * np.finfo(float).eps / 2))
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -47,7 +51,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row; sums run in component order, like a fold."""
+    """Row by row; sums run in component order, like a fold. Powers of two bring each row to size 1 first, which rounds nothing."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (a, b))
     dot, aa, bb = (np.add.accumulate(x * y, axis=1)[:, -1] for x, y in ((a, b), (a, a), (b, b)))
     return dot / (np.sqrt(aa) * np.sqrt(bb))
 
@@ -94,8 +99,8 @@ class VpTree:
 
     def nearest(self, ids: np.ndarray, vectors: np.ndarray, k: int, slack: float) -> list[list[tuple[float, int]]]:
         """For each query its k best (score, id), best first; an entry's own id is no candidate."""
-        n, unit = len(ids), _unit(vectors)
-        best: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+        n, unit, slip = len(ids), _unit(vectors), margin(vectors.shape[1])
+        best: list[list[tuple[float, int, int]]] = [[] for _ in range(n)]
         reach = np.full(n, np.inf)  # distance of the k-th best
 
         def leaf(members: np.ndarray, who: np.ndarray) -> None:
@@ -106,12 +111,12 @@ class VpTree:
             if len(members) >= k:  # entries that are sure to be candidates of their own bound what is scored
                 sure = (fresh & self.single[members])[None, :] & (own[None, :] != ids[who, None])
                 limit = np.minimum(limit, np.partition(np.where(sure, d, np.inf), k - 1, 1)[:, k - 1])
-            # rounding of d is below MARGIN: whatever may tie with the k-th best is ranked by its exact score and id
-            row, col = np.nonzero(d <= limit[:, None] + MARGIN)
+            # rounding of d is below the margin: whatever may tie with the k-th best is ranked by its exact score and id
+            row, col = np.nonzero(d <= limit[:, None] + slip)
             for at in range(0, len(row), 8192):
                 q, e = who[row[at : at + 8192]], members[col[at : at + 8192]]
                 for x, m, score in zip(q.tolist(), e.tolist(), cosine(vectors[q], self.vectors[e]).tolist(), strict=True):
-                    best[x].extend((score, int(i)) for i in self.ids[m] if i != ids[x])
+                    best[x].extend((score, int(i), m) for i in self.ids[m] if i != ids[x])
                 for x in np.unique(q).tolist():
                     best[x] = sorted(set(best[x]), key=lambda found: (-found[0], found[1]))[:k]
                     if len(best[x]) == k:
@@ -141,12 +146,12 @@ class VpTree:
             d = _distances(unit[who], self.unit[[point]])[:, 0]
             for child, low, high in ((near, near_from, near_to), (far, far_from, far_to)):
                 bound = np.maximum(np.maximum(low - d, d - high), 0)
-                visit(child, who[bound <= slack * reach[who] + MARGIN])
+                visit(child, who[bound <= slack * reach[who] + slip])
 
         everyone = np.arange(n)
         home(0, everyone)
         visit(0, everyone)
-        return best
+        return [[(score, i) for score, i, _ in found] for found in best]
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -197,13 +202,13 @@ def search(index: DataFrame, queries: DataFrame, shards: int, k: int = 5, slack:
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, slack: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", rows_per_shard: int = 8192) -> DataFrame:
     """The k nearest rows of vectors for each row of queries; shards hold about `rows_per_shard` rows at any size."""
-    rows = cut(usable(vectors, id_col, vector_col))
-    asked = usable(queries, id_col, vector_col)
+    rows = cut(usable(vectors, id_col, vector_col).distinct())
+    asked = usable(queries, id_col, vector_col).distinct()
     width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
     if width is not None:
         rows, asked = rows.where(F.size("v") == width["n"]), asked.where(F.size("v") == width["n"])
@@ -213,7 +218,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, slack: float
 
 #: All pairs of queries and candidates in DuckDB, sums in component order.
 NEIGHBOURS_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 n AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS norm FROM v),
