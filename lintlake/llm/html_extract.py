@@ -2,9 +2,11 @@
 
 A page becomes a row of blocks, each at a path of block elements (tag and class) from the root down to it. Text length, punctuation
 and link text are summed by path; a path's length and punctuation per block are fused into one ratio, smoothed over neighbouring blocks,
-and damped by the path's share of link text. A path is content if its ratio, times two features, reaches a part of the page's mean:
-its names (menus, footers, forms, comments, ... by tag, role, class or id) and its place (inside the region that holds most of the
-page's weight: its article or main elements, else the deepest element that holds most of it).
+and damped by the path's share of link text. A path is content if the doublings of its ratio, times two features, reach a threshold:
+its names (menus, footers, forms, comments, ... by tag, role, class or id; names that articles use too weigh less there) and its place
+(inside the region that holds most of the page's weight: its article or main elements, else the deepest element that holds most of it).
+No feature settles a path alone: inside the region a path needs a ratio of 2, outside of it 15, under names of furniture over 10,000;
+less on pages whose blocks are but a few letters long.
 
 Parsing and scoring take time and memory in proportion to the page: paths are numbers of a tree, and broken tags are read once.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html import unescape
+from math import log2
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,47 +46,55 @@ OUT_NAMES = set(
 )
 #: Names that mean page furniture around an article, but parts of it within: its header, a notice box, a section on social life.
 KEPT_INSIDE = set("header masthead notice notices social skip".split())
+#: Names that may head prose of the article; lists of links under them are damped as such.
+SOFT_INSIDE = set("related recommended promo promoted share sharing banner widget widgets search alert".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 REGION = ("article", "main")
 MARKS = re.compile(r"[.,;:!?…。，、]")
 
-#: Part of the page's mean ratio that a path must reach, and the factors of its features: furniture by name, inside and outside of the region.
-LEAST, NAMED, INSIDE, OUTSIDE = 0.15, 0.005, 10.0, 0.1
+#: Doublings of the ratio that a path must reach, and the factors of its features: furniture by name, by a soft name, outside of the region.
+LEAST, NAMED, SOFT, OUTSIDE = 1.6, 0.12, 0.5, 0.4
+#: Pages of short blocks: part of the doublings of a block of their mean length, without marks, that is enough.
+SHORT = 0.9
+#: What a path of furniture weighs where the region is looked for.
+FURNITURE_WEIGHT = 0.005
 #: Part of the page's weight that a region must hold.
 MOST_OF_IT = 0.6
 
 
 class Paths:
-    """Paths as numbers of a tree, 0 for the root: parent, label, whether furniture by name, and the article or main element it is in."""
+    """Paths as numbers of a tree, 0 for the root: parent, label, factor of its names, and the article or main element it is in."""
 
     def __init__(self) -> None:
-        self.known: dict[tuple[int, str, bool], int] = {}
-        self.parent, self.tag, self.furniture, self.region = [-1], [""], [False], [""]
+        self.known: dict[tuple[int, str, float], int] = {}
+        self.parent, self.tag, self.furniture, self.region = [-1], [""], [1.0], [""]
 
-    def down(self, at: int, tag: str, label: str, furniture: bool) -> int:
+    def down(self, at: int, tag: str, label: str, furniture: float) -> int:
         key = (at, label, furniture)
         if key not in self.known:
             self.known[key] = len(self.parent)
             self.parent.append(at)
             self.tag.append(tag)
-            self.furniture.append(furniture or self.furniture[at])
+            self.furniture.append(min(furniture, self.furniture[at]))
             self.region.append(self.region[at] or (tag if tag in REGION else ""))
         return self.known[key]
 
 
-def _named(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
-    """(shows nothing, furniture by name, class) of an element; `inside`: it stands in an article or main element."""
-    silent, furniture, classes = tag in SILENT, tag in OUT or tag == "header" and not inside, ""
+def _named(tag: str, attributes: str, inside: bool) -> tuple[bool, float, str]:
+    """(shows nothing, factor of its names, class) of an element; `inside`: it stands in an article or main element."""
+    silent, furniture, classes = tag in SILENT, NAMED if tag in OUT or tag == "header" and not inside else 1.0, ""
     if attributes and tag not in ("html", "body", *REGION):
         for name, *values in ATTRIBUTE.findall(attributes):
             value, name = "".join(values).lower(), name.lower()
             if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 silent = True
             elif name == "role":
-                furniture |= value in OUT_ROLES
+                furniture = NAMED if value in OUT_ROLES else furniture
             elif name in ("class", "id"):
-                furniture |= not (OUT_NAMES - KEPT_INSIDE if inside else OUT_NAMES).isdisjoint(re.split(r"[^a-z]+", value))
+                words = OUT_NAMES.intersection(re.split(r"[^a-z]+", value)) - (KEPT_INSIDE if inside else set())
+                if words:
+                    furniture = min(furniture, SOFT if inside and words <= SOFT_INSIDE else NAMED)
                 classes = value if name == "class" else classes
     return silent, furniture, classes
 
@@ -218,15 +229,13 @@ def region(paths: Paths, weight: dict[int, float]) -> set[int]:
 def choose(paths: Paths, found: list[tuple[int, str, int]]) -> list[str]:
     """Texts of the blocks whose paths are content."""
     score = ratios(found)
-    named = {p: NAMED if paths.furniture[p] else 1.0 for p in score}
     weight: Counter[int] = Counter()
     for p, text, _ in found:
-        weight[p] += len(text) * named[p]
+        weight[p] += len(text) * (FURNITURE_WEIGHT if paths.furniture[p] == NAMED else 1.0)
     held = region(paths, {p: weight[p] * score[p] for p in score})
-    every = sum(weight.values())
-    mean = sum(weight[p] * score[p] for p in score) / every if every else 0.0
-    place = {p: 1.0 if not held else INSIDE if p in held else OUTSIDE for p in score}
-    kept = {p for p in score if score[p] > 0 and score[p] * named[p] * place[p] >= LEAST * mean}
+    mean = sum(len(text) for _, text, _ in found) / max(len(found), 1)
+    least = min(LEAST, SHORT * log2(1 + mean**0.5))
+    kept = {p for p in score if log2(1 + score[p]) * paths.furniture[p] * (OUTSIDE if held and p not in held else 1.0) >= least}
     return [text for p, text, _ in found if p in kept]
 
 
