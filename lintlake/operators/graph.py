@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lintlake.functions import normalize_path
 from lintlake.operators.scratch import settle, shared_path
 
 
+#: Steps along edges before a round of colours is written.
+HOPS = 3
+
+
 def module_coupling(edges: DataFrame) -> DataFrame:
     """In- and out-degree of every module."""
     out = edges.groupBy(F.col("src").alias("module")).agg(F.count(F.lit(1)).alias("out_degree"))
@@ -17,16 +21,51 @@ def module_coupling(edges: DataFrame) -> DataFrame:
     return both.withColumn("coupling", F.col("in_degree") + F.col("out_degree"))
 
 
+def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(module, component): modules that import each other, directly or not, with the largest of them as name; single modules are left out.
+
+    Every module takes the largest one that reaches it and the largest one that it reaches as its two colours; both spread in the same
+    rounds, and only what changed is handed on. Modules of one component have both in common, so edges between others go, and the rest
+    is coloured again until no edge goes: then the largest module of each pair of colours reaches all of its modules, and they reach it.
+    """
+    spark = edges.sparkSession
+    live, left = settle(edges.where("src <> dst").select("src", "dst").distinct()), None
+    for _ in range(rounds):
+        labels = live.select(F.col("src").alias("module")).union(live.select(F.col("dst").alias("module"))).distinct()
+        labels = settle(labels.select("module", F.col("module").alias("above"), F.col("module").alias("below"), F.lit(True).alias("above_new"), F.lit(True).alias("below_new")))
+        none = F.lit(None).cast(live.schema["src"].dataType)
+        for _ in range(rounds):
+            known = labels.select("module", "above", "below", F.col("above").alias("old_above"), F.col("below").alias("old_below"), "above_new", "below_new")
+            for _ in range(HOPS):
+                down = known.where("above_new").join(live.withColumnRenamed("src", "module"), "module").select(F.col("dst").alias("module"), "above", none.alias("below"), none.alias("old_above"), none.alias("old_below"))
+                up = known.where("below_new").join(live.withColumnRenamed("dst", "module"), "module").select(F.col("src").alias("module"), none.alias("above"), "below", none.alias("old_above"), none.alias("old_below"))
+                met = known.drop("above_new", "below_new").unionByName(down).unionByName(up).groupBy("module").agg(*[F.max(c).alias(c) for c in ("above", "below", "old_above", "old_below")])
+                known = met.select("*", (F.col("above") > F.col("old_above")).alias("above_new"), (F.col("below") > F.col("old_below")).alias("below_new"))
+            fresh = known.drop("old_above", "old_below")
+            counted, path = Observation(), shared_path(spark)
+            fresh.observe(counted, F.count_if(F.col("above_new") | F.col("below_new")).alias("n")).write.parquet(path)
+            labels = spark.read.schema(fresh.schema).parquet(path)
+            if not counted.get["n"]:
+                break
+        else:
+            raise RuntimeError("deeper than the rounds allowed")
+        ends = [labels.select(F.col("module").alias(c), F.struct("above", "below").alias(f"{c}_colours")) for c in ("src", "dst")]
+        kept = settle(live.join(ends[0], "src").join(ends[1], "dst").where("src_colours = dst_colours").select("src", "dst"))
+        now = kept.count()
+        if now == left:
+            return labels.join(kept.select(F.col("src").alias("module")).distinct(), "module", "left_semi").select("module", F.col("above").alias("component"))
+        live, left = kept, now
+    raise RuntimeError("deeper than the rounds allowed")
+
+
 def cycles(edges: DataFrame, most: int = 4) -> DataFrame:
     """Node sets of the elementary cycles of up to `most` nodes, each once, as a sorted list.
 
-    Paths grow from their smallest node only, and nodes on no cycle are trimmed first, so what is expanded is small.
+    Only edges inside a strong component can be on a cycle; paths grow from their smallest node only.
     """
-    live = settle(edges.where("src <> dst").select("src", "dst").distinct())
-    n = -1
-    while (now := live.count()) != n:
-        n = now
-        live = settle(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    named = strong_components(edges)
+    inside = edges.where("src <> dst").select("src", "dst").distinct().join(named.select(F.col("module").alias("src"), F.col("component").alias("a")), "src").join(named.select(F.col("module").alias("dst"), F.col("component").alias("b")), "dst")
+    live = settle(inside.where("a = b").select("src", "dst"))
     loops = edges.where("src = dst").select(F.array("src").alias("nodes"))
     paths = live.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path"))
     for k in range(2, most + 1):
@@ -37,66 +76,107 @@ def cycles(edges: DataFrame, most: int = 4) -> DataFrame:
     return loops.distinct()
 
 
+def circular_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """CFG-007: (repo, path, component, size) of files whose resolved imports lead back to them, by any number of steps."""
+    resolved = resolve_imports(imports, files)
+    edges = resolved.select(F.concat_ws("\n", "repo", "path").alias("src"), F.concat_ws("\n", "repo", "target").alias("dst"))
+    alone = edges.where("src = dst").select(F.col("src").alias("module"), F.col("src").alias("component")).distinct()
+    named = settle(strong_components(edges))
+    every = named.unionByName(alone.join(named, "module", "left_anti"))
+    sizes = every.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return every.join(sizes, "component").select(F.substring_index("module", "\n", 1).alias("repo"), F.substring_index("module", "\n", -1).alias("path"), F.substring_index("component", "\n", -1).alias("component"), "size")
+
+
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Modules that nothing imports."""
     return nodes.join(edges.select(F.col("dst").alias("module")).distinct(), "module", "left_anti")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(module, distance): everything that depends on a seed, directly or not. edges: src imports dst; seeds: module."""
+    """(module, distance, route): everything that depends on a seed, directly or not, and the way down to the nearest. edges: src imports dst; seeds: module.
+
+    Of several shortest ways the one over the smallest module at each step is taken.
+    """
     back = settle(edges.select(F.col("dst").alias("module"), F.col("src").alias("next")).distinct())
-    return _spread(back, seeds.select("module").distinct(), rounds)
+    found = _spread(back, seeds.select("module").distinct(), rounds)
+    return _routes(found).select("module", "distance", "route")
 
 
 def _spread(steps: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
-    """start, and what a walk along steps (module, next) reaches from each of its rows, with the distance.
+    """start, and what a walk along steps (module, next) reaches from each of its rows, with the distance and the module it came by (via, the smallest).
 
-    A round writes what it adds to a folder of its own; nothing that is known is written again.
+    A round writes what it adds to a folder of its own and counts it while it writes; nothing that is known is written again.
     """
     spark, path, keys = start.sparkSession, shared_path(start.sparkSession), start.columns
-    start.write.parquet(f"{path}/distance=0")
-    known = lambda k: spark.read.schema(start.schema).parquet(f"{path}/distance={k}")
-    for distance in range(1, rounds + 1):
-        frontier = known(distance - 1)
-        if frontier.isEmpty():
-            return spark.read.schema(start.withColumn("distance", F.lit(0)).schema).parquet(path).select(*keys, "distance")
-        seen = spark.read.schema(start.schema).parquet(*[f"{path}/distance={k}" for k in range(distance)])
-        fresh = frontier.join(steps, "module").drop("module").withColumnRenamed("next", "module").select(*keys).distinct()
-        fresh.join(seen, keys, "left_anti").select(*keys).write.parquet(f"{path}/distance={distance}")
-    if known(rounds).isEmpty():
-        return spark.read.schema(start.withColumn("distance", F.lit(0)).schema).parquet(path).select(*keys, "distance")
+    first = start.withColumn("via", F.lit(None).cast(start.schema["module"].dataType))
+    first.write.parquet(f"{path}/distance=0")
+    others = [k for k in keys if k != "module"]
+    read = lambda *k: spark.read.schema(first.schema).parquet(*[f"{path}/distance={i}" for i in k])
+    for distance in range(1, rounds + 2):
+        frontier, seen = read(distance - 1), read(*range(distance))
+        fresh = frontier.join(steps, "module").groupBy(*others, F.col("next").alias("module")).agg(F.min("module").alias("via"))
+        counted = Observation()
+        fresh.join(seen, keys, "left_anti").select(*first.columns).observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/distance={distance}")
+        if not counted.get["n"]:
+            return spark.read.schema(first.withColumn("distance", F.lit(0)).schema).parquet(path).select(*keys, "via", "distance")
     raise RuntimeError("deeper than the rounds allowed")
 
 
+def _routes(found: DataFrame) -> DataFrame:
+    """found of _spread() with route: the modules from each row's own down to where its walk began.
+
+    Pointers double: a row knows the next 2^k modules of its way, and takes on what the last of them knows.
+    """
+    keys = [c for c in found.columns if c not in ("via", "distance")]
+    ways = settle(found.select("*", F.when(F.col("via").isNull(), F.array("module")).otherwise(F.array("module", "via")).alias("route"), F.col("via").alias("end")))
+    longest = found.agg(F.max("distance")).first()[0] or 0
+    known = 1
+    while known < longest:
+        others = [F.col(k).alias("end") if k == "module" else F.col(k) for k in keys]
+        ahead = ways.select(*others, F.col("route").alias("rest"), F.col("end").alias("further"))
+        met = ways.join(ahead, [*[k for k in keys if k != "module"], "end"], "left")
+        grown = F.when(F.col("rest").isNull(), F.col("route")).otherwise(F.concat("route", F.slice("rest", F.lit(2), F.greatest(F.size("rest") - 1, F.lit(0)))))
+        ways = settle(met.select(*keys, "via", "distance", grown.alias("route"), F.col("further").alias("end")))
+        known *= 2
+    return ways.drop("via", "end")
+
+
 def waves(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(task, wave): wave 0 waits for nothing, each other task for its latest dependency; tasks of a deadlock have a null wave."""
-    left = settle(edges.select("task", "depends_on").distinct())
-    tasks = settle(left.select("task").union(left.select(F.col("depends_on").alias("task"))).distinct())
-    done = None
-    for wave in range(rounds):
-        ready = settle(tasks.join(left.select("task").distinct(), "task", "left_anti").withColumn("wave", F.lit(wave)))
-        if ready.isEmpty():  # what is left waits for itself
-            break
-        done = ready if done is None else settle(done.unionByName(ready))
-        tasks = settle(tasks.join(ready, "task", "left_anti"))
-        left = settle(left.join(ready.select(F.col("task").alias("depends_on")), "depends_on", "left_anti").select("task", "depends_on"))
-    else:
-        if not tasks.isEmpty():
-            raise RuntimeError("deeper than the rounds allowed")
-    stuck = tasks.withColumn("wave", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+    """(task, wave): wave 0 waits for nothing, each other task for its latest dependency; tasks of a deadlock have a null wave.
+
+    A wave is written once, to a folder of its own, with the number of tasks in it. A task is ready when all its dependencies stand in
+    earlier waves; only the tasks that the last wave held up are looked at.
+    """
+    spark, path = edges.sparkSession, shared_path(edges.sparkSession)
+    needs = settle(edges.select("task", "depends_on").distinct())
+    tasks = settle(needs.select("task").union(needs.select(F.col("depends_on").alias("task"))).distinct())
+    degree = settle(needs.groupBy("task").agg(F.count(F.lit(1)).alias("needed")))
+    read = lambda *k: spark.read.schema(tasks.schema).parquet(*[f"{path}/wave={i}" for i in k])
+    for wave in range(rounds + 1):
+        if wave == 0:
+            ready = tasks.join(degree, "task", "left_anti")
+        else:
+            held_up = needs.join(read(wave - 1).select(F.col("task").alias("depends_on")), "depends_on", "left_semi").select("task").distinct()
+            met = needs.join(held_up, "task", "left_semi").join(read(*range(wave)).select(F.col("task").alias("depends_on")), "depends_on", "left_semi")
+            ready = met.groupBy("task").agg(F.count(F.lit(1)).alias("met")).join(degree, "task").where("met = needed").select("task")
+        counted = Observation()
+        ready.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/wave={wave}")
+        if not counted.get["n"]:  # what is left waits for itself
+            done = spark.read.schema(tasks.withColumn("wave", F.lit(0)).schema).parquet(path).select("task", "wave")
+            return done.unionByName(tasks.join(done, "task", "left_anti").withColumn("wave", F.lit(None).cast("int")))
+    raise RuntimeError("deeper than the rounds allowed")
 
 
 def transitive_exposure(edges: DataFrame, licenses: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(root, package, distance) of packages with a copyleft licence below each root. edges: src needs dst.
+    """(root, package, distance, license, path) of packages with a copyleft licence below each root. edges: src needs dst; path leads from the root to the package.
 
     The walk goes up from the copyleft packages, which are few, and not down from every root.
     """
     up = settle(edges.select(F.col("dst").alias("module"), F.col("src").alias("next")).distinct())
     targets = licenses.where("copyleft").select("package").distinct().withColumn("module", F.col("package"))
-    found = _spread(up, targets, rounds).withColumnRenamed("module", "root")
+    found = _routes(_spread(up, targets, rounds)).withColumnRenamed("module", "root")
     named = licenses.where("copyleft").select("package", "license")
-    return found.join(roots.select(F.col("module").alias("root")).distinct(), "root", "left_semi").join(named, "package").select("root", "package", "distance", "license")
+    return found.join(roots.select(F.col("module").alias("root")).distinct(), "root", "left_semi").join(named, "package").select("root", "package", "distance", "license", F.col("route").alias("path"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -172,19 +172,28 @@ def _(s):
     return G.cycles(s.spark.sql(LOOPED), 4).select(F.array_join("nodes", "-").alias("nodes"))
 
 
+@query("g01_components", "edges", f"WITH g AS ({LOOPED}), r AS (SELECT src, dst FROM g UNION SELECT r.src, g.dst FROM r JOIN g ON g.src = r.dst), m AS (SELECT r.src AS module, greatest(r.src, max(r.dst)) AS component FROM r JOIN r b ON b.src = r.dst AND b.dst = r.src WHERE r.src <> r.dst GROUP BY r.src) SELECT * FROM m")
+def _(s):
+    s.view("edges").createOrReplaceTempView("edges")
+    return G.strong_components(s.spark.sql(LOOPED))
+
+
 @query("g02_orphans", "edges", "SELECT p_partkey AS module FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges)")
 def _(s):
     return G.orphans(s.table("part").select(F.col("p_partkey").alias("module")), s.view("edges"))
 
 
 #: Changed are the modules whose id is divisible by 20.
-REACH = "WITH r AS (SELECT p_partkey AS module, 0 AS distance FROM part WHERE p_partkey % 20 = 0 UNION SELECT src, distance + 1 FROM r JOIN edges ON dst = module WHERE distance < 40) SELECT module, min(distance) AS distance FROM r GROUP BY module"
+REACH = """WITH r AS (SELECT p_partkey AS module, 0 AS distance FROM part WHERE p_partkey % 20 = 0 UNION SELECT src, distance + 1 FROM r JOIN edges ON dst = module WHERE distance < 40),
+    d AS (SELECT module, min(distance) AS distance FROM r GROUP BY module), v AS (SELECT d.module, min(below.module) AS via FROM d JOIN edges ON src = d.module JOIN d below ON below.module = dst AND below.distance = d.distance - 1 GROUP BY d.module),
+    w AS (SELECT module, distance, module AS here, [module] AS route FROM d UNION ALL SELECT w.module, w.distance, via, list_append(route, via) FROM w JOIN v ON v.module = w.here)
+    SELECT module, distance, array_to_string(route, '>') AS route FROM w WHERE len(route) = distance + 1"""
 
 
 @query("g03_blast_radius", "edges", REACH)
 def _(s):
     seeds = s.table("part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("module"))
-    return G.reach(s.view("edges"), seeds)
+    return G.reach(s.view("edges"), seeds).withColumn("route", F.array_join("route", ">"))
 
 
 @query("g04_waves", "edges", "WITH t AS (SELECT src AS task, dst AS depends_on FROM edges WHERE dst < src AND src > 1), w AS (SELECT depends_on AS task, 0 AS wave FROM t WHERE depends_on NOT IN (SELECT task FROM t) UNION SELECT t.task, wave + 1 FROM w JOIN t ON t.depends_on = w.task) SELECT task, max(wave) AS wave FROM w GROUP BY task")
@@ -192,9 +201,9 @@ def _(s):
     return G.waves(s.view("edges").where("dst < src AND src > 1").select(F.col("src").alias("task"), F.col("dst").alias("depends_on")))
 
 
-@query("g05_transitive_exposure", "edges", "WITH l AS (SELECT p_partkey AS package, 'GPL-3.0-only' AS license FROM part WHERE p_partkey % 12 = 5), r AS (SELECT p_partkey AS root, p_partkey AS package, 0 AS distance FROM part UNION SELECT root, dst, distance + 1 FROM r JOIN edges ON src = package WHERE distance < 30) SELECT root, r.package, min(distance) AS distance, license FROM r JOIN l ON l.package = r.package GROUP BY root, r.package, license")
+@query("g05_transitive_exposure", "edges", "WITH l AS (SELECT p_partkey AS package, 'GPL-3.0-only' AS license FROM part WHERE p_partkey % 12 = 5), r AS (SELECT p_partkey AS root, p_partkey AS package, 0 AS distance FROM part UNION SELECT root, dst, distance + 1 FROM r JOIN edges ON src = package WHERE distance < 30), d AS (SELECT root, r.package, min(distance) AS distance, license FROM r JOIN l ON l.package = r.package GROUP BY root, r.package, license), v AS (SELECT d.root, d.package, min(below.root) AS via FROM d JOIN edges ON src = d.root JOIN d below ON below.root = dst AND below.package = d.package AND below.distance = d.distance - 1 GROUP BY d.root, d.package), w AS (SELECT root, package, distance, license, root AS here, [root] AS path FROM d UNION ALL SELECT w.root, w.package, distance, license, via, list_append(path, via) FROM w JOIN v ON v.root = w.here AND v.package = w.package) SELECT root, package, distance, license, array_to_string(path, '>') AS path FROM w WHERE len(path) = distance + 1")
 def _(s):
     part = s.table("part")
     licenses = part.select(F.col("p_partkey").alias("package"), F.lit("GPL-3.0-only").alias("license"), (F.col("p_partkey") % 12 == 5).alias("copyleft"))
     roots = part.select(F.col("p_partkey").alias("module"))
-    return G.transitive_exposure(s.view("edges"), licenses, roots)
+    return G.transitive_exposure(s.view("edges"), licenses, roots).withColumn("path", F.array_join("path", ">"))

@@ -11,8 +11,55 @@ def test_deeper_than_the_rounds(spark):
     roots = spark.createDataFrame([(0,)], "module long")
     with pytest.raises(RuntimeError):
         graph.transitive_exposure(chain, licenses, roots, rounds=3)
-    assert [tuple(x) for x in graph.transitive_exposure(chain, licenses, roots).collect()] == [(0, 6, 6, "GPL-3.0-only")]
+    assert [tuple(x) for x in graph.transitive_exposure(chain, licenses, roots).collect()] == [(0, 6, 6, "GPL-3.0-only", [0, 1, 2, 3, 4, 5, 6])]
     tasks = chain.selectExpr("src AS task", "dst AS depends_on")
     with pytest.raises(RuntimeError):
         graph.waves(tasks, rounds=3)
     assert {x.task: x.wave for x in graph.waves(tasks, rounds=7).collect()} == {6 - k: k for k in range(7)}
+
+
+def test_routes_take_the_smallest_shortest_way(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 9), (3, 9), (9, 10), (0, 1), (7, 10), (0, 5), (5, 6), (6, 8), (8, 10)], "src long, dst long")
+    got = {r.module: (r.distance, r.route) for r in graph.reach(edges, spark.createDataFrame([(10,)], "module long")).collect()}
+    assert got[0] == (4, [0, 1, 2, 9, 10]) and got[10] == (0, [10]) and got[7] == (1, [7, 10]) and got[5] == (3, [5, 6, 8, 10]) and got[3] == (2, [3, 9, 10])
+
+
+def test_components_of_any_size(spark):
+    """Against mutual reachability, on random graphs with a long ring, a chain into it and a chain out of it."""
+    import random
+
+    r = random.Random(4)
+    ring = [(k, (k + 1) % 9) for k in range(9)]
+    chains = [(100 + k, 101 + k) for k in range(5)] + [(105, 0), (8, 200)] + [(200 + k, 201 + k) for k in range(5)]
+    loose = [(300 + r.randrange(60), 300 + r.randrange(60)) for _ in range(90)]
+    edges = ring + chains + loose
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+
+    def reached(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    nodes = {x for e in edges for x in e}
+    far = {n: reached(n) for n in nodes}
+    want = {}
+    for n in nodes:
+        group = {m for m in far[n] if n in far[m]} | {n}
+        if len(group) > 1:
+            want[n] = max(group)
+    got = {x.module: x.component for x in graph.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == want and len([n for n in got if got[n] == 8]) == 9
+
+
+def test_circular_imports(spark):
+    files = spark.createDataFrame([("r", f"src/{c}.ts") for c in "abcdefg"] + [("q", "src/a.ts")], "repo string, path string")
+    pairs = [("a", "./b"), ("b", "./c.ts"), ("c", "../src/d"), ("d", "./e"), ("e", "./a"), ("f", "./a"), ("g", "./g")]
+    imports = spark.createDataFrame([("r", f"src/{a}.ts", b) for a, b in pairs] + [("q", "src/a.ts", "./b")], "repo string, path string, specifier string")
+    got = {(x.repo, x.path): (x.component, x.size) for x in graph.circular_imports(imports, files).collect()}
+    assert got == {("r", f"src/{c}.ts"): ("src/e.ts", 5) for c in "abcde"} | {("r", "src/g.ts"): ("src/g.ts", 1)}
