@@ -49,21 +49,45 @@ def _(s):
     return T.run(T.rate_limit(requests(s), 2, "1 hour"), "append")
 
 
+@query("st03_rate_limit_exact", "", f"""WITH e AS (SELECT user_id AS client, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    r AS (SELECT client, i, event_id, ts, ts AS begun, 1 AS n FROM e WHERE i = 1
+          UNION ALL SELECT e.client, e.i, e.event_id, e.ts, CASE WHEN e.ts >= begun + INTERVAL 6 HOUR THEN e.ts ELSE begun END, CASE WHEN e.ts >= begun + INTERVAL 6 HOUR THEN 1 ELSE n + 1 END FROM r JOIN e ON e.client = r.client AND e.i = r.i + 1)
+    SELECT client, event_id, ts, n <= 2 AS allowed, CAST(greatest(0, 2 - n) AS INT) AS remaining FROM r WHERE ts <= {SEEN} - INTERVAL 1 MINUTE""")
+def _(s):
+    return T.run(T.rate_limit_exact(requests(s), 2, 6 * 3_600_000), "append")
+
+
 @query("st04_client_sessions", "", f"WITH {SESSIONS.format(gap='3 HOUR', key='user_id')} SELECT user_id AS client, min(ts) AS start, max(ts) + INTERVAL 3 HOUR AS \"end\", count(*) AS requests FROM n GROUP BY user_id, k HAVING max(ts) + INTERVAL 3 HOUR <= {SEEN} - INTERVAL 10 MINUTE")
 def _(s):
     return T.run(T.client_sessions(requests(s), "3 hours"), "append")
 
 
-@query("st05_dedupe_ttl", "", "SELECT count(DISTINCT (event_type, props)) AS n FROM events")
+@query("st05_dedupe_ttl", "", """WITH e AS (SELECT event_type AS route, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+    k AS (SELECT route, i, event_id, ts, ts AS first FROM e WHERE i = 1 UNION ALL SELECT e.route, e.i, e.event_id, e.ts, CASE WHEN e.ts > first + INTERVAL 1 HOUR THEN e.ts ELSE first END FROM k JOIN e ON e.route = k.route AND e.i = k.i + 1)
+    SELECT route, event_id, ts FROM k WHERE ts = first AND ts <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE""")
+def _(s):
+    """The first event of each kind, and the first after each hour that it opens."""
+    return T.run(T.first_of_ttl(events(s).select(F.col("event_type").alias("route"), "ts", "event_id"), "route", 3_600_000), "append")
+
+
+@query("st05_dedupe_whole", "", "SELECT count(DISTINCT (event_type, props)) AS n FROM events")
 def _(s):
     kept = T.run(T.dedupe_ttl(requests(s), ["route", "body"], "60 days"), "append")
     return kept.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("st06_reliability_stream")
+@query("st06_reliability_stream", "", f"""WITH e AS (SELECT event_id % 300 AS provider, ts, event_id % 7 < 3 AS success, row_number() OVER (PARTITION BY event_id % 300 ORDER BY ts, event_id) AS i FROM events WHERE ts <= {SEEN} - INTERVAL 1 MINUTE),
+    f AS (SELECT e.*, count(*) OVER (PARTITION BY provider) AS calls FROM e),
+    r AS (SELECT provider, CAST(0 AS BIGINT) AS i, 10000 AS score, 'closed' AS circuit, CAST('1970-01-01' AS TIMESTAMP) AS opened FROM (SELECT DISTINCT provider FROM e)
+          UNION ALL SELECT provider, i, CASE WHEN probe AND success THEN least(10000, moved + 1000) ELSE moved END,
+                           CASE WHEN probe AND success THEN 'closed' WHEN circuit = 'open' OR opens THEN 'open' ELSE 'closed' END, CASE WHEN opens OR (probe AND NOT success) THEN ts ELSE opened END
+          FROM (SELECT *, circuit = 'closed' AND moved < 3000 AS opens, circuit = 'open' AND ts > opened + INTERVAL 60 SECOND AS probe
+                FROM (SELECT f.provider, f.i, f.ts, f.success, r.circuit, r.opened, greatest(0, least(10000, r.score + CASE WHEN f.success THEN 150 ELSE -450 END)) AS moved FROM r JOIN f ON f.provider = r.provider AND f.i = r.i + 1)))
+    SELECT r.provider, CAST(score / 100 AS DOUBLE) AS score, circuit, calls FROM r JOIN f ON f.provider = r.provider AND f.i = r.i AND f.i = f.calls""")
 def _(s):
     calls = events(s).select((F.col("event_id") % 300).alias("provider"), "ts", F.col("event_id").alias("call_id"), (F.col("event_id") % 7 < 3).alias("success"))
-    return T.run(T.reliability_stream(calls), "update", ["provider"])
+    # the last batch that has calls of a provider tells where it stands
+    return T.run(T.reliability_stream(calls), "append", ["provider"])
 
 
 @query("st07_sliding_scores", "runs", "WITH w AS (SELECT team, score, unnest(generate_series(CAST(CAST(ts AS DATE) - 6 AS TIMESTAMP), CAST(CAST(ts AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS start FROM runs) SELECT team, start, CAST(sum(score) AS BIGINT) AS total, count(*) AS runs FROM w GROUP BY ALL HAVING start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
@@ -77,18 +101,18 @@ def _(s):
     return T.run(T.spend_stream(calls, 40000), "append")
 
 
-@query("st09_batch_progress", "runs", "SELECT repo AS request, count(*) AS done, CAST(sum(score) AS BIGINT) AS total FROM runs GROUP BY repo")
+@query("st09_batch_progress", "runs", f"SELECT repo AS request, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS done, CAST(sum(score) AS BIGINT) AS total FROM runs GROUP BY 1, 2 HAVING start + INTERVAL 1 DAY <= {SEEN} - INTERVAL 1 HOUR")
 def _(s):
-    return T.run(T.batch_progress(runs(s).withColumnRenamed("repo", "request")), "complete")
+    return T.run(T.batch_progress(runs(s).withColumnRenamed("repo", "request")), "append")
 
 
-@query("st10_chain_check_stream", "runs", "SELECT repo, run_id FROM runs WHERE run_id % 50 = 0")
+@query("st10_chain_check_stream", "runs", f"SELECT repo, run_id FROM runs WHERE run_id % 50 = 0 AND ts <= {SEEN} - INTERVAL 1 HOUR")
 def _(s):
     chained = H.chain_hashes(s.view("runs"), "key").withColumn("hash", F.when(F.col("run_id") % 50 == 0, F.reverse("hash")).otherwise(F.col("hash")))
     folder = settle(chained).inputFiles()[0].rpartition("/")[0]
     return T.run(T.chain_check_stream(T.stream_of(s.spark, folder), "key"), "append")
 
 
-@query("st11_session_rollup", "runs", "WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM runs WINDOW w AS (PARTITION BY repo ORDER BY ts)), n AS (SELECT *, sum(fresh) OVER (PARTITION BY repo ORDER BY ts) AS k FROM g) SELECT repo, min(ts) AS start, count(*) AS runs, max(score) AS best, string_agg(DISTINCT team, ',' ORDER BY team) AS teams FROM n GROUP BY repo, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+@query("st11_session_rollup", "runs", "WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM runs WINDOW w AS (PARTITION BY repo ORDER BY ts)), n AS (SELECT *, sum(fresh) OVER (PARTITION BY repo ORDER BY ts) AS k FROM g), o AS (SELECT *, row_number() OVER (PARTITION BY repo, k ORDER BY ts DESC, run_id DESC) AS nth FROM n), f AS (SELECT repo, k, run_id % 3 AS file, min(nth) AS nth FROM o GROUP BY ALL), l AS (SELECT repo, k, list(file ORDER BY nth)[:2] AS files FROM f GROUP BY repo, k) SELECT repo, min(ts) AS start, count(*) AS runs, CAST(max(score) AS BIGINT) AS best, string_agg(DISTINCT team, ',' ORDER BY team) AS teams, list(run_id ORDER BY nth) FILTER (nth <= 5) AS receipts, any_value(l.files) AS files FROM o JOIN l USING (repo, k) GROUP BY repo, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def _(s):
-    return T.run(T.session_rollup(runs(s), "6 hours"), "append")
+    return T.run(T.session_rollup(runs(s).withColumn("file", F.col("run_id") % 3), 6 * 3_600_000, files=2, receipts=5), "append")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lintlake.operators import rules as R
@@ -29,7 +32,7 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
 def run(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Take what is there now to the end and give the result as a table in the shared folder.
 
-    append keeps every batch, complete the last one, update the last row of each key. A batch is written to a folder of its own
+    append keeps every batch, complete the last one, update (and whatever names keys) the last row of each key. A batch is written to a folder of its own
     number: one that is tried again replaces itself.
     """
     spark = df.sparkSession
@@ -44,7 +47,7 @@ def run(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     out = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out")
     if mode == "complete":
         out = out.join(out.agg(F.max("batch").alias("batch")), "batch", "left_semi")
-    elif mode == "update":
+    elif keys:
         out = out.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("batch").desc()))).where("nth = 1")
     return out.select(*[F.col(f.name).cast("timestamp_ntz") if f.dataType.simpleString() == "timestamp" else F.col(f.name) for f in df.schema.fields])
 
@@ -67,6 +70,68 @@ def rate_limit(requests: DataFrame, most: int = 100, window: str = "60 seconds",
     return n.select("client", F.col("window.start").alias("start"), "requests", F.least("requests", F.lit(most)).alias("allowed"), F.greatest(F.lit(0), most - F.col("requests")).alias("remaining"))
 
 
+def in_order(rows: DataFrame, key: str, order: str, step: Callable[[Any, dict], tuple[Any, tuple | None]], start: Any, out: str, delay: str, idle_ms: int, only_last: bool = False, finish: Callable[[Any], tuple] | None = None) -> DataFrame:
+    """A fold over each key's rows in order of ts and `order`, across batches, whatever order they arrive in within the delay.
+
+    Rows wait in the key's state until the watermark has passed them, and a timer at the earliest of them wakes the key where no
+    new rows do. step gets the fold's state and a row, and returns the new state and a row of `out` or None. After idle_ms of event
+    time without a row the key's state ends and its fold begins anew; finish makes a row of what the fold held then. Rows that come
+    behind the watermark are dropped. What a key holds are its rows of the last delay. only_last: a batch gives its last row of each
+    key only.
+    """
+
+    def fold(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        waiting, held, last = pickle.loads(state.get[0]) if state.exists else ([], start, None)
+        if not state.hasTimedOut:
+            for batch in batches:
+                waiting.extend(batch.to_dict("records"))
+        passed = state.getCurrentWatermarkMs()
+        at = lambda row: row["ts"].value // 1_000_000  # noqa: E731  milliseconds
+        waiting.sort(key=lambda row: (row["ts"], row[order]))
+        done, ready = [], 0
+        while ready < len(waiting) and at(waiting[ready]) <= passed:
+            row, ready = waiting[ready], ready + 1
+            if last is not None and at(row) - last >= idle_ms:
+                done += [(group[0], *finish(held))] if finish else []
+                held = start
+            held, said = step(held, row)
+            last = at(row)
+            if said is not None:
+                done.append((group[0], *said))
+        waiting = waiting[ready:]
+        if last is not None and last + idle_ms <= passed:
+            done += [(group[0], *finish(held))] if finish else []
+            held, last = start, None
+        if waiting or last is not None:
+            state.update((pickle.dumps((waiting, held, last)),))
+            wake = [at(row) for row in waiting[:1]] + ([last + idle_ms] if last is not None else [])
+            state.setTimeoutTimestamp(max(min(wake), passed + 1))
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame(done[-1:] if only_last else done, columns=names).astype(kinds)
+
+    fields = T._parse_datatype_string(out).fields
+    names = [f.name for f in fields]
+    kinds = {f.name: "int64" for f in fields if isinstance(f.dataType, T.LongType)} | {f.name: "int32" for f in fields if isinstance(f.dataType, T.IntegerType)}
+    return rows.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(fold, out, "held binary", "append", "EventTimeTimeout")
+
+
+def rate_limit_exact(requests: DataFrame, most: int = 100, window_ms: int = 60_000, delay: str = "1 minute") -> DataFrame:
+    """(client, event_id, ts, allowed, remaining) of each request. A client's window begins with its first request, and the first one after its end begins the next.
+
+    requests: client, ts, event_id. The state of a client ends a window after its last request.
+    """
+
+    def step(held: tuple[int, int] | None, row: dict) -> tuple[tuple[int, int], tuple]:
+        now = row["ts"].value // 1000
+        begun, count = (now, 0) if held is None or now - held[0] >= window_ms * 1000 else held
+        count += 1
+        return (begun, count), (row["event_id"], row["ts"], count <= most, max(0, most - count))
+
+    return in_order(requests.select("client", "ts", "event_id"), "client", "event_id", step, None, "client long, event_id long, ts timestamp, allowed boolean, remaining int", delay, window_ms)
+
+
 def client_sessions(requests: DataFrame, idle: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Sessions of each client that end after a pause."""
     w = requests.withWatermark("ts", delay).groupBy("client", F.session_window("ts", idle))
@@ -78,6 +143,19 @@ def dedupe_ttl(requests: DataFrame, keys: list[str], ttl: str = "1 hour") -> Dat
     return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
 
 
+def first_of_ttl(rows: DataFrame, key: str, ttl_ms: int, delay: str = "1 minute") -> DataFrame:
+    """(key, event_id, ts): the first row of each key, and the first after each time to live that such a row opens. rows: key, ts, event_id."""
+
+    def step(opened: int | None, row: dict) -> tuple[int, tuple | None]:
+        now = row["ts"].value // 1000
+        if opened is not None and now - opened <= ttl_ms * 1000:
+            return opened, None
+        return now, (row["event_id"], row["ts"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return in_order(rows.select(key, "ts", "event_id"), key, "event_id", step, None, f"{key} {kind}, event_id long, ts timestamp", delay, ttl_ms + 1)
+
+
 def sliding_scores(runs: DataFrame, window: str = "7 days", step: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Mean score of each team in sliding windows."""
     w = runs.withWatermark("ts", delay).groupBy("team", F.window("ts", window, step))
@@ -90,40 +168,52 @@ def spend_stream(calls: DataFrame, budget: int, delay: str = "1 hour") -> DataFr
     return w.agg(F.sum("micro_usd").alias("micro_usd"), F.count(F.lit(1)).alias("calls")).select(F.col("window.start").alias("start"), "micro_usd", "calls", (F.col("micro_usd") > budget).alias("over_budget"))
 
 
-def batch_progress(results: DataFrame) -> DataFrame:
-    """Running count and total of each request's results."""
-    return results.groupBy("request").agg(F.count(F.lit(1)).alias("done"), F.sum("score").alias("total"))
+def batch_progress(results: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Count and total of each request's results in each window; a window's state ends when the watermark passes it."""
+    w = results.withWatermark("ts", delay).groupBy("request", F.window("ts", window))
+    return w.agg(F.count(F.lit(1)).alias("done"), F.sum("score").alias("total")).select("request", F.col("window.start").alias("start"), "done", "total")
 
 
-def session_rollup(events: DataFrame, idle: str = "30 days", delay: str = "1 day") -> DataFrame:
-    """Per session of a repo: number of runs, best score, distinct teams."""
-    w = events.withWatermark("ts", delay).groupBy("repo", F.session_window("ts", idle))
-    return w.agg(F.count(F.lit(1)).alias("runs"), F.max("score").alias("best"), F.array_join(F.array_sort(F.collect_set("team")), ",").alias("teams")).select("repo", F.col("session_window.start").alias("start"), "runs", "best", "teams")
+def session_rollup(events: DataFrame, idle_ms: int = 30 * 86_400_000, delay: str = "1 day", files: int = 20, receipts: int = 50) -> DataFrame:
+    """Per session of a repo: start, number of runs, best score, distinct teams, and its newest files and receipts, newest first.
+
+    events: repo, ts, run_id, file, score, team. A session ends after a pause and is given out when the watermark has passed it. Its
+    state holds the newest `receipts` runs and `files` files, each file once, and never more.
+    """
 
+    def step(held: tuple | None, row: dict) -> tuple[tuple, None]:
+        begun, runs, best, teams, newest, seen = held or (row["ts"], 0, row["score"], frozenset(), (), ())
+        seen = (row["file"], *[f for f in seen if f != row["file"]])[:files]
+        return (begun, runs + 1, max(best, row["score"]), teams | {row["team"]}, (row["run_id"], *newest)[:receipts], seen), None
 
-def reliability_stream(calls: DataFrame) -> DataFrame:
-    """A provider's score and circuit after each batch of its calls, kept as state between batches.
+    def finish(held: tuple) -> tuple:
+        begun, runs, best, teams, newest, seen = held
+        return begun, runs, best, ",".join(sorted(teams)), list(newest), list(seen)
+
+    rows = events.select("repo", "ts", "run_id", "file", F.col("score").cast("long").alias("score"), "team")
+    return in_order(rows, "repo", "run_id", step, None, "repo long, start timestamp, runs long, best long, teams string, receipts array<long>, files array<long>", delay, idle_ms, finish=finish)
+
+
+def reliability_stream(calls: DataFrame, delay: str = "1 minute", idle_ms: int = 30 * 86_400_000) -> DataFrame:
+    """A provider's score and circuit after the calls that the watermark has passed, once a batch that has some.
 
     Scores are hundredths: 150 up for a success, 450 down for a failure, within 0 and 10000. Under 3000 the circuit opens; 60
-    seconds of event time later a success closes it and adds 1000, a failure opens it again. calls: provider, ts, call_id, success.
+    seconds of event time later a success closes it and adds 1000, a failure opens it again. After 30 days without a call a provider
+    begins anew. calls: provider, ts, call_id, success.
     """
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        score, circuit, opened, seen = state.get if state.exists else (10000, "closed", 0.0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "call_id"])  # a key's rows of one batch come in several parts
-        for row in rows.itertuples():
-            score, circuit, opened = circuit_step(score, circuit, opened, row.ts.timestamp(), row.success)
-        seen += len(rows)
-        state.update((score, circuit, opened, seen))
-        yield pd.DataFrame({"provider": [key[0]], "score": [score / 100], "circuit": [circuit], "calls": [seen]})
+    def step(held: tuple, row: dict) -> tuple[tuple, tuple]:
+        score, circuit, opened = circuit_step(*held[:3], row["ts"].timestamp(), row["success"])
+        seen = held[3] + 1
+        return (score, circuit, opened, seen), (score / 100, circuit, seen)
 
-    return calls.groupBy("provider").applyInPandasWithState(step, "provider long, score double, circuit string, calls long", "score int, circuit string, opened double, calls long", "update", "NoTimeout")
+    return in_order(calls, "provider", "call_id", step, (10000, "closed", 0.0, 0), "provider long, score double, circuit string, calls long", delay, idle_ms, only_last=True)
 
 
-def chain_check_stream(runs: DataFrame, key: str) -> DataFrame:
-    """Runs whose stored hash does not follow from their content and the one before, per repo, across batches.
+def chain_check_stream(runs: DataFrame, key: str, delay: str = "1 hour", idle_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Runs whose stored hash does not follow from their content and the one before, per repo, across batches and in any order of arrival within the delay.
 
-    Rows of a batch are checked in time order; what comes later than a newer row of an earlier batch counts as broken.
+    A repo without a run for 30 days begins a new chain.
     """
     import hashlib
 
@@ -131,16 +221,8 @@ def chain_check_stream(runs: DataFrame, key: str) -> DataFrame:
         inner = hashlib.sha256(f"{key}|{before}|{content}".encode()).hexdigest()
         return hashlib.sha256(f"{key}{inner}".encode()).hexdigest()
 
-    def step(group, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else "root"
-        rows = pd.concat(list(batches)).sort_values(["ts", "run_id"])
-        broken = []
-        for row in rows.itertuples():
-            content = f"{row.run_id}|{row.repo}|{row.score}|{row.status}"
-            if digest(before, content) != row.hash:
-                broken.append(row.run_id)
-            before = content
-        state.update((before,))
-        yield pd.DataFrame({"repo": [group[0]] * len(broken), "run_id": broken}).astype({"repo": "int64", "run_id": "int64"})
-
-    return runs.groupBy("repo").applyInPandasWithState(step, "repo long, run_id long", "before string", "append", "NoTimeout")
+    def step(before: str, row: dict) -> tuple[str, tuple | None]:
+        content = f"{row['run_id']}|{row['repo']}|{row['score']}|{row['status']}"
+        return content, None if digest(before, content) == row["hash"] else (row["run_id"],)
+
+    return in_order(runs, "repo", "run_id", step, "root", "repo long, run_id long", delay, idle_ms)
