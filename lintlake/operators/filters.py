@@ -171,12 +171,19 @@ def extract_functions(lines: DataFrame) -> DataFrame:
     return spans.join(first, [*FILE, "start"]).join(last, [*FILE, "end"]).select(*FILE, "name", "start", "end", "parameters", (F.col("b1") - F.col("b0") + 1).alias("complexity"))
 
 
-def duplicate_bodies(lines: DataFrame, functions: DataFrame, least: int = 2, most_lines: int = 200) -> DataFrame:
-    """Hashes of function bodies (white space aside) that occur at least so often. Bodies over most_lines lines are left to clones()."""
-    body = functions.where(F.col("end") - F.col("start") <= most_lines).select(*FILE, "name", "start", F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("line_no"))
-    texts = body.join(lines.select(*FILE, "line_no", "text"), [*FILE, "line_no"]).groupBy(*FILE, "name", "start").agg(F.sort_array(F.collect_list(F.struct("line_no", F.regexp_replace("text", r"\s+", "").alias("t")))).alias("x"))
-    hashed = texts.select(F.sha2(F.array_join("x.t", ""), 256).alias("body"))
-    return hashed.groupBy("body").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= least)
+def duplicate_bodies(lines: DataFrame, functions: DataFrame, least: int = 3, least_lines: int = 3) -> DataFrame:
+    """(repo, path, start, copies, lines): bodies of at least so many lines that occur at least so often, by their first place; runs of white space are one space.
+
+    A body is told by two sums of 64-bit hashes of its lines and their places, and by its length, so bodies of any length are summed where
+    their lines lie and none is gathered in one row.
+    """
+    body = functions.where(F.col("end") - F.col("start") >= least_lines).select(*FILE, "start", F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("line_no"))
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    each = body.join(lines.select(*FILE, "line_no", text.alias("t")), [*FILE, "line_no"]).withColumn("at", F.col("line_no") - F.col("start"))
+    sums = [F.sum(F.xxhash64(*c).cast("decimal(38,0)")).alias(n) for n, c in (("h1", ("at", "t")), ("h2", ("t", "at")))]
+    told = each.groupBy(*FILE, "start").agg(*sums, F.count(F.lit(1)).alias("lines"))
+    classes = told.groupBy("h1", "h2", "lines").agg(F.min(F.struct(*FILE, "start")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    return classes.where(F.col("copies") >= least).select("first.repo", "first.path", "first.start", "copies", "lines")
 
 
 def check_async(lines: DataFrame) -> DataFrame:

@@ -190,23 +190,40 @@ def cost_report(calls: DataFrame) -> DataFrame:
     return priced(calls).withColumn("day", F.to_date("ts")).rollup("day", "provider").agg(F.sum("micro_usd").alias("micro_usd"), F.count(F.lit(1)).alias("calls"))
 
 
-def clamped_sum(df: DataFrame, key: str, ts: str, order: list[str], delta: Column, start: int, low: int, high: int) -> DataFrame:
+def clamped_sum(df: DataFrame, key: str, ts: str, order: list[str], delta: Column, start: int, low: int, high: int, slice_rows: int = 10_000) -> DataFrame:
     """(key, value): start plus the ordered deltas, kept within low and high after each one.
 
-    Such steps compose: any run of them is again "add d, then keep within l and h". Each key's day is folded to one such
-    step, and only the days meet, so no key's whole log is ever gathered.
+    Such steps compose: any run of them is again "add d, then keep within l and h". The rows are range-partitioned and sorted by key and
+    time, so a busy key spreads over tasks, and pass by in batches; every run of up to slice_rows rows of a key leaves one such step,
+    and only these steps of a key meet.
     """
-    step = F.struct(F.lit(0).alias("d"), F.lit(low).alias("l"), F.lit(high).alias("h"))
-    keep = lambda x, least, most: F.greatest(least, F.least(most, x))
-
-    def then(a: Column, d: Column, least: Column, most: Column) -> Column:
-        return F.struct((a["d"] + d).alias("d"), keep(a["l"] + d, least, most).alias("l"), keep(a["h"] + d, least, most).alias("h"))
 
-    days = df.groupBy(key, F.to_date(ts).alias("day")).agg(F.sort_array(F.collect_list(F.struct(ts, *order, delta.cast("int").alias("delta")))).alias("each"))
-    folded = days.select(key, "day", F.aggregate("each", step, lambda a, x: then(a, x["delta"], F.lit(low), F.lit(high))).alias("s"))
-    runs = folded.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("day", "s"))).alias("each"))
-    whole = F.aggregate("each", step, lambda a, x: then(a, x["s"]["d"], x["s"]["l"], x["s"]["h"]))
-    return runs.select(key, whole.alias("s")).select(key, keep(F.lit(start) + F.col("s.d"), F.col("s.l"), F.col("s.h")).alias("value"))
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, own, step, n, place, part = ["key", "part", "place", "d", "l", "h"], None, None, 0, 0, 0
+        for batch in batches:
+            done = []
+            for k, part, change in zip(batch["key"], batch["part"].tolist(), batch["delta"].tolist(), strict=True):
+                if step is not None and (k != own or n == slice_rows):
+                    done.append((own, part, place, *step))
+                    step, place = None, place + 1
+                if step is None:
+                    own, step, n = k, (0, low, high), 0
+                d, least, most = step
+                step, n = (d + change, max(low, min(high, least + change)), max(low, min(high, most + change))), n + 1
+            yield pd.DataFrame(done, columns=columns)
+        if step is not None:
+            yield pd.DataFrame([(own, part, place, *step)], columns=columns)
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(ts).alias("ts"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], delta.cast("int").alias("delta"))
+    by = ["key", "ts", *[f"o{i}" for i in range(len(order))]]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("key", F.spark_partition_id().alias("part"), "delta")
+    steps = ordered.mapInPandas(fold, f"key {kind}, part int, place int, d long, l long, h long")
+    first = F.struct(F.lit(0).cast("long").alias("d"), F.lit(low).cast("long").alias("l"), F.lit(high).cast("long").alias("h"))
+    keep = lambda x, least, most: F.greatest(least, F.least(most, x))
+    met = steps.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("part", "place", "d", "l", "h"))).alias("each"))
+    whole = F.aggregate("each", first, lambda a, x: F.struct((a["d"] + x["d"]).alias("d"), keep(a["l"] + x["d"], x["l"], x["h"]).alias("l"), keep(a["h"] + x["d"], x["l"], x["h"]).alias("h")))
+    return met.select(F.col("key").alias(key), whole.alias("s")).select(key, keep(F.lit(start) + F.col("s.d"), F.col("s.l"), F.col("s.h")).cast("int").alias("value"))
 
 
 def rule_weights(outcomes: DataFrame) -> DataFrame:

@@ -149,6 +149,27 @@ def clones(lines: DataFrame, width: int = 5) -> DataFrame:
     return hashed.join(many, "clone").select("repo", "path", "line_no", "clone")
 
 
+def clone_ranges(lines: DataFrame, width: int = 5, least_tokens: int = 50) -> DataFrame:
+    """Longest equal ranges of two files: repo_a, path_a, start_a, repo, path, start, end, tokens.
+
+    A window that stands in several files is compared with its first place only, so a popular one makes as many rows as it has places and no
+    pairs among them; windows at one distance from their first places that follow one another are one range. Ranges of few tokens are left out.
+    """
+    order = W.partitionBy("repo", "path").orderBy("line_no")
+    text = F.lower(F.regexp_replace("text", r"\s+", " "))
+    said = lines.select("repo", "path", "line_no", text.alias("t"), F.regexp_count("text", F.lit(r"\w+|[^\s\w]")).alias("tokens"))
+    counted = said.withColumn("until", F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, width - 1))).withColumn("before", F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens"))
+    full = counted.withColumn("window", F.collect_list("t").over(order.rowsBetween(0, width - 1))).where(F.size("window") == width)
+    hashed = full.select("repo", "path", "line_no", "until", "before", F.sha2(F.array_join("window", "\n"), 256).alias("clone"))
+    places = hashed.groupBy("clone").agg(F.min(F.struct("repo", "path", "line_no")).alias("a"), F.max(F.struct("repo", "path")).alias("b"))
+    many = places.where("a.repo <> b.repo OR a.path <> b.path").select("clone", F.col("a.repo").alias("repo_a"), F.col("a.path").alias("path_a"), F.col("a.line_no").alias("line_a"))
+    met = hashed.join(many, "clone").where("repo <> repo_a OR path <> path_a").withColumn("shift", F.col("line_no") - F.col("line_a"))
+    pair = ["repo_a", "path_a", "repo", "path", "shift"]
+    runs = met.withColumn("run", F.col("line_no") - F.row_number().over(W.partitionBy(*pair).orderBy("line_no")))
+    ranges = runs.groupBy(*pair, "run").agg(F.min("line_no").alias("start"), (F.max("line_no") + width - 1).alias("end"), (F.max("until") - F.min("before")).alias("tokens"))
+    return ranges.where(F.col("tokens") >= least_tokens).select("repo_a", "path_a", (F.col("start") - F.col("shift")).alias("start_a"), "repo", "path", "start", "end", "tokens")
+
+
 def jaro_winkler(a: str | None, b: str | None, scale: float = 0.1) -> float:
     """Jaro similarity with up to four letters of common prefix rewarded."""
     if not a or not b:

@@ -160,7 +160,14 @@ def _(s):
     return H.pattern_confidence(s.view("calls").select((F.col("call_id") % 200).cast("int").alias("pattern"), "ts", "call_id", event.alias("event")))
 
 
-@query("w20_reliability", "calls")
+@query("w20_reliability", "calls", """WITH e AS (SELECT provider, ts, success, row_number() OVER (PARTITION BY provider ORDER BY ts, call_id) AS i, count(*) OVER (PARTITION BY provider) AS n FROM calls),
+    r AS (SELECT provider, CAST(0 AS BIGINT) AS i, 10000 AS score, 'closed' AS circuit, CAST(0 AS BIGINT) AS opened FROM (SELECT DISTINCT provider FROM e)
+          UNION ALL SELECT provider, i, CASE WHEN probe AND success THEN least(10000, moved + 1000) ELSE moved END,
+                           CASE WHEN probe AND success THEN 'closed' WHEN circuit = 'open' OR opens THEN 'open' ELSE 'closed' END, CASE WHEN opens OR (probe AND NOT success) THEN now ELSE opened END
+          FROM (SELECT *, circuit = 'closed' AND moved < 3000 AS opens, circuit = 'open' AND now - opened > 60 AS probe
+                FROM (SELECT e.provider, e.i, CAST(floor(epoch(e.ts)) AS BIGINT) AS now, e.success, r.circuit, r.opened, greatest(0, least(10000, r.score + CASE WHEN e.success THEN 150 ELSE -450 END)) AS moved FROM r JOIN e ON e.provider = r.provider AND e.i = r.i + 1))),
+    c AS (SELECT provider, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS errors, count(*) AS n FROM calls GROUP BY provider)
+    SELECT r.provider, CAST(score / 100 AS DOUBLE) AS score, circuit, successes, errors FROM r JOIN c ON c.provider = r.provider AND c.n = r.i""")
 def _(s):
     return H.reliability(s.view("calls"))
 

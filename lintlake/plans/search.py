@@ -93,6 +93,15 @@ def _(s):
     return S.clones(s.view("text_line"), 3)
 
 
+@query("j24_clone_ranges", "text_line", r"""WITH w AS (SELECT repo, path, line_no, list(lower(regexp_replace(text, '\s+', ' ', 'g'))) OVER v AS w, sum(len(regexp_extract_all(text, '\w+|[^\s\w]'))) OVER v AS tokens, len(regexp_extract_all(text, '\w+|[^\s\w]')) AS own FROM text_line WINDOW v AS (PARTITION BY repo, path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+    h AS (SELECT repo, path, line_no, array_to_string(w, chr(10)) AS clone, tokens, own FROM w WHERE len(w) = 3), m AS (SELECT clone, min({'repo': repo, 'path': path, 'line': line_no}) AS a FROM h GROUP BY clone HAVING count(DISTINCT (repo, path)) > 1),
+    j AS (SELECT h.*, a.repo AS repo_a, a.path AS path_a, line_no - a.line AS shift FROM h JOIN m USING (clone) WHERE (repo, path) <> (a.repo, a.path)),
+    k AS (SELECT *, line_no - row_number() OVER (PARTITION BY repo_a, path_a, repo, path, shift ORDER BY line_no) AS run FROM j)
+    SELECT repo_a, path_a, CAST(min(line_no) - shift AS INT) AS start_a, repo, path, min(line_no) AS start, CAST(max(line_no) + 2 AS INT) AS "end", CAST(sum(own) - arg_max(own, line_no) + arg_max(tokens, line_no) AS BIGINT) AS tokens FROM k GROUP BY repo_a, path_a, repo, path, shift, run HAVING sum(own) - arg_max(own, line_no) + arg_max(tokens, line_no) >= 50""")
+def _(s):
+    return S.clone_ranges(s.view("text_line"), 3, 50)
+
+
 FIX = "SELECT p_partkey AS pattern, p_type AS category, p_name || ' ' || p_brand AS description, p_size AS confidence FROM part"
 
 
