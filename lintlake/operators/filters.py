@@ -150,6 +150,27 @@ def marker_blocks(lines: DataFrame, start: str, end: str) -> DataFrame:
     return inside.groupBy(*FILE, "block").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.bool_or("is_end").alias("complete"), F.count(F.lit(1)).alias("length")).where("complete").drop("complete")
 
 
+def conflict_blocks(lines: DataFrame) -> DataFrame:
+    """(repo, path, first_line, last_line, ours, theirs, both) of each merge conflict, its texts without the markers, lines joined by newlines.
+
+    An opening marker begins a block, even inside one that has not ended; blocks without a closing marker are left out. A part without
+    lines is an empty text. Lines between conflicts belong to none and are dropped before any is gathered.
+    """
+    order = W.partitionBy(*FILE).orderBy("line_no")
+    until = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    mark = F.when(F.col("text").startswith("<<<<<<<"), 1).when(F.col("text").startswith("======="), 2).when(F.col("text").startswith(">>>>>>>"), 3)
+    seen = lines.select(*FILE, "line_no", "text", mark.alias("mark")).withColumn("block", F.sum(F.when(F.col("mark") == 1, 1).otherwise(0)).over(until))
+    inner = W.partitionBy(*FILE, "block").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    phase = seen.where("block > 0").withColumn("phase", F.max("mark").over(inner)).withColumn("closed", F.sum(F.when(F.col("mark") == 3, 1).otherwise(0)).over(inner))
+    held = phase.where("closed = 0 OR (closed = 1 AND mark = 3)")
+    # a line that looks like the middle marker is one only once
+    part = held.withColumn("nth", F.sum(F.when(F.col("mark") == 2, 1).otherwise(0)).over(inner)).withColumn("marker", (F.col("mark") == 1) | (F.col("mark") == 3) | ((F.col("mark") == 2) & (F.col("nth") == 1)))
+    row = F.when(~F.coalesce("marker", F.lit(False)), F.struct("line_no", "text", (F.col("phase") >= 2).alias("theirs")))
+    blocks = part.groupBy(*FILE, "block").agg(F.min("line_no").alias("first_line"), F.max(F.when(F.col("mark") == 3, F.col("line_no"))).alias("last_line"), F.sort_array(F.collect_list(row)).alias("rows"))
+    text = lambda keep: F.array_join(F.transform(F.filter("rows", keep), lambda r: r["text"]), "\n")
+    return blocks.where("last_line IS NOT NULL").select(*FILE, "first_line", "last_line", text(lambda r: ~r["theirs"]).alias("ours"), text(lambda r: r["theirs"]).alias("theirs"), text(lambda r: F.lit(True)).alias("both"))
+
+
 def extract_functions(lines: DataFrame) -> DataFrame:
     """Functions with their span, parameters and a cyclomatic estimate.
 

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lintlake.operators import scopes
+from lintlake.operators import scopes, structure
 from lintlake.operators import span_rules as R
 from lintlake.operators import syntax as S
 from lintlake.plans.base import NEEDS, VIEWS, literal, query, values
@@ -190,3 +190,30 @@ def _(s):
 @query("r21_shadowed_names", "block_line")
 def _(s):
     return scopes.bindings(S.tree(S.lex(s.view("block_line")))).where(F.col("shadows")).select("repo", "path", "name", "sort", "line", "references")
+
+
+NAME = r"[A-Za-z_$][\w$]*"
+STRUCTURE = rf"""
+held AS (SELECT s.*, p.kind AS inside FROM seg s LEFT JOIN span p ON p.repo = s.repo AND p.path = s.path AND p.level = s.level - 1 AND p.pos < s.pos AND (p.end_at IS NULL OR s.pos <= p.end_at)),
+said AS (SELECT repo, path, unnest(regexp_extract_all(code, '\b(?:const|let|var|class)\s+({NAME})', 1)) AS name FROM seg
+    UNION ALL SELECT repo, path, name FROM span WHERE kind = 'function' AND name <> '' AND regexp_matches(head, '^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b')
+    UNION ALL SELECT repo, path, regexp_extract(p, '^(?:\.\.\.\s*|(?:public|private|protected|readonly)\s+)*({NAME})', 1) FROM (SELECT repo, path, unnest(parameters) AS p FROM span WHERE {NAMED})
+    UNION ALL SELECT repo, path, regexp_extract(head, '^catch\s*\(\s*({NAME})', 1) FROM span WHERE kind = 'catch'
+    UNION ALL SELECT s.repo, s.path, s.name FROM (SELECT repo, path, pos, unnest(regexp_extract_all(regexp_replace(code, '{NAME}\s*:\s*|\btype\s+|{NAME}\s+as\s+|=[^,]*', '', 'g'), '({NAME})', 1)) AS name FROM held WHERE inside = 'names') s
+              JOIN span p ON p.repo = s.repo AND p.path = s.path AND p.kind = 'names' AND s.pos > p.pos AND s.pos <= p.end_at WHERE regexp_extract(p.head, '\b(const|let|var|import|export)\b', 1) IN ('const', 'let', 'var') AND s.name <> 'from'),
+declared AS (SELECT repo, path, name, count(*) AS n FROM said WHERE name <> '' GROUP BY ALL),
+word AS (SELECT repo, path, unnest(regexp_extract_all(replace(CASE WHEN inside = 'object' THEN regexp_replace(code, '(^|,)\s*{NAME}\s*:', '\1 ', 'g') ELSE code END, '...', ' '), {literal(scopes.USE)}, 1)) AS name FROM held),
+used AS (SELECT repo, path, name, count(*) AS n FROM word GROUP BY ALL),
+name_count AS (SELECT repo, path, count(*) AS names, count(*) FILTER (used.n > declared.n) AS shared FROM declared LEFT JOIN used USING (repo, path, name) GROUP BY repo, path),
+shape AS (SELECT p.repo, p.path, count(*) FILTER ({NAMED} AND p."end" IS NOT NULL) AS functions, count(*) FILTER ({NAMED} AND p."end" - p.start + 1 > 40) AS long_functions, coalesce(max(CASE WHEN kind IN ('if', 'loop', 'switch', 'try') THEN a.nested + 1 END), 0) AS nesting FROM span p JOIN seg_at a USING (repo, path, pos) GROUP BY p.repo, p.path),
+file_import AS (SELECT repo, path, count(*) FILTER (spec <> '' AND NOT starts_with(spec, '.')) AS external FROM (SELECT repo, path, regexp_extract(text, {literal(structure.SPECIFIER)}, 1) AS spec FROM block_line) GROUP BY repo, path),
+score AS (SELECT i.repo, i.path, coalesce(functions, 0) AS functions, external, coalesce(nesting, 0) AS nesting, coalesce(long_functions, 0) AS long_functions,
+                 CAST(greatest(0, least(100, floor(100 - 20 * external / greatest(coalesce(functions, 0), 1) + 0.5))) AS BIGINT) AS coupling, CAST(CASE WHEN names > 0 THEN floor(100 * shared / names + 0.5) ELSE 100 END AS BIGINT) AS cohesion
+          FROM file_import i LEFT JOIN shape USING (repo, path) LEFT JOIN name_count USING (repo, path)),
+total AS (SELECT *, (coupling * 3 + cohesion * 3 + greatest(0, 100 - 15 * least(long_functions, 10)) * 2 + greatest(0, 100 - 10 * nesting) * 2) / 10 AS composite FROM score)"""
+
+
+@query("a22_structure_grade", "block_line", f"WITH {TREE}, {STRUCTURE} SELECT *, CASE WHEN composite >= 85 THEN 'A' WHEN composite >= 70 THEN 'B' WHEN composite >= 55 THEN 'C' WHEN composite >= 40 THEN 'D' ELSE 'F' END AS grade FROM total")
+def _(s):
+    lexed = S.lex(s.view("block_line"))
+    return structure.structure_grade(lexed, S.tree(lexed))

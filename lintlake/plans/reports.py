@@ -212,14 +212,6 @@ def _(s):
     return areas.unpivot(["repo"], ["security", "errors", "spread", "style"], "area", "score")
 
 
-@query("a22_structure_grade", "code_line", r"WITH d AS (SELECT repo, path, count(*) AS lines, CAST(sum(len(regexp_extract_all(text, '^import '))) AS BIGINT) AS imports, CAST(sum(len(regexp_extract_all(text, 'function '))) AS BIGINT) AS functions FROM code_line GROUP BY repo, path), c AS (SELECT *, CAST(greatest(0, 100 - imports * 5 - CASE WHEN functions > 2 THEN 20 ELSE 0 END - CASE WHEN lines > 10 THEN 15 ELSE 0 END) AS BIGINT) AS score FROM d) SELECT repo, path, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM c")
-def _(s):
-    n = lambda p: F.sum(F.regexp_count("text", F.lit(p))).cast("long")
-    c = s.view("code_line").groupBy("repo", "path").agg(F.count(F.lit(1)).alias("lines"), n("^import ").alias("imports"), n("function ").alias("functions"))
-    score = F.greatest(F.lit(0), 100 - 5 * F.col("imports") - F.when(F.col("functions") > 2, 20).otherwise(0) - F.when(F.col("lines") > 10, 15).otherwise(0)).cast("long")
-    return c.select("repo", "path", score.alias("score"), grade(score, [(90, "A"), (75, "B"), (60, "C"), (40, "D")], "F").alias("grade"))
-
-
 BRANCHES = "SELECT user_id AS repo, event_type AS branch, CAST(max(ts) AS DATE) AS last_day FROM events GROUP BY user_id, event_type"
 
 
@@ -255,11 +247,20 @@ def _(s):
     return scan.scan_rules(s.view("code_line"), rules).select("repo", "path", "line", "rule_id")
 
 
-@query("r28_conflict_blocks", "text_line", "SELECT path, 2 AS first_line, 6 AS last_line, CAST(5 AS BIGINT) AS length FROM text_line WHERE line_no = 1")
+#: A conflict after every third line of a document whose number leaves one with its document's, with other texts in each.
+CONFLICT = """SELECT source AS repo, CAST(doc_id AS {text}) AS path, line_no, text FROM (
+    SELECT repo AS source, path AS doc_id, line_no * 10 AS line_no, text FROM text_line
+    UNION ALL SELECT t.repo, t.path, t.line_no * 10 + k.k, CASE k.k WHEN 1 THEN '<<<<<<< ours' WHEN 2 THEN 'our ' || t.text WHEN 3 THEN 'more' WHEN 4 THEN '=======' WHEN 5 THEN 'their ' || t.text ELSE '>>>>>>> theirs' END
+    FROM text_line t, (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) k
+    WHERE (t.line_no + length(t.path)) % 3 = 1 AND NOT (k.k = 3 AND t.line_no % 2 = 0)) x"""
+
+
+@query("r28_conflict_blocks", "text_line", f"""WITH c AS ({CONFLICT.format(text="VARCHAR")}), o AS (SELECT * FROM c WHERE text = '<<<<<<< ours'), b AS (SELECT o.repo, o.path, o.line_no AS first_line, c.line_no, c.text, c.line_no % 10 AS k FROM o JOIN c ON c.repo = o.repo AND c.path = o.path AND c.line_no > o.line_no AND c.line_no < o.line_no + 9)
+    SELECT repo, path, first_line, max(line_no) AS last_line, string_agg(text, chr(10) ORDER BY line_no) FILTER (k IN (2, 3)) AS ours, string_agg(text, chr(10) ORDER BY line_no) FILTER (k = 5) AS theirs, string_agg(text, chr(10) ORDER BY line_no) FILTER (k IN (2, 3, 5)) AS both FROM b GROUP BY ALL""")
 def _(s):
-    marked = ["<<<<<<< ours", "a", "=======", "b", ">>>>>>> theirs"]
-    files = s.table("documents").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.concat_ws("\n", F.split("text", "\n")[0], *map(F.lit, marked)).alias("content"))
-    return X.marker_blocks(scan.explode_lines(files), "^<<<<<<< ", "^>>>>>>> ").select("path", "first_line", "last_line", "length")
+    s.view("text_line").createOrReplaceTempView("text_line")
+    return X.conflict_blocks(s.spark.sql(CONFLICT.format(text="STRING")))
+
 
 
 @query("s07_parse_blame", "changes", "SELECT CAST(file AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY file ORDER BY commit_id) AS INT) AS line, CAST(commit_id AS VARCHAR) AS commit_id FROM changes")

@@ -172,3 +172,24 @@ def test_odd_lines(spark):
 def test_rules_built(spark):
     built = catalog.rule_catalog(spark).where("has_rule").count()
     assert built >= 170
+
+
+def test_structure_grade(spark):
+    from lintlake.operators import structure
+
+    text = "import a from 'far';\nimport b from './near';\nfunction long(x, unused) {\n" + "  x();\n" * 40 + "  if (x) { for (;;) { try { y(); } catch (e) { } } }\n}\nconst once = 1;\nfunction used() { return long; }\nused();"
+    lexed = S.lex(lines(spark, {"a.ts": text, "empty.ts": ""}))
+    got = {r.path: r for r in structure.structure_grade(lexed, S.tree(lexed)).collect()}
+    a = got["a.ts"]
+    # long, x, used are used; unused, e and once are not
+    assert (a.functions, a.external, a.nesting, a.long_functions, a.coupling, a.cohesion) == (2, 1, 3, 1, 90, 50)
+    assert a.composite == pytest.approx(27 + 15 + 17 + 14) and a.grade == "B"
+    assert (got["empty.ts"].functions, got["empty.ts"].grade) == (0, "A")
+
+
+def test_conflict_blocks(spark):
+    from lintlake.operators import filters
+
+    text = "top\n<<<<<<< HEAD\nours 1\n\nours 2\n=======\ntheirs\n=======\n>>>>>>> other\nbetween\n<<<<<<< a\n=======\n>>>>>>> b\n<<<<<<< never\nleft open"
+    got = [tuple(r)[2:] for r in filters.conflict_blocks(lines(spark, {"a": text, "b": "=======\n>>>>>>> x"})).orderBy("first_line").collect()]
+    assert got == [(2, 9, "ours 1\n\nours 2", "theirs\n=======", "ours 1\n\nours 2\ntheirs\n======="), (11, 13, "", "", "")]
