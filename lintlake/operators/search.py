@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -194,6 +194,37 @@ def jaro_winkler(a: str | None, b: str | None, scale: float = 0.1) -> float:
     return jaro + prefix * scale * (1 - jaro)
 
 
+#: Letters are counted by code modulo this; letters that share a count only loosen the bound.
+BUCKETS = 32
+
+
+def _letters(text: Column) -> Column:
+    """How often each bucket of letters stands in a text."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) % BUCKETS)
+    return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(codes, lambda c: c == b)))
+
+
+def similar_candidates(queries: DataFrame, patterns: DataFrame, least: float) -> DataFrame:
+    """Pairs of one category whose Jaro-Winkler similarity may reach `least`: query_id, description, known, pattern, confidence.
+
+    No more letters can match than both texts have of each, all in order and at any distance at best, and the common prefix is what it is: an
+    upper bound from lengths, letter counts and four letters, which is part of the join and drops no pair that reaches `least`.
+    """
+    asked = queries.select("query_id", "category", "description", F.coalesce("description", F.lit("")).alias("a")).withColumn("a_letters", _letters(F.col("a")))
+    known = patterns.select("category", F.col("description").alias("known"), "pattern", "confidence", F.coalesce("description", F.lit("")).alias("b")).withColumn("b_letters", _letters(F.col("b")))
+    one, other = F.length("a").cast("double"), F.length("b").cast("double")
+    # lengths alone bound the matches; they are looked at before any letter is counted
+    prefix = sum((F.when((F.substring("a", 1, k) == F.substring("b", 1, k)) & (F.length("a") >= k) & (F.length("b") >= k), 1).otherwise(0) for k in range(2, 5)), F.when((F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (one > 0), 1).otherwise(0))
+
+    def reaches(matches: Column) -> Column:
+        jaro = (matches / one + matches / other + 1) / 3
+        return jaro + prefix * 0.1 * (1 - jaro) >= least - 1e-9
+
+    shared = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    may = F.when((one == 0) | (other == 0), (one == other) | F.lit(least <= 0)).otherwise(reaches(F.least(one, other)) & reaches(shared))
+    return asked.join(known, "category").where(may).select("query_id", "description", "known", "pattern", "confidence")
+
+
 def similar_fixes(queries: DataFrame, patterns: DataFrame, least: float = 0.7, k: int = 5) -> DataFrame:
     """Patterns of a query's category whose description is near, by confidence. Both sides: category, description."""
 
@@ -201,8 +232,7 @@ def similar_fixes(queries: DataFrame, patterns: DataFrame, least: float = 0.7, k
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
 
-    j = queries.join(patterns.select("category", F.col("description").alias("known"), "pattern", "confidence"), "category")
-    scored = j.withColumn("similarity", similarity("description", "known")).where(F.col("similarity") >= least)
+    scored = similar_candidates(queries, patterns, least).withColumn("similarity", similarity("description", "known")).where(F.col("similarity") >= least)
     order = W.partitionBy("query_id").orderBy(F.col("confidence").desc(), "pattern")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "pattern", "place")
 
