@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions import family
-from lintlake.operators import scopes, span_rules
+from lintlake.operators import scopes, span_rules, syntax
 from lintlake.operators.rules import Rule, unless
 from lintlake.operators.scan import cap, scan_rules
 
@@ -211,7 +211,8 @@ def scan_next(lines: DataFrame) -> DataFrame:
 def scan_totals(lines: DataFrame, longest: int = 1000) -> DataFrame:
     """Rules about counts of a whole file: repo, path, rule_id, amount.
 
-    More than 1,000 lines, both kinds of quotes, interfaces beside type aliases. Counts are summed before the shuffle.
+    Brackets that do not balance outside of strings and comments, more than 1,000 lines, both kinds of quotes, interfaces beside type
+    aliases. Counts are summed before the shuffle.
     """
     of = lambda letter: F.sum(F.length("text") - F.length(F.replace("text", F.lit(letter))))
     has = lambda pattern: F.sum(F.col("text").rlike(pattern).cast("int"))
@@ -220,7 +221,7 @@ def scan_totals(lines: DataFrame, longest: int = 1000) -> DataFrame:
     )
     each = [("CMX-004", F.col("n") > longest, F.col("n")), ("STL-009", F.least("single", "double") > 0, F.least("single", "double")), ("TYP-011", F.least("interfaces", "types") > 0, F.least("interfaces", "types"))]
     found = F.array(*[F.when(test, F.struct(F.lit(rule).alias("rule_id"), amount.cast("long").alias("amount"))) for rule, test, amount in each])
-    return n.select("repo", "path", F.inline(F.filter(found, lambda x: x.isNotNull())))
+    return n.select("repo", "path", F.inline(F.filter(found, lambda x: x.isNotNull()))).unionByName(span_rules.bracket_totals(syntax.lex(lines)))
 
 
 def scan_catalog(lines: DataFrame, families: list[str] | None = None, most: int = 80) -> DataFrame:

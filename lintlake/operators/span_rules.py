@@ -141,12 +141,20 @@ def scan_calls(nodes: DataFrame, tree_spans: DataFrame) -> DataFrame:
     return _found(met(lonely, calls), "RTE-012", "start").unionByName(_found(met(loops, changes), "RTE-015", "start")).unionByName(_found(twice, "RTE-013", "line_no").distinct())
 
 
-def scan_brackets(lexed: DataFrame) -> DataFrame:
-    """SYN-001 to 003: files that do not close their brackets as often as they open them, outside of strings and comments. line is 1."""
+BRACKETS = [("SYN-001", "{", "}"), ("SYN-002", "(", ")"), ("SYN-003", "[", "]")]
+
+
+def bracket_totals(lexed: DataFrame) -> DataFrame:
+    """(repo, path, rule_id, amount): by how many a file opens brackets more or less often than it closes them, outside of strings and comments."""
     of = lambda sign: F.sum(F.length("code") - F.length(F.replace("code", F.lit(sign))))
-    sums = lexed.groupBy(*FILE).agg(*[(of(a) - of(b)).alias(rule) for rule, a, b in (("SYN-001", "{", "}"), ("SYN-002", "(", ")"), ("SYN-003", "[", "]"))])
-    open_rules = F.filter(F.array(*[F.when(F.col(f"`{r}`") != 0, F.lit(r)) for r in ("SYN-001", "SYN-002", "SYN-003")]), lambda r: r.isNotNull())
-    return sums.select(*FILE, F.lit(1).alias("line"), F.explode(open_rules).alias("rule_id"), F.lit("critical").alias("severity"))
+    sums = lexed.groupBy(*FILE).agg(*[(of(a) - of(b)).alias(rule) for rule, a, b in BRACKETS])
+    each = F.array(*[F.when(F.col(f"`{r}`") != 0, F.struct(F.lit(r).alias("rule_id"), F.abs(F.col(f"`{r}`")).cast("long").alias("amount"))) for r, _, _ in BRACKETS])
+    return sums.select(*FILE, F.inline(F.filter(each, lambda x: x.isNotNull())))
+
+
+def scan_brackets(lexed: DataFrame) -> DataFrame:
+    """SYN-001 to 003: files of bracket_totals(). line is 1."""
+    return bracket_totals(lexed).select(*FILE, F.lit(1).alias("line"), "rule_id", F.lit("critical").alias("severity"))
 
 
 def scan_spans(lexed: DataFrame, nodes: DataFrame) -> DataFrame:

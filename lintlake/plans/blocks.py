@@ -74,7 +74,7 @@ read AS (SELECT repo, path, list_reduce(signs, lambda a, z: CASE
     WHEN z[1] = a.m THEN {'m': 'c', 'o': a.o || z[1], 'k': 0, 's': a.s, 'p': z[1]}
     ELSE {'m': a.m, 'o': a.o || ' ', 'k': 0, 's': a.s, 'p': a.p} END,
   {'m': 'c', 'o': '', 'k': 0, 's': CAST([] AS INT[]), 'p': chr(10)}).o AS code FROM sign),
-code_line AS (SELECT repo, path, CAST(generate_subscripts(string_split(code, chr(10)), 1) AS INT) AS line_no, unnest(string_split(code, chr(10))) AS code FROM read)"""
+lexed_line AS (SELECT repo, path, CAST(generate_subscripts(string_split(code, chr(10)), 1) AS INT) AS line_no, unnest(string_split(code, chr(10))) AS code FROM read)"""
 #: What stands before each brace: t the statement so far, d brackets open, s what stands outside the braces open, h the heads.
 HEADS = r"""
 head_list AS (SELECT repo, path, code, list_reduce(string_split(code, ''), lambda a, c: CASE
@@ -85,7 +85,7 @@ head_list AS (SELECT repo, path, code, list_reduce(string_split(code, ''), lambd
     WHEN c = chr(10) THEN {'t': right(a.t || ' ', 400), 'd': a.d, 's': a.s, 'h': a.h}
     ELSE {'t': a.t || c, 'd': CASE c WHEN '(' THEN a.d + 1 WHEN ')' THEN greatest(a.d - 1, 0) ELSE a.d END, 's': a.s, 'h': a.h} END,
   {'t': '', 'd': 0, 's': CAST([] AS STRUCT(t VARCHAR, d INT)[]), 'h': CAST([] AS VARCHAR[])}).h AS heads FROM read),
-seg_list AS (SELECT repo, path, line_no, unnest(range(len(string_split_regex(code, '[{}]')))) AS part, unnest(string_split_regex(code, '[{}]')) AS code, unnest(list_resize(regexp_extract_all(code, '[{}]'), len(string_split_regex(code, '[{}]')), NULL)) AS brace FROM code_line),
+seg_list AS (SELECT repo, path, line_no, unnest(range(len(string_split_regex(code, '[{}]')))) AS part, unnest(string_split_regex(code, '[{}]')) AS code, unnest(list_resize(regexp_extract_all(code, '[{}]'), len(string_split_regex(code, '[{}]')), NULL)) AS brace FROM lexed_line),
 seg_number AS (SELECT *, line_no * 1000 + part AS pos, count(brace) OVER (PARTITION BY repo, path ORDER BY line_no, part) AS nth, coalesce(sum(CASE brace WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER (PARTITION BY repo, path ORDER BY line_no, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS level FROM seg_list),
 seg AS (SELECT s.*, CASE WHEN brace = '{' THEN heads[nth] END AS head FROM seg_number s JOIN head_list USING (repo, path)),
 span_open AS (SELECT o.repo, o.path, o.line_no AS start, o.pos, o.level, o.head,
@@ -126,7 +126,7 @@ full_span AS (SELECT p.*, c.* EXCLUDE (repo, path, pos), o.* EXCLUDE (repo, path
 TREE = f"{LEXED}, {HEADS}, {SPANS}, {FULL}"
 
 
-@query("r22_lexed_lines", "block_line", f"WITH {LEXED} SELECT b.repo, b.path, b.line_no, c.code FROM block_line b JOIN code_line c USING (repo, path, line_no)")
+@query("r22_lexed_lines", "block_line", f"WITH {LEXED} SELECT b.repo, b.path, b.line_no, c.code FROM block_line b JOIN lexed_line c USING (repo, path, line_no)")
 def _(s):
     return S.lex(s.view("block_line")).select("repo", "path", "line_no", "code")
 
@@ -174,7 +174,7 @@ def _(s):
     return R.scan_chains(nodes, S.spans(nodes))
 
 
-BALANCE = " UNION ALL ".join(f"SELECT repo, path, 1 AS line, '{rule}' AS rule_id, 'critical' AS severity FROM code_line GROUP BY repo, path HAVING sum(len(code) - len(replace(code, '{a}', ''))) <> sum(len(code) - len(replace(code, '{b}', '')))" for rule, a, b in (("SYN-001", "{", "}"), ("SYN-002", "(", ")"), ("SYN-003", "[", "]")))
+BALANCE = " UNION ALL ".join(f"SELECT repo, path, 1 AS line, '{rule}' AS rule_id, 'critical' AS severity FROM lexed_line GROUP BY repo, path HAVING sum(len(code) - len(replace(code, '{a}', ''))) <> sum(len(code) - len(replace(code, '{b}', '')))" for rule, a, b in (("SYN-001", "{", "}"), ("SYN-002", "(", ")"), ("SYN-003", "[", "]")))
 
 
 @query("r32_scan_catalog_brackets", "block_line", f"WITH {LEXED} {BALANCE}")

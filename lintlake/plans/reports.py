@@ -13,7 +13,9 @@ from lintlake.operators import findings as O
 from lintlake.operators import graph as G
 from lintlake.operators import rules as R
 from lintlake.operators import scan
+from lintlake.operators.span_rules import BRACKETS
 from lintlake.plans.base import literal, query, values
+from lintlake.plans.blocks import LEXED
 from lintlake.plans.findings import LEVEL, POLICIES, POLICY_SQL
 from lintlake.plans.scans import pack
 from lintlake.sources import parse_blame
@@ -51,9 +53,10 @@ def _(s):
 @query(
     "r32_scan_catalog_totals",
     "code_line",
-    r"""WITH n AS (SELECT repo, path, string_agg(text, '') AS whole, count(*) AS lines, sum(CAST(regexp_matches(text, '^\s*(?:export\s+)?interface\s+\w') AS INT)) AS interfaces, sum(CAST(regexp_matches(text, '^\s*(?:export\s+)?type\s+\w+\s*=') AS INT)) AS types FROM code_line GROUP BY repo, path),
+    LEXED.replace("block_line", "code_line").join(("WITH ", "")) + r""", n AS (SELECT repo, path, string_agg(text, '') AS whole, count(*) AS lines, sum(CAST(regexp_matches(text, '^\s*(?:export\s+)?interface\s+\w') AS INT)) AS interfaces, sum(CAST(regexp_matches(text, '^\s*(?:export\s+)?type\s+\w+\s*=') AS INT)) AS types FROM code_line GROUP BY repo, path),
     m AS (SELECT *, least(len(whole) - len(replace(whole, chr(39), '')), len(whole) - len(replace(whole, chr(34), ''))) AS q, least(interfaces, types) AS t FROM n)
-    SELECT repo, path, 'CMX-004' AS rule_id, lines AS amount FROM m WHERE lines > 1000 UNION ALL SELECT repo, path, 'STL-009', CAST(q AS BIGINT) FROM m WHERE q > 0 UNION ALL SELECT repo, path, 'TYP-011', CAST(t AS BIGINT) FROM m WHERE t > 0""",
+    SELECT repo, path, 'CMX-004' AS rule_id, lines AS amount FROM m WHERE lines > 1000 UNION ALL SELECT repo, path, 'STL-009', CAST(q AS BIGINT) FROM m WHERE q > 0 UNION ALL SELECT repo, path, 'TYP-011', CAST(t AS BIGINT) FROM m WHERE t > 0"""
+    + "".join(f" UNION ALL SELECT repo, path, '{rule}', CAST(abs(sum(len(replace(code, '{b}', '')) - len(replace(code, '{a}', '')))) AS BIGINT) FROM lexed_line GROUP BY repo, path HAVING sum(len(replace(code, '{b}', '')) - len(replace(code, '{a}', ''))) <> 0" for rule, a, b in BRACKETS),
 )
 def _(s):
     return C.scan_totals(s.view("code_line"))

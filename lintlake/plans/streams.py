@@ -76,7 +76,7 @@ def _(s):
     return kept.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("st06_reliability_stream", "", f"""WITH e AS (SELECT event_id % 300 AS provider, ts, event_id % 7 < 3 AS success, row_number() OVER (PARTITION BY event_id % 300 ORDER BY ts, event_id) AS i FROM events WHERE ts <= {SEEN} - INTERVAL 1 MINUTE),
+@query("st06_reliability_stream", "", f"""WITH e AS (SELECT event_id % 300 AS provider, ts, event_id % 7 < 3 AS success, row_number() OVER (PARTITION BY event_id % 300 ORDER BY ts, event_id) AS i FROM events),
     f AS (SELECT e.*, count(*) OVER (PARTITION BY provider) AS calls FROM e),
     r AS (SELECT provider, CAST(0 AS BIGINT) AS i, 10000 AS score, 'closed' AS circuit, CAST('1970-01-01' AS TIMESTAMP) AS opened FROM (SELECT DISTINCT provider FROM e)
           UNION ALL SELECT provider, i, CASE WHEN probe AND success THEN least(10000, moved + 1000) ELSE moved END,
@@ -86,8 +86,7 @@ def _(s):
     SELECT r.provider, CAST(score / 100 AS DOUBLE) AS score, circuit, calls FROM r JOIN f ON f.provider = r.provider AND f.i = r.i AND f.i = f.calls""")
 def _(s):
     calls = events(s).select((F.col("event_id") % 300).alias("provider"), "ts", F.col("event_id").alias("call_id"), (F.col("event_id") % 7 < 3).alias("success"))
-    # the last batch that has calls of a provider tells where it stands
-    return T.run(T.reliability_stream(calls), "append", ["provider"])
+    return T.run(T.reliability_stream(calls), "update", ["provider"])
 
 
 @query("st07_sliding_scores", "runs", "WITH w AS (SELECT team, score, unnest(generate_series(CAST(CAST(ts AS DATE) - 6 AS TIMESTAMP), CAST(CAST(ts AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS start FROM runs) SELECT team, start, CAST(sum(score) AS BIGINT) AS total, count(*) AS runs FROM w GROUP BY ALL HAVING start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")

@@ -70,14 +70,14 @@ def rate_limit(requests: DataFrame, most: int = 100, window: str = "60 seconds",
     return n.select("client", F.col("window.start").alias("start"), "requests", F.least("requests", F.lit(most)).alias("allowed"), F.greatest(F.lit(0), most - F.col("requests")).alias("remaining"))
 
 
-def in_order(rows: DataFrame, key: str, order: str, step: Callable[[Any, dict], tuple[Any, tuple | None]], start: Any, out: str, delay: str, idle_ms: int, only_last: bool = False, finish: Callable[[Any], tuple] | None = None) -> DataFrame:
+def in_order(rows: DataFrame, key: str, order: str, step: Callable[[Any, dict], tuple[Any, tuple | None]], start: Any, out: str, delay: str, idle_ms: int, update: bool = False, finish: Callable[[Any], tuple] | None = None) -> DataFrame:
     """A fold over each key's rows in order of ts and `order`, across batches, whatever order they arrive in within the delay.
 
     Rows wait in the key's state until the watermark has passed them, and a timer at the earliest of them wakes the key where no
     new rows do. step gets the fold's state and a row, and returns the new state and a row of `out` or None. After idle_ms of event
     time without a row the key's state ends and its fold begins anew; finish makes a row of what the fold held then. Rows that come
-    behind the watermark are dropped. What a key holds are its rows of the last delay. only_last: a batch gives its last row of each
-    key only.
+    behind the watermark are dropped. What a key holds are its rows of the last delay. With update a batch gives one row of each key,
+    the last, and waiting rows count in it as if none came between them any more; what is kept is the fold of those that have passed.
     """
 
     def fold(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -108,13 +108,18 @@ def in_order(rows: DataFrame, key: str, order: str, step: Callable[[Any, dict],
             state.setTimeoutTimestamp(max(min(wake), passed + 1))
         elif state.exists:
             state.remove()
+        if update:
+            ahead = held
+            for row in waiting:
+                ahead, said = step(ahead, row)
+                done += [(group[0], *said)] if said is not None else []
         if done:
-            yield pd.DataFrame(done[-1:] if only_last else done, columns=names).astype(kinds)
+            yield pd.DataFrame(done[-1:] if update else done, columns=names).astype(kinds)
 
     fields = T._parse_datatype_string(out).fields
     names = [f.name for f in fields]
     kinds = {f.name: "int64" for f in fields if isinstance(f.dataType, T.LongType)} | {f.name: "int32" for f in fields if isinstance(f.dataType, T.IntegerType)}
-    return rows.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(fold, out, "held binary", "append", "EventTimeTimeout")
+    return rows.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(fold, out, "held binary", "update" if update else "append", "EventTimeTimeout")
 
 
 def rate_limit_exact(requests: DataFrame, most: int = 100, window_ms: int = 60_000, delay: str = "1 minute") -> DataFrame:
@@ -195,7 +200,7 @@ def session_rollup(events: DataFrame, idle_ms: int = 30 * 86_400_000, delay: str
 
 
 def reliability_stream(calls: DataFrame, delay: str = "1 minute", idle_ms: int = 30 * 86_400_000) -> DataFrame:
-    """A provider's score and circuit after the calls that the watermark has passed, once a batch that has some.
+    """A provider's score and circuit after the calls so far in order of their time, once a batch that has some; late ones within the delay mend it.
 
     Scores are hundredths: 150 up for a success, 450 down for a failure, within 0 and 10000. Under 3000 the circuit opens; 60
     seconds of event time later a success closes it and adds 1000, a failure opens it again. After 30 days without a call a provider
@@ -207,7 +212,7 @@ def reliability_stream(calls: DataFrame, delay: str = "1 minute", idle_ms: int =
         seen = held[3] + 1
         return (score, circuit, opened, seen), (score / 100, circuit, seen)
 
-    return in_order(calls, "provider", "call_id", step, (10000, "closed", 0.0, 0), "provider long, score double, circuit string, calls long", delay, idle_ms, only_last=True)
+    return in_order(calls, "provider", "call_id", step, (10000, "closed", 0.0, 0), "provider long, score double, circuit string, calls long", delay, idle_ms, update=True)
 
 
 def chain_check_stream(runs: DataFrame, key: str, delay: str = "1 hour", idle_ms: int = 30 * 86_400_000) -> DataFrame:

@@ -52,12 +52,11 @@ def test_chain_and_circuit_over_batches(spark, tmp_path):
     assert got == {k for k, ts, *_ in runs if k % 40 == 0 and ts < newest - dt.timedelta(minutes=5)}
     calls = [(k % 2, ts, k, r.random() < 0.4) for k, ts, *_ in runs]
     flow = stream(spark, tmp_path / "b", shuffled(r, calls, 200), "provider long, ts timestamp, call_id long, success boolean", 50)
-    got = {x.provider: (x.score, x.circuit, x.calls) for x in T.run(T.reliability_stream(flow, "5 minutes"), "append", ["provider"]).collect()}
+    got = {x.provider: (x.score, x.circuit, x.calls) for x in T.run(T.reliability_stream(flow, "5 minutes"), "update", ["provider"]).collect()}
     want = {}
     for provider, ts, _, success in sorted(calls, key=lambda c: (c[1], c[2])):
-        if ts < newest - dt.timedelta(minutes=5):
-            *held, n = want.get(provider, (10000, "closed", 0.0, 0))
-            want[provider] = (*history.circuit_step(*held, ts.timestamp(), success), n + 1)
+        *held, n = want.get(provider, (10000, "closed", 0.0, 0))
+        want[provider] = (*history.circuit_step(*held, ts.timestamp(), success), n + 1)
     assert got == {p: (score / 100, circuit, n) for p, (score, circuit, _, n) in want.items()}
 
 
