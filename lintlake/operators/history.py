@@ -232,6 +232,15 @@ def rule_weights(outcomes: DataFrame) -> DataFrame:
     return out.select("rule_id", F.col("value").alias("weight_hundredths"), (F.col("value") < 50).alias("suppressed"))
 
 
+def aggressiveness(runs: DataFrame) -> DataFrame:
+    """(repo, aggressiveness_hundredths): from 50, up 5 after a run up to which over 70 % of the repo's runs passed, down 5 under 30 %, within 10 and 100."""
+    order = W.partitionBy("repo").orderBy("ts", "run_id").rowsBetween(W.unboundedPreceding, 0)
+    rate = F.avg((F.col("status") == "pass").cast("double")).over(order)
+    rated = runs.select("repo", "ts", "run_id", rate.alias("rate"))
+    delta = F.when(F.col("rate") > 0.7, 5).when(F.col("rate") < 0.3, -5).otherwise(0)
+    return clamped_sum(rated, "repo", "ts", ["run_id"], delta, 50, 10, 100).select("repo", F.col("value").alias("aggressiveness_hundredths"))
+
+
 def pattern_confidence(events: DataFrame) -> DataFrame:
     """Confidence of each pattern in hundredths: +5 reuse, +10 accept, -15 reject, within 0 and 100, from 50."""
     delta = F.when(F.col("event") == "reuse", 5).when(F.col("event") == "accept", 10).otherwise(-15)

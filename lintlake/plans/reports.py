@@ -11,6 +11,7 @@ from lintlake.operators import catalog as C
 from lintlake.operators import filters as X
 from lintlake.operators import findings as O
 from lintlake.operators import graph as G
+from lintlake.operators import history as H
 from lintlake.operators import rules as R
 from lintlake.operators import scan
 from lintlake.operators.span_rules import BRACKETS
@@ -287,14 +288,11 @@ def _(s):
     return a.unionByName(b).groupBy("run", "test", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w22_aggressiveness", "runs")
+@query("w22_aggressiveness", "runs", """WITH e AS (SELECT repo, row_number() OVER w AS i, CAST(count(*) FILTER (status = 'pass') OVER w AS DOUBLE) / count(*) OVER w AS rate FROM runs WINDOW w AS (PARTITION BY repo ORDER BY ts, run_id)),
+    r AS (SELECT DISTINCT repo, CAST(0 AS BIGINT) AS i, 50 AS v FROM e UNION ALL SELECT e.repo, e.i, greatest(10, least(100, v + CASE WHEN rate > 0.7 THEN 5 WHEN rate < 0.3 THEN -5 ELSE 0 END)) FROM r JOIN e ON e.repo = r.repo AND e.i = r.i + 1)
+    SELECT repo, CAST(arg_max(v, i) AS INT) AS aggressiveness_hundredths FROM r GROUP BY repo""")
 def _(s):
-    order = W.partitionBy("repo").orderBy("ts", "run_id").rowsBetween(W.unboundedPreceding, 0)
-    rate = s.view("runs").withColumn("rate", F.avg((F.col("status") == "pass").cast("double")).over(order))
-    delta = F.when(F.col("rate") > 0.7, 5).when(F.col("rate") < 0.3, -5).otherwise(0)
-    from lintlake.operators.history import clamped_sum
-
-    return clamped_sum(rate.withColumn("delta_now", delta), "repo", "ts", ["run_id"], F.col("delta_now"), 50, 10, 100).select("repo", F.col("value").alias("aggressiveness_hundredths"))
+    return H.aggressiveness(s.view("runs"))
 
 
 @query("f10_commit_type", "changes commits", "SELECT commit_id, CASE WHEN bool_or(file % 50 = 0) THEN 'test' WHEN bool_or(file % 51 = 0) THEN 'docs' WHEN max(message) LIKE 'fix%' THEN 'fix' WHEN sum(added) > sum(deleted) THEN 'feat' ELSE 'refactor' END AS type, 'feat/' || 'c-' || commit_id AS branch FROM changes JOIN commits USING (commit_id) GROUP BY commit_id")

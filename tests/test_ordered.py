@@ -95,3 +95,17 @@ def test_clone_ranges_are_longest(spark):
     got = {(x.path_a, x.start_a, x.path, x.start, x.end, x.tokens) for x in search.clone_ranges(lines, 5, 50).collect()}
     assert got == {("a", 2, "b", 4, 12, 63)}
     assert {(x.path_a, x.path, x.start, x.end) for x in search.clone_ranges(lines, 5, 10).collect()} == {("a", "b", 4, 12), ("a", "c", 1, 7)}
+
+
+def test_aggressiveness(spark):
+    r = random.Random(12)
+    runs = [(repo, START + dt.timedelta(minutes=k), k, "pass" if r.random() < (0.9, 0.5, 0.1)[repo] else "fail") for k in range(60) for repo in range(3)]
+    got = {x.repo: x.aggressiveness_hundredths for x in history.aggressiveness(spark.createDataFrame(runs, "repo int, ts timestamp, run_id long, status string")).collect()}
+    want = {}
+    for repo in range(3):
+        value, passed = 50, 0
+        for n, (_, _, _, status) in enumerate([x for x in runs if x[0] == repo], 1):
+            passed += status == "pass"
+            value = max(10, min(100, value + (5 if passed / n > 0.7 else -5 if passed / n < 0.3 else 0)))
+        want[repo] = value
+    assert got == want and len(set(want.values())) > 1
