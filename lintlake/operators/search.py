@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lintlake.functions import js_round
+from lintlake.operators.scratch import settle
 
 
 #: Files that a code search reads unless told otherwise.
@@ -75,41 +76,99 @@ def search_symbols(symbols: DataFrame, prefix: str, k: int = 20) -> DataFrame:
 
 #: What a query asks for, by words of it (fixed values).
 CATEGORY_WORDS = {
-    "auth": "login register jwt oauth auth password",
-    "crud": "crud list create update delete detail",
-    "api": "api route endpoint rest middleware",
-    "ui-component": "button form modal table tab dropdown",
-    "state": "state store context redux zustand",
-    "file": "upload download file image",
-    "payment": "payment stripe subscription webhook",
-    "validation": "validation zod schema",
-    "database": "db database prisma drizzle query",
-    "testing": "test jest vitest mock",
+    "auth": "로그인 login 회원가입 register jwt oauth 인증 auth password",
+    "crud": "crud 목록 list 생성 create 수정 update 삭제 delete 상세 detail",
+    "api": "api route endpoint rest middleware 라우트",
+    "ui-component": "버튼 button 폼 form 모달 modal 테이블 table 탭 tab 드롭다운 dropdown",
+    "state": "상태 state store context redux zustand",
+    "file": "업로드 upload 다운로드 download 파일 file 이미지 image",
+    "payment": "결제 payment stripe 구독 subscription 웹훅 webhook",
+    "validation": "검증 validation zod schema 유효성",
+    "database": "db database prisma drizzle query 쿼리",
+    "testing": "테스트 test jest vitest mock",
 }
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of n characters."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
+
+
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """Which strings stand inside which: part, whole. parts has a column part, wholes a column whole; distinct, not empty.
+
+    An index of the wholes by substrings of one, two and three characters. A part of at most three characters is such a substring; a longer
+    one is looked for by that of its three-character substrings that the fewest wholes have, and compared there.
+    """
+    whole, part = F.col("whole"), F.col("part")
+    index = wholes.select("whole", F.explode(F.concat(*[_grams(whole, n) for n in (1, 2, 3)])).alias("gram"))
+    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("wholes"))
+    keys = parts.select("part", F.explode(F.when(F.length(part) <= 3, F.array(part)).otherwise(_grams(part, 3))).alias("gram"))
+    # a substring that no whole has rules the part out: it sorts first and meets nothing
+    rarest = keys.join(often, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("wholes", F.lit(0)).alias("wholes"), "gram")).alias("key"))
+    return rarest.where("key.wholes > 0").select("part", F.col("key.gram").alias("gram")).join(index, "gram").where(F.contains(whole, part)).select("part", "whole")
+
+
+#: Postings of more bytes are not sent to every task.
+MOST_SENT = 64 << 20
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
 def search_snippets(snippets: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Best snippets of each query: query_id, id, score, place.
 
-    A snippet's name that holds the query gives 10, each tag among its words 5, each word of its description 3, its category if the
-    query has a word of it 8, its framework 5, its uses up to 5. snippets: id, name, tags, text, category, framework, uses;
-    queries: query_id, text, framework. Words meet by equality; a pair that shares no word with tags, text or category is left out.
+    A snippet's name that holds the whole query gives 10, each tag that holds a word of it 5, each word that the description holds 3 (as often
+    as the query says it), its category if the query holds a word of that 8, its framework if it holds the wanted one 5, its uses up
+    to 5. Words lie between white space and may stand inside others. Only scores above 0 count; ties go to the smaller id.
+    snippets: id, name, tags, text, category, framework, uses; queries: query_id, text, framework; ids are unique. Nulls hold nothing,
+    a query without words is ranked by framework and uses.
+
+    Words meet words, not texts: containment is decided once for each pair of distinct words (`contained`). Snippets that share no
+    word with a query differ only in category, framework and uses, so the k best of each kind the query asks for stand for all of them.
     """
-    words = lambda text: F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1))
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("word"))
-    category = F.create_map(*[F.lit(x) for kv in CATEGORY_WORDS.items() for x in kv])
-    each = lambda array, points: F.transform(array, lambda w: F.struct(w.alias("word"), F.lit(points).alias("points")))
-    clue = F.concat(each(words(F.col("text")), 3), each(F.array_distinct(F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)), 5))
-    by_word = snippets.select("id", F.inline(clue)).groupBy("word", "id").agg(F.sum("points").alias("points"))
-    shared = asked.join(by_word, "word").groupBy("query_id", "id").agg(F.sum("points").alias("points"))
-    kinds = snippets.select("id", F.explode(F.split(category[F.col("category")], " ")).alias("word"))
-    of_kind = asked.join(kinds, "word").select("query_id", "id").distinct().withColumn("points", F.lit(8).cast("long"))
-    pairs = shared.unionByName(of_kind).groupBy("query_id", "id").agg(F.sum("points").alias("points"))
-    asks = queries.select("query_id", F.lower("text").alias("query"), F.lower("framework").alias("wanted"))
-    own = snippets.select("id", F.lower("name").alias("name"), F.lower("framework").alias("framework"), "uses")
-    more = F.when(F.contains("name", "query"), 10).otherwise(0) + F.when(F.contains("framework", "wanted"), 5).otherwise(0) + F.least(F.lit(5), F.coalesce("uses", F.lit(0)))
-    scored = pairs.join(asks, "query_id").join(own, "id").select("query_id", "id", (F.col("points") + more).cast("long").alias("score"))
+    longest = snippets.agg(F.max(F.length("name"))).first()[0] or 0
+    kinds = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(w) for w in words.split()]), lambda w: F.contains(F.lower("text"), w)), F.lit(kind)) for kind, words in CATEGORY_WORDS.items()]))
+    whole_query = F.when((F.length("text") <= longest) & (F.size(_words(F.col("text"))) > 0), F.lower("text"))  # a longer one is in no name
+    asks = queries.select("query_id", F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"), F.lower("framework").alias("wanted"), whole_query.alias("query"))
+    # dealt out by query: its words, their postings and the sums of its snippets stay in one place
+    said = queries.select("query_id", F.posexplode(_words(F.col("text"))).alias("nth", "part")).select("query_id", "part", (F.col("nth") == 0).alias("first"))
+    asked = said.repartition("query_id").groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("times"), F.max("first").alias("first"))
+
+    # a tag is known by its place from 1; 0 is the description, -1 the name, which can hold a query only if it holds the first word
+    clue = lambda place, words: F.transform(F.array_distinct(words), lambda w: F.struct(place.cast("int").alias("place"), w.alias("whole")))
+    tags = F.transform(F.filter("tags", lambda t: t.isNotNull()), F.lower)
+    of_tags = F.flatten(F.transform(tags, lambda t, i: clue(i + 1, _words(t))))
+    none = F.array().cast("array<struct<place:int,whole:string>>")
+    clues = snippets.select("id", F.inline(F.concat(*[F.coalesce(c, none) for c in (clue(F.lit(-1), _words(F.col("name"))), clue(F.lit(0), _words(F.col("text"))), of_tags)])))
+    inside = contained(said.select("part").distinct(), clues.select("whole").distinct())
+    postings = settle(inside.join(clues, "whole").select("part", "id", "place").distinct())
+    # where postings are few they go to the queries; where they are many both sides are dealt out by word
+    size = postings.agg(F.sum(F.octet_length("part") + 40)).first()[0] or 0
+    postings = F.broadcast(postings) if size <= MOST_SENT else postings.hint("shuffle_hash")
+    places = asked.join(postings, "part").where("place >= 0 OR first").groupBy("query_id", "id", "place").agg(F.sum("times").alias("times"))
+    worth = F.when(F.col("place") == 0, F.col("times") * 3).when(F.col("place") > 0, 5).otherwise(0)
+    shared = places.groupBy("query_id", "id").agg(F.sum(worth).alias("points"))
+
+    own = snippets.select("id", F.lower("name").alias("name"), "category", F.lower("framework").alias("framework"), F.least(F.lit(5), F.coalesce("uses", F.lit(0))).cast("long").alias("uses"))
+    fits = contained(asks.select(F.col("wanted").alias("part")).where("part <> ''").distinct(), own.select(F.col("framework").alias("whole")).where("whole <> ''").distinct()).select(F.col("part").alias("wanted"), F.col("whole").alias("framework"))
+    every = F.lit("")
+    classed = own.select("id", "framework", "uses", F.explode(F.when(F.col("category").isin(*CATEGORY_WORDS), F.array("category", every)).otherwise(F.array(every))).alias("kind"))
+    best = lambda df, *by: df.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy(F.col("uses").desc(), "id"))).where(F.col("n") <= k).drop("n")
+    fitting = best(best(classed, "framework", "kind").join(fits, "framework"), "wanted", "kind")
+    classes = asks.select("query_id", "wanted", F.explode(F.concat("kinds", F.array(every))).alias("kind"))
+    plain = classes.join(best(classed, "kind"), "kind").select("query_id", "id", F.lit(0).cast("long").alias("points"))
+    wanted = classes.join(fitting, ["wanted", "kind"]).select("query_id", "id", F.lit(0).cast("long").alias("points"))
+
+    pairs = shared.unionByName(plain).unionByName(wanted).groupBy("query_id", "id").agg(F.sum("points").alias("points"))
+    j = pairs.join(asks, "query_id").join(own, "id").join(fits.withColumn("fits", F.lit(5)), ["wanted", "framework"], "left")
+    test = lambda yes, points: F.coalesce(F.when(yes, points), F.lit(0))
+    score = F.col("points") + test(F.contains("name", "query"), 10) + test(F.array_contains("kinds", F.col("category")), 8) + F.coalesce("fits", F.lit(0)) + F.col("uses")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    scored = j.select("query_id", "id", score.cast("long").alias("score")).where("score > 0")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 

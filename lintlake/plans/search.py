@@ -32,20 +32,20 @@ def _(s):
     return S.search_symbols(symbols, "p", 20).select("repo", "path", "line", "name")
 
 
-WORDS = r"unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: len(w) > 1))) AS word"
 KINDS = values([(c, w) for c, words in S.CATEGORY_WORDS.items() for w in words.split()], "category, word")
 
 
 @query(
     "t04_search_snippets",
     "",
-    f"""WITH q AS (SELECT doc_id AS query_id, text, source AS framework FROM documents),
-    x AS (SELECT item_id AS id, text, regexp_extract(text, '^\\S+', 0) AS name, lower(regexp_extract(text, '(\\w+)\\W*$', 1)) AS tag, CASE item_id % 3 WHEN 0 THEN 'auth' WHEN 1 THEN 'state' ELSE 'file' END AS category, 'web' AS framework, item_id % 9 AS uses FROM benchmark),
-    a AS (SELECT query_id, {WORDS} FROM q), b AS (SELECT id, word, 3 AS points FROM (SELECT id, {WORDS} FROM x) UNION ALL SELECT id, tag, 5 FROM x), k AS ({KINDS}),
-    h AS (SELECT query_id, id, CAST(sum(points) AS BIGINT) AS points FROM a JOIN b USING (word) GROUP BY ALL UNION ALL SELECT DISTINCT query_id, id, 8 FROM a JOIN k USING (word) JOIN x USING (category)),
-    p AS (SELECT query_id, id, sum(points) AS points FROM h GROUP BY ALL),
-    s AS (SELECT query_id, id, CAST(points + CASE WHEN contains(lower(x.name), lower(q.text)) THEN 10 ELSE 0 END + CASE WHEN contains(lower(x.framework), lower(q.framework)) THEN 5 ELSE 0 END + least(5, uses) AS BIGINT) AS score FROM p JOIN q USING (query_id) JOIN x USING (id))
-    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS place FROM s QUALIFY place <= 5""",
+    f"""WITH q AS (SELECT doc_id AS query_id, lower(text) AS text, lower(source) AS framework, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS words FROM documents),
+    x AS (SELECT item_id AS id, lower(text) AS text, regexp_extract(lower(text), '^\\S+', 0) AS name, lower(regexp_extract(text, '(\\w+)\\W*$', 1)) AS tag, CASE item_id % 3 WHEN 0 THEN 'auth' WHEN 1 THEN 'state' ELSE 'file' END AS category, 'web' AS framework, item_id % 9 AS uses FROM benchmark),
+    k AS ({KINDS}), a AS (SELECT DISTINCT query_id, category, 8 AS kind FROM q JOIN k ON contains(q.text, k.word)),
+    w AS (SELECT query_id, word, count(*) AS times FROM (SELECT query_id, unnest(words) AS word FROM q) GROUP BY ALL),
+    h AS (SELECT query_id, id, sum(CASE WHEN contains(x.text, word) THEN 3 * times ELSE 0 END) + 5 * max(CAST(contains(tag, word) AS INT)) AS points FROM w, x GROUP BY ALL),
+    s AS (SELECT q.query_id, x.id, CAST(coalesce(points, 0) + coalesce(kind, 0) + CASE WHEN len(words) > 0 AND contains(x.name, q.text) THEN 10 ELSE 0 END + CASE WHEN q.framework <> '' AND contains(x.framework, q.framework) THEN 5 ELSE 0 END + least(5, uses) AS BIGINT) AS score
+          FROM q CROSS JOIN x LEFT JOIN h ON h.query_id = q.query_id AND h.id = x.id LEFT JOIN a ON a.query_id = q.query_id AND a.category = x.category)
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS place FROM s WHERE score > 0 QUALIFY place <= 5""",
 )
 def _(s):
     text, item = F.col("text"), F.col("item_id")
