@@ -251,3 +251,34 @@ def policy_conflicts(policies: DataFrame) -> DataFrame:
     """Rules with more than one action, and the one of the widest scope."""
     scope = F.when(F.col("scope") == "global", 0).when(F.col("scope") == "workspace", 1).otherwise(2)
     return policies.groupBy("rule_id").agg(F.countDistinct("action").alias("actions"), F.min_by("action", F.struct(scope, F.col("action"))).alias("winner")).where("actions > 1")
+
+
+def cross_file_null(lines: DataFrame, reach: int = 10) -> DataFrame:
+    """Results of functions that may return nothing, used unguarded in other files: repo, path, line, variable, name, definitions.
+
+    Such a function is exported and says null or undefined in its declaration, or returns either before the next declared function. A
+    call is told of if a variable takes its result, a member of that is read within the next lines, and none of these tests it (`!x`, `x?.`, or
+    `x` compared with null or undefined by ==). definitions counts the files of the repo that define such a function, the caller's own left out.
+
+    Definitions are counted by repo and name first, so a popular name meets each call once; lines are met by their numbers.
+    """
+    text = F.col("text")
+    declared = F.nullif(F.regexp_extract(text, r"(?:^|\s)function\s+(\w+)", 1), F.lit(""))
+    said = F.coalesce(text.rlike(r"\breturn\s+(?:null|undefined)\b") | (declared.isNotNull() & text.rlike(r"\b(?:null|undefined)\b")), F.lit(False))
+    above = W.partitionBy("repo", "path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    exported = F.when(declared.isNotNull(), F.struct(declared.alias("name"), text.rlike(r"^\s*export\s").alias("exported")))
+    bound = lines.select("repo", "path", said.alias("said"), F.last(exported, ignorenulls=True).over(above).alias("f")).where("said AND f.exported")
+    own = bound.select("repo", "path", F.col("f.name").alias("name")).distinct()
+    total = own.groupBy("repo", "name").agg(F.count(F.lit(1)).alias("files"))
+
+    taken = r"(?:const|let|var)\s+(\w+)\s*=\s*(?:await\s+)?(\w+)\("
+    calls = lines.where(text.rlike(taken)).select("repo", "path", F.col("line_no").alias("line"), F.regexp_extract(text, taken, 1).alias("variable"), F.regexp_extract(text, taken, 2).alias("name")).distinct()
+    met = calls.join(total, ["repo", "name"]).join(own.withColumn("own", F.lit(1)), ["repo", "path", "name"], "left")
+    asked = met.withColumn("definitions", F.col("files") - F.coalesce("own", F.lit(0))).where("definitions > 0")
+    near = asked.select("repo", "path", "line", "variable", "name", "definitions", F.explode(F.sequence(F.col("line") + 1, F.col("line") + reach)).alias("line_no")).join(lines.select("repo", "path", "line_no", "text"), ["repo", "path", "line_no"])
+    x = F.col("variable")
+    tests = F.array(F.concat(F.lit("!"), x), F.concat(x, F.lit("?.")), F.concat(x, F.lit(" == null")), F.concat(x, F.lit(" === null")), F.concat(x, F.lit(" === undefined")))
+    flags = near.groupBy("repo", "path", "line", "variable", "name", "definitions").agg(
+        F.bool_or(F.exists(tests, lambda t: F.contains(F.col("text"), t))).alias("guarded"), F.bool_or(F.regexp_like("text", F.concat(F.lit(r"\b"), x, F.lit(r"\.\w")))).alias("read"),
+    )
+    return flags.where("read AND NOT guarded").select("repo", "path", "line", "variable", "name", "definitions")

@@ -342,3 +342,56 @@ def compare_metrics(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Metrics of two runs, where smaller is better."""
     j = current.withColumnRenamed("value", "now").join(baseline.withColumnRenamed("value", "was"), ["op", "metric"])
     return j.withColumn("state", F.when(F.col("now") < F.col("was"), "IMPROVED").when(F.col("now") > F.col("was"), "REGRESSED").otherwise("SAME"))
+
+
+#: Days after which a branch is told of, is stale and is old; commits behind after which it has drifted off (fixed values).
+TOLD, STALE, OLD, DRIFTED = 14, 30, 90, 50
+
+
+def branch_ages(branches: DataFrame, as_of: str) -> DataFrame:
+    """Branches that nobody has touched for over two weeks: repo, branch, age in days, last_day, author, distance ('+ahead/-behind'), severity.
+
+    branches: repo, branch, last_day, author, merged, ahead, behind, is_default; the default branch is left out, a null flag is false, null
+    distances are 0. A branch without a day has no age and is left out.
+    """
+    age = F.datediff(F.lit(as_of).cast("date"), "last_day").cast("long")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    aged = branches.where(~F.coalesce("is_default", F.lit(False))).withColumn("age", age).where(F.col("age") > TOLD)
+    severity = F.when(F.col("age") > OLD, "error").when(F.col("age") > STALE, "warning").otherwise("info")
+    return aged.select("repo", "branch", "age", "last_day", "author", F.concat(F.lit("+"), n("ahead"), F.lit("/-"), n("behind")).alias("distance"), severity.alias("severity"))
+
+
+def branch_summary(branches: DataFrame, as_of: str) -> DataFrame:
+    """Each repo's branches beside the default one: total, active, stale, merged, unmerged, drifted, and what to do about them.
+
+    advice lists 'delete-merged' over 3 merged, 'review-stale' over 5 stale ones and 'rebase' where an unmerged one is over 50 commits behind. A
+    branch without a day counts as active. A repo with a default branch only has zeros.
+    """
+    other = ~F.coalesce("is_default", F.lit(False))
+    merged = F.coalesce("merged", F.lit(False))
+    stale = F.coalesce(F.datediff(F.lit(as_of).cast("date"), "last_day") > STALE, F.lit(False))
+    count = lambda test: F.count_if(other & test)
+    n = branches.groupBy("repo").agg(
+        F.count_if(other).alias("total"), count(~stale).alias("active"), count(stale).alias("stale"), count(merged).alias("merged"), count(~merged).alias("unmerged"),
+        count(~merged & (F.coalesce("behind", F.lit(0)) > DRIFTED)).alias("drifted"),
+    )
+    advice = F.array_compact(F.array(F.when(F.col("merged") > 3, "delete-merged"), F.when(F.col("stale") > 5, "review-stale"), F.when(F.col("drifted") > 0, "rebase")))
+    return n.withColumn("advice", advice)
+
+
+def repo_health(commits: DataFrame, changes: DataFrame, branches: DataFrame, as_of: str, high: int = 200) -> DataFrame:
+    """Each repo's commits, contributors, stale branches, days since the last commit, and a score from risky and restless files.
+
+    The score is the mean of two: 100 less 15 for each file whose risk (`bug_prone`) is over 50, not below 0; and 100, 80 over 2 or 60 over 5
+    files with more than `high` changed lines. commits: repo, commit_id, author, day, message; changes: repo, commit_id, file, added, deleted;
+    branches as in `branch_summary`. Each side is summed before they meet; repos without commits are left out.
+    """
+    by_repo = commits.groupBy("repo").agg(F.count(F.lit(1)).alias("commits"), F.countDistinct("author").alias("contributors"), F.datediff(F.lit(as_of).cast("date"), F.max("day")).cast("long").alias("last_commit_age"))
+    fix = F.coalesce(F.col("message").rlike("(?i)fix|bug|hotfix|patch"), F.lit(False))
+    by_file = changes.join(commits.select("repo", "commit_id", fix.alias("fix")), ["repo", "commit_id"]).groupBy("repo", "file").agg(F.count_if("fix").alias("fixes"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("added", F.lit(0)) + F.coalesce("deleted", F.lit(0))).alias("churn"))
+    risk = F.col("fixes") * 10 + js_round(F.col("fixes") * 100 / F.col("n"))
+    files = by_file.groupBy("repo").agg(F.count_if(risk > 50).alias("risky_files"), F.count_if(F.col("churn") > high).alias("restless_files"))
+    stale = branch_summary(branches, as_of).select("repo", F.col("stale").alias("stale_branches"))
+    j = by_repo.join(files, "repo", "left").join(stale, "repo", "left").fillna(0, ["risky_files", "restless_files", "stale_branches"])
+    calm = F.when(F.col("restless_files") > 5, 60).when(F.col("restless_files") > 2, 80).otherwise(100)
+    return j.withColumn("score", js_round((F.greatest(F.lit(0), 100 - F.col("risky_files") * 15) + calm) / 2))

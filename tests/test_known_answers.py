@@ -232,7 +232,7 @@ def test_snippet_signals(spark):
     snippets = spark.createDataFrame([(1, "login", ["jwt"], "checks a user", "auth", "express", 9), (2, "list", None, "a user list", None, None, None)], "id int, name string, tags array<string>, text string, category string, framework string, uses int")
     queries = spark.createDataFrame([(1, "login", "express"), (2, "user JWT", None), (3, None, None)], "query_id int, text string, framework string")
     got = {(r.query_id, r.id): r.score for r in S.search_snippets(snippets, queries).collect()}
-    assert got == {(1, 1): 10 + 8 + 5 + 5, (2, 1): 3 + 5 + 8 + 5, (2, 2): 3}
+    assert got == {(1, 1): 10 + 8 + 5 + 5, (2, 1): 3 + 5 + 8 + 5, (2, 2): 3, (3, 1): 5}
 
 
 def test_audit_areas(spark):
