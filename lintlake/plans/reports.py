@@ -232,6 +232,57 @@ def _(s):
     return c.groupBy((F.col("author") % 10).alias("team")).agg(F.count(F.lit(1)).alias("commits"), F.countDistinct("author").alias("authors"), F.max("day").alias("last_day"), F.count_if(F.col("message").startswith("fix")).alias("fixes"))
 
 
+#: Branches of each repo: kinds of events, the commonest kind of all being the default one.
+BRANCH = """SELECT user_id % 25 AS repo, event_type || CAST(user_id % 8 AS {text}) AS branch, CAST(max(ts) AS DATE) AS last_day, CAST(max(user_id) AS {text}) AS author, max(event_id) % 3 = 0 AS merged,
+    CAST(count(*) % 7 AS INT) AS ahead, CAST(count(*) * 5 % 83 AS INT) AS behind, event_type = 'view' AND user_id % 8 = 0 AS is_default FROM events GROUP BY user_id % 25, event_type, user_id % 8"""
+BRANCH_SQL = f"b AS ({BRANCH.format(text='VARCHAR')}), o AS (SELECT *, date_diff('day', last_day, DATE '2024-03-01') AS age FROM b)"
+BRANCH_COUNTS = "SELECT repo, count(*) FILTER (NOT is_default) AS total, count(*) FILTER (NOT is_default AND age <= 30) AS active, count(*) FILTER (NOT is_default AND age > 30) AS stale, count(*) FILTER (NOT is_default AND merged) AS merged, count(*) FILTER (NOT is_default AND NOT merged) AS unmerged, count(*) FILTER (NOT is_default AND NOT merged AND behind > 50) AS drifted FROM o GROUP BY repo"
+
+
+def branches(s):
+    s.view("events").createOrReplaceTempView("events")
+    return s.spark.sql(BRANCH.format(text="STRING"))
+
+
+@query("a30_branch_ages", "", f"WITH {BRANCH_SQL} SELECT repo, branch, age, last_day, author, '+' || ahead || '/-' || behind AS distance, CASE WHEN age > 90 THEN 'error' WHEN age > 30 THEN 'warning' ELSE 'info' END AS severity FROM o WHERE age > 14 AND NOT is_default")
+def _(s):
+    return H.branch_ages(branches(s), "2024-03-01")
+
+
+@query("a30_branch_summary", "", f"WITH {BRANCH_SQL}, n AS ({BRANCH_COUNTS}) SELECT * , concat_ws(' ', CASE WHEN merged > 3 THEN 'delete-merged' END, CASE WHEN stale > 5 THEN 'review-stale' END, CASE WHEN drifted > 0 THEN 'rebase' END) AS advice FROM n")
+def _(s):
+    return H.branch_summary(branches(s), "2024-03-01").withColumn("advice", F.array_join("advice", " "))
+
+
+@query("a31_repo_health_score", "changes commits", f"""WITH {BRANCH_SQL}, n AS ({BRANCH_COUNTS}), c AS (SELECT author % 700 AS repo, commit_id, author, day, commit_id % 37 = 0 AS fix FROM commits),
+    g AS (SELECT repo, count(*) AS commits, count(DISTINCT author) AS contributors, date_diff('day', max(day), DATE '2024-03-01') AS last_commit_age FROM c GROUP BY repo),
+    f AS (SELECT repo, file, count(*) FILTER (fix) AS fixes, count(*) AS n, sum(added + deleted) AS churn FROM changes JOIN c USING (commit_id) GROUP BY ALL),
+    k AS (SELECT repo, count(*) FILTER (fixes * 10 + CAST(floor(fixes * 100 / n + 0.5) AS BIGINT) > 50) AS risky_files, count(*) FILTER (churn > 58) AS restless_files FROM f GROUP BY repo)
+    SELECT g.*, coalesce(risky_files, 0) AS risky_files, coalesce(restless_files, 0) AS restless_files, coalesce(stale, 0) AS stale_branches, CAST(floor((greatest(0, 100 - coalesce(risky_files, 0) * 15) + CASE WHEN restless_files > 5 THEN 60 WHEN restless_files > 2 THEN 80 ELSE 100 END) / 2 + 0.5) AS BIGINT) AS score
+    FROM g LEFT JOIN k USING (repo) LEFT JOIN n USING (repo)""")
+def _(s):
+    message = F.when(F.col("commit_id") % 37 == 0, "fix: bug").otherwise("feat: add")
+    commits = s.view("commits").withColumn("repo", F.col("author") % 700).withColumn("message", message)
+    changes = s.view("changes").join(commits.select("repo", "commit_id"), "commit_id")
+    return H.repo_health(commits, changes, branches(s), "2024-03-01", high=58)
+
+
+#: Code lines of which some take what a function of another file returns, read it and test it.
+TAKEN = "SELECT repo, path, line_no, CASE text WHEN '  cleanup();' THEN '  const got = load(a);' WHEN '}' THEN '} got.name;' WHEN 'const ok = value === NaN;' THEN 'if (!got) return;' WHEN '  eval(userInput);' THEN '  return null;' ELSE text END AS text FROM code_line"
+
+
+@query("j15_unguarded_results", "code_line", rf"""WITH l AS ({TAKEN}), d AS (SELECT *, regexp_extract(text, '(?:^|\s)function\s+(\w+)', 1) AS fn FROM l),
+    m AS (SELECT *, regexp_matches(text, '\breturn\s+(?:null|undefined)\b') OR (fn <> '' AND regexp_matches(text, '\b(?:null|undefined)\b')) AS said, max(CASE WHEN fn <> '' THEN line_no END) OVER (PARTITION BY repo, path ORDER BY line_no) AS at FROM d),
+    x AS (SELECT DISTINCT m.repo, m.path, d.fn AS name FROM m JOIN d ON d.repo = m.repo AND d.path = m.path AND d.line_no = m.at WHERE said AND regexp_matches(d.text, '^\s*export\s')),
+    c AS (SELECT repo, path, line_no AS line, regexp_extract(text, '(?:const|let|var)\s+(\w+)\s*=\s*(?:await\s+)?(\w+)\(', 1) AS variable, regexp_extract(text, '(?:const|let|var)\s+(\w+)\s*=\s*(?:await\s+)?(\w+)\(', 2) AS name FROM l),
+    e AS (SELECT c.repo, c.path, line, variable, c.name, count(*) AS definitions FROM c JOIN x ON x.repo = c.repo AND x.name = c.name AND x.path <> c.path WHERE variable <> '' GROUP BY ALL)
+    SELECT e.* FROM e JOIN l ON l.repo = e.repo AND l.path = e.path AND l.line_no BETWEEN line + 1 AND line + 10 GROUP BY ALL
+    HAVING bool_or(regexp_matches(l.text, '\b' || variable || '\.\w')) AND NOT bool_or(contains(l.text, '!' || variable) OR contains(l.text, variable || '?.') OR contains(l.text, variable || ' == null') OR contains(l.text, variable || ' === null') OR contains(l.text, variable || ' === undefined'))""")
+def _(s):
+    s.view("code_line").createOrReplaceTempView("code_line")
+    return O.cross_file_null(s.spark.sql(TAKEN))
+
+
 @query("a34_fix_stats", "", "SELECT p_type AS category, count(*) AS patterns, CAST(sum(p_size) AS BIGINT) AS uses, floor(avg(p_size) * 100 + 0.5) / 100 AS mean_confidence FROM part GROUP BY p_type")
 def _(s):
     return s.table("part").groupBy(F.col("p_type").alias("category")).agg(F.count(F.lit(1)).alias("patterns"), F.sum("p_size").cast("long").alias("uses"), (js_round(F.avg("p_size") * 100) / 100).alias("mean_confidence"))
