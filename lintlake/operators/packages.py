@@ -140,3 +140,42 @@ def to_spdx(components: DataFrame) -> DataFrame:
     root = F.array(F.struct(F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"), F.lit("DESCRIBES").alias("relationshipType"), F.lit("SPDXRef-root").alias("relatedSpdxElement")))
     document = F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), "packages", F.concat(root, F.col("dependencies")).alias("relationships"))
     return each.select("project", F.size("packages").cast("long").alias("n_packages"), F.to_json(document).alias("spdx"))
+
+
+#: Source files, and those among them that stand for their folder.
+SCRIPTS = r"\.(ts|tsx|js|jsx|mjs)$"
+INDEX = r"(^|/)index\.(ts|tsx|js|jsx|mjs)$"
+
+
+def tree_shaking(lines: DataFrame, manifests: DataFrame) -> DataFrame:
+    """What keeps a bundler from leaving code out: repo, path, line, rule_id, severity. Rows of packages and barrels have no line.
+
+    Of a package: no sideEffects field; none of module, exports and type 'module'. Of sources: `export * from` in an index file, a whole
+    lodash, a namespace import (but of react). 'many-barrels' tells of over five index files whose lines that are not blank are all
+    exports. lines: repo, path, line_no, text; manifests: repo, path, content (JSON; what is no JSON has no fields).
+    """
+    text, field = F.col("text"), lambda name: F.get_json_object("content", f"$.{name}")
+    truthy = lambda c: F.coalesce(~c.isin("", "false", "0"), F.lit(False))
+    esm = truthy(field("module")) | truthy(field("exports")) | F.coalesce(field("type") == "module", F.lit(False))
+    told = F.array(F.when(field("sideEffects").isNull(), F.lit("no-side-effects")), F.when(~esm, F.lit("no-esm")))
+    of_package = manifests.select("repo", "path", F.lit(None).cast("int").alias("line"), F.explode(F.array_compact(told)).alias("rule_id"))
+    index = F.col("path").rlike(INDEX)
+    whole = text.rlike(r"require\(\s*['\"]lodash['\"]\s*\)") | text.rlike(r"import\s+_?\s+from\s+['\"]lodash['\"]")
+    space = text.rlike(r"import\s+\*\s+as\s+\w+\s+from") & ~text.rlike(r"from\s+['\"]react['\"]")
+    marks = F.array(F.when(index & text.rlike(r"export\s+\*\s+from"), F.lit("export-all")), F.when(whole, F.lit("whole-library")), F.when(space, F.lit("namespace-import")))
+    sources = lines.where(F.col("path").rlike(SCRIPTS))
+    of_lines = sources.select("repo", "path", F.col("line_no").cast("int").alias("line"), F.explode(F.array_compact(marks)).alias("rule_id"))
+    said = F.trim(F.regexp_replace(text, r"\s", " "))
+    files = sources.where(index & (said != "")).groupBy("repo", "path").agg(F.bool_and(said.rlike("^export ")).alias("barrel"))
+    many = files.groupBy("repo").agg(F.count_if("barrel").alias("n")).where("n > 5")
+    of_barrels = many.select("repo", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"), F.lit("many-barrels").alias("rule_id"))
+    found = of_package.unionByName(of_lines).unionByName(of_barrels)
+    return found.withColumn("severity", F.when(F.col("rule_id") == "many-barrels", "info").otherwise("warning"))
+
+
+def tree_shaking_score(found: DataFrame) -> DataFrame:
+    """Each repo with findings: 100 less 10 a warning and 3 a notice, not below 0; at most 5 `export-all` and 10 imports count."""
+    n = lambda *rules: F.count_if(F.col("rule_id").isin(*rules))
+    warnings = n("no-side-effects", "no-esm") + F.least(n("export-all"), F.lit(5)) + F.least(n("whole-library", "namespace-import"), F.lit(10))
+    counts = found.groupBy("repo").agg(warnings.alias("warnings"), n("many-barrels").alias("notices"))
+    return counts.withColumn("score", F.greatest(F.lit(0), 100 - F.col("warnings") * 10 - F.col("notices") * 3).cast("long"))

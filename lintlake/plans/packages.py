@@ -207,3 +207,31 @@ def _(s):
     licenses = part.select(F.col("p_partkey").alias("package"), F.lit("GPL-3.0-only").alias("license"), (F.col("p_partkey") % 12 == 5).alias("copyleft"))
     roots = part.select(F.col("p_partkey").alias("module"))
     return G.transitive_exposure(s.view("edges"), licenses, roots).withColumn("path", F.array_join("path", ">"))
+
+
+#: Code lines with index files, of which some hold exports only, and imports of whole libraries.
+BUNDLED = """SELECT repo, CASE WHEN path LIKE '%5.ts' THEN replace(path, '.ts', '/index.ts') ELSE path END AS path, line_no,
+    CASE WHEN path LIKE '%15.ts' AND repo <> 'web' THEN 'export * from "./part";' WHEN text LIKE 'import lodash%' THEN 'import _ from "lodash";' WHEN text LIKE 'import { readFile%' THEN 'import * as fs from "fs";' ELSE text END AS text FROM code_line"""
+MANIFEST = """SELECT source AS repo, 'package.json' AS path, CASE length(source) % 3 WHEN 0 THEN '{"sideEffects": false}' WHEN 1 THEN '{"type": "module"}' ELSE '{"module": "", "exports": {"a": 1}, "sideEffects": []}' END AS content FROM documents GROUP BY source"""
+SHAKEN = rf"""l AS ({BUNDLED}), p AS (SELECT repo, path, length(repo) % 3 AS kind FROM ({MANIFEST})),
+    x AS (SELECT repo, path, CAST(NULL AS INT) AS line, 'no-side-effects' AS rule_id FROM p WHERE kind = 1 UNION ALL SELECT repo, path, NULL, 'no-esm' FROM p WHERE kind = 0
+        UNION ALL SELECT repo, path, line_no, 'export-all' FROM l WHERE path LIKE '%/index.ts' AND regexp_matches(text, 'export\s+\*\s+from')
+        UNION ALL SELECT repo, path, line_no, 'whole-library' FROM l WHERE path LIKE '%.ts' AND regexp_matches(text, 'import\s+_?\s+from\s+"lodash"')
+        UNION ALL SELECT repo, path, line_no, 'namespace-import' FROM l WHERE path LIKE '%.ts' AND regexp_matches(text, 'import\s+\*\s+as\s+\w+\s+from')
+        UNION ALL SELECT repo, NULL, NULL, 'many-barrels' FROM (SELECT repo, path FROM l WHERE path LIKE '%/index.ts' AND trim(text) <> '' GROUP BY ALL HAVING bool_and(starts_with(text, 'export '))) GROUP BY repo HAVING count(*) > 5)"""
+
+
+def shaken(s):
+    for name in ("code_line", "documents"):
+        s.view(name).createOrReplaceTempView(name)
+    return P.tree_shaking(s.spark.sql(BUNDLED), s.spark.sql(MANIFEST))
+
+
+@query("r20_tree_shaking_packages", "code_line", f"WITH {SHAKEN} SELECT *, CASE rule_id WHEN 'many-barrels' THEN 'info' ELSE 'warning' END AS severity FROM x")
+def _(s):
+    return shaken(s)
+
+
+@query("r20_tree_shaking_score", "code_line", f"WITH {SHAKEN}, n AS (SELECT repo, count(*) FILTER (rule_id LIKE 'no-%') + least(5, count(*) FILTER (rule_id = 'export-all')) + least(10, count(*) FILTER (rule_id IN ('whole-library', 'namespace-import'))) AS warnings, count(*) FILTER (rule_id = 'many-barrels') AS notices FROM x GROUP BY repo) SELECT *, greatest(0, 100 - warnings * 10 - notices * 3) AS score FROM n")
+def _(s):
+    return P.tree_shaking_score(shaken(s))

@@ -4,6 +4,7 @@ import datetime as dt
 
 from lintlake.operators import findings as O
 from lintlake.operators import history as H
+from lintlake.operators import packages as P
 
 DAY = lambda n: dt.date(2024, 6, 30) - dt.timedelta(days=n)
 BRANCHES = "repo string, branch string, last_day date, author string, merged boolean, ahead int, behind int, is_default boolean"
@@ -41,3 +42,16 @@ def test_cross_file_null(spark):
     assert got == {("b.ts", 1, "x", "find", 2), ("b.ts", 10, "t", "typed", 1), ("b.ts", lines["const n = find(5);"], "n", "find", 2), ("c.ts", 4, "z", "find", 1)}
     empty = spark.createDataFrame([], "repo string, path string, line_no int, text string")
     assert O.cross_file_null(empty).count() == 0
+
+
+def test_tree_shaking(spark):
+    manifests = spark.createDataFrame([("r", "package.json", '{"type": "commonjs"}'), ("s", "package.json", '{"sideEffects": false, "exports": "./x.js"}'), ("t", "package.json", "no json"), ("u", "package.json", None)], "repo string, path string, content string")
+    files = [("r", f"src/m{k}/index.ts", n, t) for k in range(6) for n, t in enumerate(["export { a } from './a';", "", "  export * from './b';"], 1)]
+    files += [("s", "index.js", 1, "export * from './b';"), ("s", "index.js", 2, "const a = 1;"), ("s", "a.ts", 1, "export * from './b';"), ("s", "a.ts", 2, "const _ = require( \"lodash\" );"), ("s", "a.ts", 3, "import * as React from 'react';"), ("s", "a.ts", 4, "import * as d from 'd3';"), ("s", "a.py", 1, "import _ from 'lodash'"), ("s", "a.ts", 5, None)]
+    found = P.tree_shaking(spark.createDataFrame(files, "repo string, path string, line_no int, text string"), manifests)
+    got = sorted((r.repo, r.path or "", r.line or 0, r.rule_id, r.severity) for r in found.collect())
+    want = [("r", f"src/m{k}/index.ts", 3, "export-all", "warning") for k in range(6)] + [("r", "", 0, "many-barrels", "info")]
+    want += [(r, "package.json", 0, rule, "warning") for r in "rtu" for rule in ("no-esm", "no-side-effects")]
+    want += [("s", "index.js", 1, "export-all", "warning"), ("s", "a.ts", 2, "whole-library", "warning"), ("s", "a.ts", 4, "namespace-import", "warning")]
+    assert got == sorted(want)
+    assert {r.repo: (r.warnings, r.notices, r.score) for r in P.tree_shaking_score(found).collect()} == {"r": (7, 1, 27), "s": (3, 0, 70), "t": (2, 0, 80), "u": (2, 0, 80)}
