@@ -131,9 +131,10 @@ def search_snippets(snippets: DataFrame, queries: DataFrame, k: int = 5) -> Data
     word with a query differ only in category, framework and uses, so the k best of each kind the query asks for stand for all of them.
     """
     longest = snippets.agg(F.max(F.length("name"))).first()[0] or 0
-    kinds = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(w) for w in words.split()]), lambda w: F.contains(F.lower("text"), w)), F.lit(kind)) for kind, words in CATEGORY_WORDS.items()]))
-    whole_query = F.when((F.length("text") <= longest) & (F.size(_words(F.col("text"))) > 0), F.lower("text"))  # a longer one is in no name
-    asks = queries.select("query_id", F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"), F.lower("framework").alias("wanted"), whole_query.alias("query"))
+    kinds = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(w) for w in words.split()]), lambda w: F.contains(F.col("low"), w)), F.lit(kind)) for kind, words in CATEGORY_WORDS.items()]))
+    whole_query = F.when((F.length("low") <= longest) & F.rlike("low", F.lit(r"\S")), F.col("low"))  # a longer one is in no name
+    low = queries.select("query_id", F.lower("text").alias("low"), F.lower("framework").alias("wanted"))
+    asks = settle(low.select("query_id", F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"), "wanted", whole_query.alias("query")))
     # dealt out by query: its words, their postings and the sums of its snippets stay in one place
     said = queries.select("query_id", F.posexplode(_words(F.col("text"))).alias("nth", "part")).select("query_id", "part", (F.col("nth") == 0).alias("first"))
     asked = said.repartition("query_id").groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("times"), F.max("first").alias("first"))
@@ -163,13 +164,19 @@ def search_snippets(snippets: DataFrame, queries: DataFrame, k: int = 5) -> Data
     plain = classes.join(best(classed, "kind"), "kind").select("query_id", "id", F.lit(0).cast("long").alias("points"))
     wanted = classes.join(fitting, ["wanted", "kind"]).select("query_id", "id", F.lit(0).cast("long").alias("points"))
 
-    pairs = shared.unionByName(plain).unionByName(wanted).groupBy("query_id", "id").agg(F.sum("points").alias("points"))
-    j = pairs.join(asks, "query_id").join(own, "id").join(fits.withColumn("fits", F.lit(5)), ["wanted", "framework"], "left")
-    test = lambda yes, points: F.coalesce(F.when(yes, points), F.lit(0))
-    score = F.col("points") + test(F.contains("name", "query"), 10) + test(F.array_contains("kinds", F.col("category")), 8) + F.coalesce("fits", F.lit(0)) + F.col("uses")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    scored = j.select("query_id", "id", score.cast("long").alias("score")).where("score > 0")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    frameworks = fits.groupBy("wanted").agg(F.collect_set("framework").alias("frameworks"))
+    known = asks.join(frameworks, "wanted", "left")
+    test = lambda yes, points: F.coalesce(F.when(yes, points), F.lit(0))
+
+    def leading(pairs: DataFrame) -> DataFrame:
+        score = F.col("points") + test(F.contains("name", "query"), 10) + test(F.array_contains("kinds", F.col("category")), 8) + test(F.array_contains("frameworks", F.col("framework")), 5) + F.col("uses")
+        scored = pairs.join(known, "query_id").join(own, "id").select("query_id", "id", score.cast("long").alias("score")).where("score > 0")
+        return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+
+    # a pair that shares words may stand in the second list too, with too low a score; the first then has it, or k better ones
+    both = leading(shared).unionByName(leading(plain.unionByName(wanted).distinct())).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def retain(patterns: DataFrame, as_of: str, n: int = 500, days: int = 30) -> DataFrame:
