@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import graph as G
 from lintlake.operators import packages as P
+from lintlake.operators.history import ordered_sum
 from lintlake.plans.base import query, values
 
 USED = "SELECT DISTINCT l_suppkey AS project, l_partkey AS package FROM lineitem WHERE l_partkey % 5 <> 0 UNION SELECT DISTINCT l_suppkey, l_partkey + 1 FROM lineitem WHERE l_partkey % 9 = 0"
@@ -107,9 +108,10 @@ COVERAGE = "SELECT user_id AS repo, event_type AS metric, CAST(floor(avg(value)
 
 @query("a36_coverage_gaps", "", f"WITH c AS ({COVERAGE}), t AS (SELECT 'click' AS metric, 80 AS least UNION ALL SELECT 'view', 60 UNION ALL SELECT 'error', 40) SELECT repo, c.metric, pct, least, least - pct AS gap FROM c JOIN t ON t.metric = c.metric WHERE pct < least")
 def _(s):
-    s.view("events").createOrReplaceTempView("events")
+    sums = ordered_sum(s.table("events"), ["user_id", "event_type"], "value", "event_id")
+    coverage = sums.select(F.col("user_id").alias("repo"), F.col("event_type").alias("metric"), (F.floor(F.col("total") / F.col("known") * 10).cast("long") % 101).alias("pct"))
     limits = s.spark.createDataFrame([("click", 80), ("view", 60), ("error", 40)], "metric string, least int")
-    return P.coverage_gaps(s.spark.sql(COVERAGE), limits)
+    return P.coverage_gaps(coverage, limits)
 
 
 ADVISORIES = "SELECT project, CASE package % 40 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'moderate' ELSE 'low' END AS severity, package % 2 = 0 AS fixable FROM locked WHERE package % 40 < 4"
