@@ -9,6 +9,7 @@ from lintlake.functions import js_round
 from lintlake.operators import filters as X
 from lintlake.operators import rules as R
 from lintlake.operators import scan
+from lintlake.operators.history import ordered_sum
 from lintlake.plans.base import literal, query, values
 from lintlake.plans.findings import POLICIES, POLICY_SQL
 from lintlake.plans.scans import DEPTH, pack
@@ -140,7 +141,7 @@ def _(s):
 
 @query("s11_read_coverage", "", "WITH c AS (SELECT user_id, CAST(sum(value) AS BIGINT) % 101 AS lines, count(*) % 101 AS branches FROM events GROUP BY user_id) SELECT user_id AS repo, 'lines' AS metric, lines AS pct FROM c UNION ALL SELECT user_id, 'branches', branches FROM c")
 def _(s):
-    c = s.table("events").groupBy("user_id").agg((F.round(F.sum("value")).cast("long") % 101).alias("lines"), (F.count(F.lit(1)) % 101).alias("branches"))
+    c = ordered_sum(s.table("events"), ["user_id"], "value", "event_id").select("user_id", (F.bround("total").cast("long") % 101).alias("lines"), (F.col("n") % 101).alias("branches"))
     text = c.select(F.col("user_id").alias("repo"), F.to_json(F.struct(F.struct(F.struct(F.col("lines").alias("pct")).alias("lines"), F.struct(F.col("branches").alias("pct")).alias("branches")).alias("total"))).alias("content"))
     parsed = text.select("repo", F.from_json("content", "total STRUCT<lines:STRUCT<pct:BIGINT>,branches:STRUCT<pct:BIGINT>>")["total"].alias("t"))
     return parsed.select("repo", F.col("t.lines.pct").alias("lines"), F.col("t.branches.pct").alias("branches")).unpivot(["repo"], ["lines", "branches"], "metric", "pct")

@@ -32,3 +32,7 @@ def coverage(spark, folder, name, values):
 @pytest.mark.parametrize("values, pct", [([0.1, 0.2, 0.3], 2), ([0.3, 0.2, 0.1], 1)])
 def test_means_in_order(spark, tmp_path, values, pct):
     assert [x.pct for x in coverage(spark, tmp_path, "a36_coverage_gaps", values)] == [pct]
+
+
+def test_halves_go_to_the_even(spark, tmp_path):
+    assert {x.metric: x.pct for x in coverage(spark, tmp_path, "s11_read_coverage", [2.25, 0.25])} == {"lines": 2, "branches": 2}
