@@ -86,9 +86,9 @@ def _(s):
     return X.extract_functions(s.view("code_line"))
 
 
-@query("a45_duplicate_bodies", "code_line", rf"""WITH {FUNCTIONS}, t AS (SELECT f.repo, f.path, f.start, count(*) AS lines, string_agg(trim(regexp_replace(c.text, '\s+', ' ', 'g')), chr(10) ORDER BY c.line_no) AS body FROM f JOIN code_line c ON c.repo = f.repo AND c.path = f.path AND c.line_no > f.start AND c.line_no <= f."end" WHERE f."end" - f.start >= 3 GROUP BY f.repo, f.path, f.start), g AS (SELECT min({{'repo': repo, 'path': path, 'start': start}}) AS first, count(*) AS copies, lines FROM t GROUP BY body, lines HAVING count(*) >= 3) SELECT first.repo AS repo, first.path AS path, first.start AS start, copies, lines FROM g""")
+@query("a45_duplicate_bodies", "code_line", rf"""WITH {FUNCTIONS}, t AS (SELECT f.repo, f.path, f.start, count(*) AS lines, string_agg(trim(regexp_replace(c.text, '\s+', ' ', 'g')), chr(10) ORDER BY c.line_no) AS body FROM f JOIN code_line c ON c.repo = f.repo AND c.path = f.path AND c.line_no > f.start AND c.line_no <= f."end" GROUP BY f.repo, f.path, f.start), g AS (SELECT min({{'repo': repo, 'path': path, 'start': start}}) AS first, count(*) AS copies, lines FROM t GROUP BY body, lines HAVING count(*) >= 2) SELECT first.repo AS repo, first.path AS path, first.start AS start, copies, lines FROM g""")
 def _(s):
-    return X.duplicate_bodies(s.view("code_line"), X.extract_functions(s.view("code_line")))
+    return X.duplicate_bodies(s.view("code_line"), X.extract_functions(s.view("code_line")), least=2, least_lines=1)
 
 
 @query("r23_check_async", "code_line", r"WITH a AS (SELECT *, string_agg(text, chr(10)) OVER (PARTITION BY repo, path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS ahead FROM code_line) SELECT repo, path, line_no AS line, 'await-in-loop' AS rule_id FROM a WHERE regexp_matches(text, '\b(?:for|while|forEach)\b') AND regexp_matches(ahead, '\bawait\b') UNION ALL SELECT repo, path, line_no, 'busy-wait' FROM a WHERE regexp_matches(text, 'while\s*\((?:true|k)\)\s*\{')")
