@@ -15,7 +15,7 @@ from lintlake.operators import history as H
 from lintlake.operators import rules as R
 from lintlake.operators import scan
 from lintlake.operators.span_rules import BRACKETS
-from lintlake.plans.base import literal, query, values
+from lintlake.plans.base import NEEDS, VIEWS, literal, query, values
 from lintlake.plans.blocks import LEXED
 from lintlake.plans.findings import LEVEL, POLICIES, POLICY_SQL
 from lintlake.plans.scans import pack
@@ -46,9 +46,14 @@ def _(s):
     return C.scan_files(s.view("script_line"))
 
 
-@query("r32_scan_catalog_next", "script_line", f"WITH {pairs(C.NEXT_RULES)} SELECT first.* FROM first JOIN second ON second.repo = first.repo AND second.path = first.path AND second.rule_id = first.rule_id AND second.line = first.line + 1")
+#: Both fixtures of code, in files of their own.
+VIEWS["next_line"] = "SELECT repo, path, line_no, text FROM code_line UNION ALL SELECT repo, 'script/' || path AS path, line_no, text FROM script_line"
+NEEDS["next_line"] = ("code_line", "script_line")
+
+
+@query("r32_scan_catalog_next", "code_line script_line next_line", f"WITH {pairs(C.NEXT_RULES).replace('script_line', 'next_line')} SELECT first.* FROM first JOIN second ON second.repo = first.repo AND second.path = first.path AND second.rule_id = first.rule_id AND second.line = first.line + 1")
 def _(s):
-    return C.scan_next(s.view("script_line"))
+    return C.scan_next(s.view("next_line"))
 
 
 @query(
