@@ -67,6 +67,23 @@ def test_sessions_end_and_keep_the_newest(spark, tmp_path):
     assert got == {(1, 30): (29, "t", [29, 28, 27], [1, 0]), (1, 1): (1, "u", [100], [9])}
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 256])
+def test_keys_of_a_group_do_not_meet(spark, tmp_path, monkeypatch, buckets):
+    """Many keys, one of them null, over batches out of order: each is folded as if alone, and Python is called for groups of keys only."""
+    monkeypatch.setattr(T, "BUCKETS", buckets)
+    r = random.Random(buckets)
+    rows = [(r.choice([None, *range(40)]), START + dt.timedelta(seconds=r.randrange(3000)), k) for k in range(900)]
+    flow = stream(spark, tmp_path, shuffled(r, rows, 100), "k long, ts timestamp, event_id long", 300)
+    folded = T.first_of_ttl(flow, "k", 300_000, "2 minutes")
+    got = {(x.k, x.event_id, x.ts) for x in T.run(folded, "append").collect()}
+    want, opened, newest = set(), {}, max(row[1] for row in rows)
+    for k, ts, i in sorted(rows, key=lambda row: (row[1], row[2])):
+        if ts < newest - dt.timedelta(minutes=2) and (k not in opened or ts - opened[k] > dt.timedelta(minutes=5)):
+            opened[k] = ts
+            want.add((k, i, ts))
+    assert got == want
+
+
 @pytest.mark.parametrize("size", [1, 7, 10_000])
 def test_clamped_sum_in_slices(spark, size):
     r = random.Random(size)
