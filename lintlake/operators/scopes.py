@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lintlake.operators.scratch import settle
+from lintlake.operators.scratch import deal, settle
 from lintlake.operators.syntax import FILE, spans
 
 NAME = r"[A-Za-z_$][\w$]*"
@@ -32,17 +32,20 @@ def place(line: str = "line_no", part: str = "part") -> Column:
 def _innermost(nodes: DataFrame, depth: str, opens: str, out: str) -> DataFrame:
     """nodes with `out`: place and kind of the innermost open span for which `opens` holds; `depth` counts such spans."""
     kept = nodes.columns
-    rows = nodes.select("*", F.col(depth).alias("key"), F.lit(0).alias("rank"), F.lit(None).cast("struct<at:bigint,kind:string>").alias("opened"))
-    starts = nodes.where(f"brace = '{{' AND ({opens})").select("*", (F.col(depth) + 1).alias("key"), F.lit(1).alias("rank"), F.struct(place().alias("at"), "kind").alias("opened"))
+    # a brace that opens such a span stands a second time, one deeper, for what lies inside
+    ranks = F.when(F.expr(f"brace = '{{' AND ({opens})"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = nodes.select("*", F.explode(ranks).alias("rank")).withColumn("key", F.col(depth) + F.col("rank")).withColumn("opened", F.when(F.col("rank") == 1, F.struct(place().alias("at"), "kind")))
     w = W.partitionBy(*FILE, "key").orderBy("line_no", "part", "rank").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.unionByName(starts).withColumn(out, F.last("opened", ignorenulls=True).over(w)).where("rank = 0").select(*kept, out)
+    return rows.withColumn(out, F.last("opened", ignorenulls=True).over(w)).where("rank = 0").select(*kept, out)
 
 
 def placed(nodes: DataFrame) -> DataFrame:
-    """tree() with the innermost span and the innermost function of each piece (null at the top of a file)."""
+    """The pieces of tree() with the innermost span and the innermost function of each (null at the top of a file), without counts."""
+    narrow = nodes.select(*FILE, "line_no", "part", "code", "brace", "head", "kind", "name", "parameters", "level", "functions")
     named = "kind IN ('function', 'method', 'arrow')"
-    inner = _innermost(nodes, "level", "true", "block")
-    return settle(_innermost(inner, "functions", named, "body").withColumn("block", F.when(F.col("level") > 0, F.col("block"))).withColumn("body", F.when(F.col("functions") > 0, F.col("body"))))
+    inner = _innermost(deal(narrow, nodes.count(), *FILE, each=1 << 17), "level", "true", "block")
+    written = settle(_innermost(inner, "functions", named, "body").withColumn("block", F.when(F.col("level") > 0, F.col("block"))).withColumn("body", F.when(F.col("functions") > 0, F.col("body"))))
+    return deal(written, nodes.count(), *FILE, each=1 << 17)
 
 
 def _names(text: Column, pattern: str, group: int = 1) -> Column:
@@ -65,11 +68,11 @@ def declarations(pieces: DataFrame, tree_spans: DataFrame) -> DataFrame:
     # names in braces: const { a, b: c } = and import { a as b }
     lists = pieces.where("brace = '{' AND kind = 'names'").select(*FILE, place().alias("at"), F.col("head").rlike(r"\bexport\b").alias("exported"), F.regexp_extract("head", r"\b(const|let|var|import|export)\b", 1).alias("sort"), F.col("block.at").alias("outer"))
     inside = pieces.where("block.kind = 'names'").select(*FILE, F.col("block.at").alias("at"), "line_no", _names(F.regexp_replace("code", rf"{NAME}\s*:\s*|\btype\s+|{NAME}\s+as\s+|=[^,]*", ""), rf"({NAME})").alias("name"))
-    listed = inside.join(lists, [*FILE, "at"]).where("sort <> 'export' AND name NOT IN ('from')").select(*FILE, "name", "sort", F.col("line_no").alias("line"), "exported", F.when(F.col("sort") != "import", F.col("outer")).alias("opens"), F.lit(OPEN_BLOCK).alias("opens_at"))
+    listed = inside.join(lists.hint("merge"), [*FILE, "at"]).where("sort <> 'export' AND name NOT IN ('from')").select(*FILE, "name", "sort", F.col("line_no").alias("line"), "exported", F.when(F.col("sort") != "import", F.col("outer")).alias("opens"), F.lit(OPEN_BLOCK).alias("opens_at"))
     whole = pieces.where("rlike(code, '^\\\\s*import\\\\s')").select(*FILE, "line_no", _names(F.col("code"), rf"^\s*import\s+(?:type\s+)?(?:\*\s+as\s+)?({NAME})\s*(?:,|\bfrom\b)").alias("name"))
     imported = whole.select(*FILE, "name", F.lit("import").alias("sort"), F.col("line_no").alias("line"), F.lit(False).alias("exported"), F.lit(None).cast("long").alias("opens"), F.lit(OPEN_BLOCK).alias("opens_at"))
     every = by_span.unionByName(listed).unionByName(imported)
-    return every.join(ends, [*FILE, "opens"], "left").select(*FILE, "name", "sort", "line", "exported", F.coalesce("opens", F.lit(BEFORE_ALL)).alias("opens"), "opens_at", F.coalesce("closes", F.lit(PAST_ALL)).alias("closes"))
+    return every.join(ends.hint("merge"), [*FILE, "opens"], "left").select(*FILE, "name", "sort", "line", "exported", F.coalesce("opens", F.lit(BEFORE_ALL)).alias("opens"), "opens_at", F.coalesce("closes", F.lit(PAST_ALL)).alias("closes"))
 
 
 def uses(pieces: DataFrame) -> DataFrame:
@@ -81,19 +84,18 @@ def uses(pieces: DataFrame) -> DataFrame:
 def bindings(nodes: DataFrame) -> DataFrame:
     """One row for each name of each scope: repo, path, name, sort, line (first declaration), last_line, exported, top (of the file), declared, references (declarations too), first_use, shadows (an outer scope declares it).
 
-    Only names that a file declares are looked at.
+    Only names that a file declares are bound. No side of a join is sent to every task: all grow with the files.
     """
     pieces = placed(nodes)
-    once = declarations(pieces, spans(nodes)).groupBy(*FILE, "name", "opens", "opens_at", "closes").agg(
+    once = declarations(pieces, spans(nodes, counts=False)).groupBy(*FILE, "name", "opens", "opens_at", "closes").agg(
         F.min(F.struct("line", "sort", "exported")).alias("first"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("declared")
     )
     known = settle(once)
     scope = F.struct(*[F.col(c) for c in ("opens", "opens_at", "first", "last_line", "declared")])
     opened = known.select(*FILE, "name", F.col("opens").alias("at"), F.col("opens_at").alias("rank"), F.lit(1).alias("step"), scope.alias("scope"), F.lit(None).cast("int").alias("line"))
     closed = known.select(*FILE, "name", F.col("closes").alias("at"), F.lit(CLOSED).alias("rank"), F.lit(-1).alias("step"), F.lit(None).cast(opened.schema["scope"].dataType).alias("scope"), F.lit(None).cast("int").alias("line"))
-    used = uses(pieces).join(known.select(*FILE, "name").distinct(), [*FILE, "name"], "left_semi")
-    used = used.select(*FILE, "name", "at", F.lit(USED).alias("rank"), F.lit(0).alias("step"), F.lit(None).cast(opened.schema["scope"].dataType).alias("scope"), "line")
-    events = opened.unionByName(closed).unionByName(used)
+    used = uses(pieces).select(*FILE, "name", "at", F.lit(USED).alias("rank"), F.lit(0).alias("step"), F.lit(None).cast(opened.schema["scope"].dataType).alias("scope"), "line")
+    events = deal(opened.unionByName(closed).unionByName(used), nodes.count(), *FILE, "name", each=1 << 17)
     w = W.partitionBy(*FILE, "name").orderBy("at", "rank").rowsBetween(W.unboundedPreceding, W.currentRow)
     counted = events.withColumn("depth", F.sum("step").over(w)).where("step >= 0")
     inner = W.partitionBy(*FILE, "name", "depth").orderBy("at", "rank").rowsBetween(W.unboundedPreceding, W.currentRow)
