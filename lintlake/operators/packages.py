@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lintlake.functions import grade, js_round, major
+from lintlake.operators.scratch import deal
 
 #: Node modules that need no declaration (fixed values).
 BUILTIN = ["assert", "buffer", "child_process", "crypto", "events", "fs", "http", "https", "net", "os", "path", "process", "stream", "url", "util", "zlib"]
@@ -28,13 +29,22 @@ def read_lockfiles(df: DataFrame, content: str = "content") -> DataFrame:
     return named.withColumn("n", F.row_number().over(first)).where("n = 1").select("repo", "name", "path", "entry.version", "entry.license", F.coalesce("entry.dev", F.lit(False)).alias("dev"))
 
 
-def unused_deps(declared: DataFrame, imported: DataFrame) -> DataFrame:
-    return declared.join(imported.select("project", "package").distinct(), ["project", "package"], "left_anti")
+def _without(left: DataFrame, right: DataFrame, rows: int) -> DataFrame:
+    """left without the pairs of right. rows: of how many rows both are made, by which they are dealt out to tasks; 0 leaves that to Spark."""
+    pair = ["project", "package"]
+    sides = [left, right.select(*pair)]
+    if rows:
+        sides = [deal(side, rows, *pair, each=1 << 18) for side in sides]
+    return sides[0].join(sides[1], pair, "left_anti")
 
 
-def phantom_deps(imported: DataFrame, declared: DataFrame) -> DataFrame:
-    own = imported.where(~F.col("package").cast("string").isin(BUILTIN)).select("project", "package").distinct()
-    return own.join(declared, ["project", "package"], "left_anti")
+def unused_deps(declared: DataFrame, imported: DataFrame, rows: int = 0) -> DataFrame:
+    return _without(declared, imported, rows)
+
+
+def phantom_deps(imported: DataFrame, declared: DataFrame, rows: int = 0) -> DataFrame:
+    own = imported.where(~F.col("package").cast("string").isin(BUILTIN)).select("project", "package")
+    return _without(own, declared, rows).distinct()
 
 
 def version_mismatch(declared: DataFrame, locked: DataFrame) -> DataFrame:

@@ -27,12 +27,12 @@ def licensed(s):
 
 @query("j16_unused_deps", "declared", f"WITH u AS ({USED}) SELECT project, package, scope FROM declared d WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.project = d.project AND u.package = d.package)")
 def _(s):
-    return P.unused_deps(s.view("declared"), used(s)).select("project", "package", "scope")
+    return P.unused_deps(s.view("declared"), used(s), s.table("lineitem").count()).select("project", "package", "scope")
 
 
 @query("j17_phantom_deps", "declared", f"WITH u AS ({USED}) SELECT project, package FROM u WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE u.project = d.project AND u.package = d.package)")
 def _(s):
-    return P.phantom_deps(used(s), s.view("declared")).select("project", "package")
+    return P.phantom_deps(used(s), s.view("declared"), s.table("lineitem").count()).select("project", "package")
 
 
 @query("j18_version_mismatch", "declared locked", "SELECT project, package, range_text, version, CASE WHEN version IS NULL THEN 'missing' ELSE 'mismatch' END AS state FROM declared LEFT JOIN locked USING (project, package) WHERE version IS NULL OR major_no <> wanted")

@@ -30,3 +30,13 @@ def test_no_growing_side_is_broadcast(lexed):
     assert "Broadcast" not in plan(scopes.bindings(nodes)) and "Broadcast" not in plan(structure.structure_grade(lexed, nodes))
     assert {r.complexity for r in S.functions(nodes).collect()} == {2} and S.functions(nodes).count() == 200
     assert scopes.bindings(nodes).where("name = 'x' AND references = 3").count() == 200
+
+
+def test_pairs_are_dealt_out_by_rows(spark):
+    from lintlake.operators import packages as P
+
+    declared = spark.createDataFrame([(1, 1, "prod"), (1, 2, "dev"), (2, 1, "prod"), (2, None, "dev")], "project long, package long, scope string")
+    used = spark.createDataFrame([(1, 1), (1, 1), (3, 1), (3, 1)], "project long, package long")
+    unused, phantom = P.unused_deps(declared, used, 5 << 18), P.phantom_deps(used, declared, 5 << 18)
+    assert "hashpartitioning(project#" in plan(unused) and ", 5)" in plan(unused) and ", 5)" in plan(phantom)
+    assert sorted(tuple(r)[::2] for r in unused.collect()) == [(1, "dev"), (2, "dev"), (2, "prod")] and [tuple(r) for r in phantom.collect()] == [(3, 1)]
