@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lintlake.functions import normalize_path
-from lintlake.operators.scratch import settle, shared_path
-
-
-#: Steps along edges before a round of colours is written.
-HOPS = 3
+from lintlake.operators.scratch import deal, settle, shared_path
 
 
 def module_coupling(edges: DataFrame) -> DataFrame:
@@ -21,43 +20,78 @@ def module_coupling(edges: DataFrame) -> DataFrame:
     return both.withColumn("coupling", F.col("in_degree") + F.col("out_degree"))
 
 
-def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(module, component): modules that import each other, directly or not, with the largest of them as name; single modules are left out.
+def _links(steps: DataFrame, rows: int, key: str) -> DataFrame:
+    """steps held by key on the executors, in order, so that a round's join moves and sorts its frontier only; rows: how many there are."""
+    return deal(steps, rows, key, each=1 << 18).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
 
-    Every module takes the largest one that reaches it and the largest one that it reaches as its two colours; both spread in the same
-    rounds, and only what changed is handed on. Modules of one component have both in common, so edges between others go, and the rest
-    is coloured again until no edge goes: then the largest module of each pair of colours reaches all of its modules, and they reach it.
+
+def _trim(live: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """live (src, dst) without edges from modules that nothing leads to and to modules that lead nowhere, which are on no cycle, and how many are left.
+
+    Repeated while it takes an eighth of the edges; what is left after that is left to the colours.
     """
-    spark = edges.sparkSession
-    live, left = settle(edges.where("src <> dst").select("src", "dst").distinct()), None
-    for _ in range(rounds):
-        labels = live.select(F.col("src").alias("module")).union(live.select(F.col("dst").alias("module"))).distinct()
-        labels = settle(labels.select("module", F.col("module").alias("above"), F.col("module").alias("below"), F.lit(True).alias("above_new"), F.lit(True).alias("below_new")))
+    while rows:
+        counted, path = Observation(), shared_path(live.sparkSession)
+        ends = [live.select(F.col(c)).distinct().hint("merge") for c in ("dst", "src")]
+        kept = live.join(ends[0].withColumnRenamed("dst", "src"), "src", "left_semi").join(ends[1].withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
+        kept.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        live, before, rows = live.sparkSession.read.schema(live.schema).parquet(path), rows, counted.get["n"]
+        if rows * 8 > before * 7:
+            break
+    return live, rows
+
+
+def _colours(live: DataFrame, rows: int, rounds: int) -> DataFrame:
+    """(module, above, below): the largest module that reaches each one and the largest that it reaches, itself included."""
+    spark = live.sparkSession
+    both = live.select(F.col("src").alias("module"), F.col("dst").alias("next"), F.lit(True).alias("down")).union(live.select(F.col("dst").alias("module"), F.col("src").alias("next"), F.lit(False).alias("down")))
+    links = _links(both, 2 * rows, "module")
+    try:
+        labels = settle(links.select("module").distinct().select("module", F.col("module").alias("above"), F.col("module").alias("below"), F.lit(True).alias("above_new"), F.lit(True).alias("below_new")))
         none = F.lit(None).cast(live.schema["src"].dataType)
         for _ in range(rounds):
-            known = labels.select("module", "above", "below", F.col("above").alias("old_above"), F.col("below").alias("old_below"), "above_new", "below_new")
-            for _ in range(HOPS):
-                down = known.where("above_new").join(live.withColumnRenamed("src", "module"), "module").select(F.col("dst").alias("module"), "above", none.alias("below"), none.alias("old_above"), none.alias("old_below"))
-                up = known.where("below_new").join(live.withColumnRenamed("dst", "module"), "module").select(F.col("src").alias("module"), none.alias("above"), "below", none.alias("old_above"), none.alias("old_below"))
-                met = known.drop("above_new", "below_new").unionByName(down).unionByName(up).groupBy("module").agg(*[F.max(c).alias(c) for c in ("above", "below", "old_above", "old_below")])
-                known = met.select("*", (F.col("above") > F.col("old_above")).alias("above_new"), (F.col("below") > F.col("old_below")).alias("below_new"))
-            fresh = known.drop("old_above", "old_below")
+            # a colour goes on only to a module that is smaller than it: others have one of their own that is larger
+            sent = labels.where("above_new OR below_new").join(links.hint("merge"), "module").where("next < IF(down, above, below) AND IF(down, above_new, below_new)")
+            handed = sent.select(F.col("next").alias("module"), F.when(F.col("down"), F.col("above")).alias("above"), F.when(~F.col("down"), F.col("below")).alias("below"), none.alias("old_above"), none.alias("old_below"))
+            known = labels.select("module", "above", "below", F.col("above").alias("old_above"), F.col("below").alias("old_below"))
+            met = known.union(handed).groupBy("module").agg(*[F.max(c).alias(c) for c in ("above", "below", "old_above", "old_below")])
+            fresh = met.select("module", "above", "below", (F.col("above") > F.col("old_above")).alias("above_new"), (F.col("below") > F.col("old_below")).alias("below_new"))
             counted, path = Observation(), shared_path(spark)
             fresh.observe(counted, F.count_if(F.col("above_new") | F.col("below_new")).alias("n")).write.parquet(path)
             labels = spark.read.schema(fresh.schema).parquet(path)
             if not counted.get["n"]:
-                break
-        else:
-            raise RuntimeError("deeper than the rounds allowed")
-        ends = [labels.select(F.col("module").alias(c), F.struct("above", "below").alias(f"{c}_colours")) for c in ("src", "dst")]
-        kept = settle(live.join(ends[0], "src").join(ends[1], "dst").where("src_colours = dst_colours").select("src", "dst"))
-        now = kept.count()
-        if now == left:
-            return labels.join(kept.select(F.col("src").alias("module")).distinct(), "module", "left_semi").select("module", F.col("above").alias("component"))
-        live, left = kept, now
+                return labels.select("module", "above", "below")
+    finally:
+        links.unpersist()
     raise RuntimeError("deeper than the rounds allowed")
 
 
+def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(module, component): modules that import each other, directly or not, with the largest of them as name; single modules are left out.
+
+    Every module takes the largest one that reaches it and the largest one that it reaches as its two colours; both spread in the same
+    rounds, and only what changed is handed on. Modules of one component have both in common, so edges between others go. Where both
+    colours are one module, that module reaches the others and they reach it, so the component is whole; the rest is coloured again
+    until no edge is left. The largest module always ends its component, so every round takes some.
+    """
+    live = settle(edges.where("src <> dst").select("src", "dst").distinct())
+    left, found = live.count(), []
+    for _ in range(rounds):
+        live, left = _trim(live, left)
+        if not left:
+            break
+        colours = _colours(live, left, rounds)
+        ends = [colours.select(F.col("module").alias(c), F.struct("above", "below").alias(f"{c}_colours")).hint("merge") for c in ("src", "dst")]
+        kept = settle(live.join(ends[0], "src").join(ends[1], "dst").where("src_colours = dst_colours").select("src", "dst", "src_colours.above", "src_colours.below"))
+        found.append(settle(kept.where("above = below").select(F.col("src").alias("module"), F.col("above").alias("component")).distinct()))
+        live = kept.where("above <> below").select("src", "dst")
+        left = live.count()
+    else:
+        raise RuntimeError("deeper than the rounds allowed")
+    none = live.select(F.col("src").alias("module"), F.col("src").alias("component")).limit(0)
+    return reduce(DataFrame.union, found, none)
+
+
 def cycles(edges: DataFrame, most: int = 4) -> DataFrame:
     """Node sets of the elementary cycles of up to `most` nodes, each once, as a sorted list.
 

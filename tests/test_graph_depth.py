@@ -63,3 +63,27 @@ def test_circular_imports(spark):
     imports = spark.createDataFrame([("r", f"src/{a}.ts", b) for a, b in pairs] + [("q", "src/a.ts", "./b")], "repo string, path string, specifier string")
     got = {(x.repo, x.path): (x.component, x.size) for x in graph.circular_imports(imports, files).collect()}
     assert got == {("r", f"src/{c}.ts"): ("src/e.ts", 5) for c in "abcde"} | {("r", "src/g.ts"): ("src/g.ts", 1)}
+
+
+def broadcasts(spark, run) -> int:
+    """How many broadcasts the plans that run() starts have, and a check that it started some."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    run()
+    bus.waitUntilEmpty()
+    plans = [store.executionsList(i, 1).head().physicalPlanDescription() for i in range(before, store.executionsCount())]
+    assert plans
+    return sum(p.count("BroadcastExchange") for p in plans)
+
+
+def test_components_send_nothing_to_the_driver(spark):
+    """Rounds hand their frontiers from task to task: what the driver sends does not grow with the graph or its depth."""
+    edges = spark.createDataFrame([(k, (k + 1) % 5) for k in range(5)] + [(7, 8), (8, 7), (8, 3), (1, 6)], "src long, dst long")
+    got = []
+    assert broadcasts(spark, lambda: got.extend(graph.strong_components(edges).collect())) == 0
+    assert {r.module: r.component for r in got} == {0: 4, 1: 4, 2: 4, 3: 4, 4: 4, 7: 8, 8: 8}
+
+
+def test_components_of_a_graph_without_cycles(spark):
+    assert graph.strong_components(spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 4)], "src long, dst long")).count() == 0
