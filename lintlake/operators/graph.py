@@ -98,12 +98,13 @@ def cycles(edges: DataFrame, most: int = 4) -> DataFrame:
     Only edges inside a strong component can be on a cycle; paths grow from their smallest node only.
     """
     named = strong_components(edges)
-    inside = edges.where("src <> dst").select("src", "dst").distinct().join(named.select(F.col("module").alias("src"), F.col("component").alias("a")), "src").join(named.select(F.col("module").alias("dst"), F.col("component").alias("b")), "dst")
-    live = settle(inside.where("a = b").select("src", "dst"))
+    ends = [named.select(F.col("module").alias(c), F.col("component").alias(f"{c}_component")).hint("merge") for c in ("src", "dst")]
+    inside = edges.where("src <> dst").select("src", "dst").distinct().join(ends[0], "src").join(ends[1], "dst")
+    live = settle(inside.where("src_component = dst_component").select("src", "dst"))
     loops = edges.where("src = dst").select(F.array("src").alias("nodes"))
     paths = live.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path"))
     for k in range(2, most + 1):
-        step = paths.join(live.select(F.col("src").alias("end"), F.col("dst").alias("next")), "end")
+        step = paths.join(live.select(F.col("src").alias("end"), F.col("dst").alias("next")).hint("merge"), "end")
         loops = loops.unionByName(step.where("next = start").select(F.array_sort("path").alias("nodes")))
         if k < most:
             paths = settle(step.where((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("end"), F.concat("path", F.array("next")).alias("path")))

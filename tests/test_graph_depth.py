@@ -85,5 +85,12 @@ def test_components_send_nothing_to_the_driver(spark):
     assert {r.module: r.component for r in got} == {0: 4, 1: 4, 2: 4, 3: 4, 4: 4, 7: 8, 8: 8}
 
 
+def test_cycles_send_nothing_to_the_driver(spark):
+    edges = spark.createDataFrame([(k, (k + 1) % 5) for k in range(5)] + [(7, 8), (8, 7), (8, 3), (3, 1), (9, 9)], "src long, dst long")
+    got = []
+    assert broadcasts(spark, lambda: got.extend(graph.cycles(edges).collect())) == 0
+    assert sorted(r.nodes for r in got) == [[1, 2, 3], [7, 8], [9]]
+
+
 def test_components_of_a_graph_without_cycles(spark):
     assert graph.strong_components(spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 4)], "src long, dst long")).count() == 0
