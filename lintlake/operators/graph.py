@@ -179,26 +179,32 @@ def _routes(found: DataFrame) -> DataFrame:
 def waves(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(task, wave): wave 0 waits for nothing, each other task for its latest dependency; tasks of a deadlock have a null wave.
 
-    A wave is written once, to a folder of its own, with the number of tasks in it. A task is ready when all its dependencies stand in
-    earlier waves; only the tasks that the last wave held up are looked at.
+    A task counts the dependencies that it has met until it has met all it needs. A wave is written once, to a folder of its own, with
+    the tasks that are ready in it and the counts of those that still wait for another one; no other task is looked at.
     """
     spark, path = edges.sparkSession, shared_path(edges.sparkSession)
-    needs = settle(edges.select("task", "depends_on").distinct())
-    tasks = settle(needs.select("task").union(needs.select(F.col("depends_on").alias("task"))).distinct())
-    degree = settle(needs.groupBy("task").agg(F.count(F.lit(1)).alias("needed")))
-    read = lambda *k: spark.read.schema(tasks.schema).parquet(*[f"{path}/wave={i}" for i in k])
-    for wave in range(rounds + 1):
-        if wave == 0:
-            ready = tasks.join(degree, "task", "left_anti")
-        else:
-            held_up = needs.join(read(wave - 1).select(F.col("task").alias("depends_on")), "depends_on", "left_semi").select("task").distinct()
-            met = needs.join(held_up, "task", "left_semi").join(read(*range(wave)).select(F.col("task").alias("depends_on")), "depends_on", "left_semi")
-            ready = met.groupBy("task").agg(F.count(F.lit(1)).alias("met")).join(degree, "task").where("met = needed").select("task")
-        counted = Observation()
-        ready.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/wave={wave}")
-        if not counted.get["n"]:  # what is left waits for itself
-            done = spark.read.schema(tasks.withColumn("wave", F.lit(0)).schema).parquet(path).select("task", "wave")
-            return done.unionByName(tasks.join(done, "task", "left_anti").withColumn("wave", F.lit(None).cast("int")))
+    pairs = settle(edges.select("task", "depends_on").distinct())
+    tasks = settle(pairs.select("task").union(pairs.select(F.col("depends_on").alias("task"))).distinct())
+    degree = settle(pairs.groupBy("task").agg(F.count(F.lit(1)).alias("needed")))
+    needs = _links(pairs.join(degree.hint("merge"), "task"), pairs.count(), "depends_on")
+    zero = F.lit(0).cast("long")
+    ready = tasks.join(degree.hint("merge"), "task", "left_anti").select("task", zero.alias("needed"), zero.alias("met"))
+    read = lambda k: spark.read.schema(ready.schema).parquet(f"{path}/wave={k}")
+    try:
+        for wave in range(rounds + 1):
+            if wave == 0:
+                now = ready
+            else:
+                done = read(wave - 1).where("met = needed").select(F.col("task").alias("depends_on"))
+                hits = done.join(needs.hint("merge"), "depends_on").select("task", "needed", F.lit(1).cast("long").alias("met"))
+                now = read(wave - 1).where("met < needed").union(hits).groupBy("task").agg(F.max("needed").alias("needed"), F.sum("met").alias("met"))
+            counted = Observation()
+            now.observe(counted, F.count_if(F.col("met") == F.col("needed")).alias("n")).write.parquet(f"{path}/wave={wave}")
+            if not counted.get["n"]:  # what is left waits for itself
+                found = spark.read.schema(ready.withColumn("wave", F.lit(0)).schema).parquet(path).where("met = needed").select("task", "wave")
+                return found.unionByName(tasks.join(found.hint("merge"), "task", "left_anti").withColumn("wave", F.lit(None).cast("int")))
+    finally:
+        needs.unpersist()
     raise RuntimeError("deeper than the rounds allowed")
 
 

@@ -94,3 +94,11 @@ def test_cycles_send_nothing_to_the_driver(spark):
 
 def test_components_of_a_graph_without_cycles(spark):
     assert graph.strong_components(spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 4)], "src long, dst long")).count() == 0
+
+
+def test_waves_send_nothing_to_the_driver(spark):
+    """A task that waits over several waves keeps its count; a ring and what waits for it have no wave."""
+    tasks = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 0), (4, 1), (4, 3), (4, 3), (5, 6), (6, 5), (7, 0), (7, 5)], "task long, depends_on long")
+    got = []
+    assert broadcasts(spark, lambda: got.extend(graph.waves(tasks).collect())) == 0
+    assert {r.task: r.wave for r in got} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: None, 6: None, 7: None} and len(got) == 8
