@@ -40,3 +40,14 @@ def test_pairs_are_dealt_out_by_rows(spark):
     unused, phantom = P.unused_deps(declared, used, 5 << 18), P.phantom_deps(used, declared, 5 << 18)
     assert "hashpartitioning(project#" in plan(unused) and ", 5)" in plan(unused) and ", 5)" in plan(phantom)
     assert sorted(tuple(r)[::2] for r in unused.collect()) == [(1, "dev"), (2, "dev"), (2, "prod")] and [tuple(r) for r in phantom.collect()] == [(3, 1)]
+
+
+def test_names_and_chains_need_no_counts(lexed):
+    """Scopes, chains and what lies inside of what read a tree without the counts, and find the same."""
+    from lintlake.operators import span_rules as R
+
+    whole, slim = S.tree(lexed), S.tree(lexed, counts=False)
+    assert not [c for c in slim.columns if c.startswith("all_")] and set(slim.columns) < set(whole.columns)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(scopes.bindings(slim)) == rows(scopes.bindings(whole)) and rows(R.scan_inside(slim)) == rows(R.scan_inside(whole))
+    assert rows(R.scan_chains(slim, S.spans(slim, counts=False))) == rows(R.scan_chains(whole, S.spans(whole)))
