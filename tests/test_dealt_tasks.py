@@ -51,3 +51,12 @@ def test_names_and_chains_need_no_counts(lexed):
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(scopes.bindings(slim)) == rows(scopes.bindings(whole)) and rows(R.scan_inside(slim)) == rows(R.scan_inside(whole))
     assert rows(R.scan_chains(slim, S.spans(slim, counts=False))) == rows(R.scan_chains(whole, S.spans(whole)))
+
+
+def test_calls_and_chains_are_dealt_out_by_rows(lexed):
+    from lintlake.operators import span_rules as R
+
+    nodes = S.tree(lexed)
+    found = S.spans(nodes)
+    calls, chains = plan(R.scan_calls(nodes, found)), plan(R.scan_chains(nodes, found))
+    assert "Broadcast" not in calls and "REPARTITION_BY_NUM" in calls and chains.count("REPARTITION_BY_NUM") == 2
